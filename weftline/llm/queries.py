@@ -27,3 +27,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import mixing
+
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import embeddings
+
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import sharding
+
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op4_langid_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import langid
+
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import brown
+
+    return brown.score_documents(table(spark, sf_dir, "documents"))
