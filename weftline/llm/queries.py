@@ -57,3 +57,31 @@ def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import brown
 
     return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import secrets
+
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+def op5_toxic_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import toxicity
+
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chunked_media, op2_secret_network, op3_flow_mix, op4_langid_ftrl, op5_toxic_kneser_ney, op6_brown_classes, op7_projection_passes, op8_splitter_shards, op9_byte_bpe, op10_simhash, pipeline)
+}
+
+#: Learnt models, sampled splitters, hashes of tokens and iterated links have no SQL form; tests/llm has brute force.
+ORACLE_SQL: dict[str, str] = {}
