@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from weftline.plans import session_queries, text_queries
+
 
 def queries() -> dict:
-    return {}
+    return session_queries.QUERIES | text_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return session_queries.SQL | text_queries.SQL
