@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import as_bytes, small_batches, written
 
-REPEATS, PIECE_ROWS, MOST_PATTERNS = 3, 20_000, 2048
+REPEATS, PIECE_ROWS, MOST_PATTERNS = 3, 2_000, 2048
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
