@@ -32,18 +32,18 @@ class Model:
     """``words``: word to number, all rarer words share number 0, the start of a text is number 1."""
 
     def __init__(self, texts: list[bytes], toxic: list[bool], discount: float = 0.75):
-        split = [tokens(t) for t in texts]
         count: dict[bytes, int] = {}
-        for words in split:
-            for w in words:
+        for text in texts:  # cut twice rather than held: the words of a text take many times its bytes
+            for w in tokens(text):
                 count[w] = count.get(w, 0) + 1
         known = sorted(w for w, n in count.items() if n >= LEAST_COUNT)
+        del count
         self.words = {w: i + 2 for i, w in enumerate(known)}
         size = self.size = len(known) + 2
         pairs: tuple[list, list] = ([], [])
         singles: tuple[list, list] = ([], [])
-        for words, label in zip(split, toxic, strict=True):  # a text counts once for each, however often it repeats it
-            ids = self.ids(words)
+        for text, label in zip(texts, toxic, strict=True):  # a text counts once for each, however often it repeats it
+            ids = self.ids(tokens(text))
             pairs[label].append(np.unique(ids[:-1] * size + ids[1:]))
             singles[label].append(np.unique(ids[1:]))
         found = [np.unique(np.concatenate([np.array([], np.int64), *p]), return_counts=True) for p in pairs]
@@ -117,12 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> tuple[Model, np.n
     if len({r[2] for r in rows}) < 2:
         return None
     raw, y = [r[1].encode() for r in rows], np.array([r[2] for r in rows], float)
-    fold = np.random.default_rng(seed).permutation(len(rows)) % FOLDS
+    del rows
+    fold = np.random.default_rng(seed).permutation(len(raw)) % FOLDS
     n = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, share[1] / n[1], share[0] / n[0]) * len(y) / (share[0] + share[1])
     best = None
     for discount in DISCOUNTS:  # the one that tells unseen rows apart best
-        x = np.zeros((len(rows), 4))
+        x = np.zeros((len(raw), 4))
         for k in range(FOLDS):
             seen = np.flatnonzero(fold != k)
             model = Model([raw[i] for i in seen], [bool(y[i]) for i in seen], discount)
