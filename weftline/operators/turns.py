@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SO_FAR = Window.partitionBy("session").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = Window.partitionBy("session").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+
+def so_far(last: int = 0):
+    """The rows of a session up to the present one, or up to ``last`` rows from it."""
+    return Window.partitionBy("session").orderBy("t").rowsBetween(Window.unboundedPreceding, last)
 
 
 def fill_query(df: DataFrame) -> DataFrame:
     """Adds query (the last prompt so far), epoch (0 before the first; a repeated prompt opens none) and query_start."""
-    new = F.col("prompt").isNotNull() & ~F.col("prompt").eqNullSafe(F.last("prompt", True).over(BEFORE))
+    new = F.col("prompt").isNotNull() & ~F.col("prompt").eqNullSafe(F.last("prompt", True).over(so_far(-1)))
     df = df.withColumn("new_query", new)
-    return df.withColumns({"query": F.last("prompt", True).over(SO_FAR), "epoch": F.sum(F.col("new_query").cast("bigint")).over(SO_FAR), "query_start": F.max(F.when(F.col("new_query"), F.col("t"))).over(SO_FAR)}).drop("new_query")
+    return df.withColumns({"query": F.last("prompt", True).over(so_far()), "epoch": F.sum(F.col("new_query").cast("bigint")).over(so_far()), "query_start": F.max(F.when(F.col("new_query"), F.col("t"))).over(so_far())}).drop("new_query")
 
 
 def chunk(t: Column, size: int) -> Column:

@@ -169,7 +169,7 @@ def memory_change(spark, d):
 @query(f"""WITH {FRAMES}, r AS (SELECT *, sum(answered::INT) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM frames)
 SELECT session, t, n::BIGINT AS n FROM (SELECT *, lag(n) OVER (PARTITION BY session ORDER BY t) AS pn FROM r) WHERE n > 0 AND n > coalesce(pn, 0)""")
 def fresh_callback(spark, d):
-    r = frames(spark, d).withColumn("n", F.sum(F.col("answered").cast("bigint")).over(T.SO_FAR))
+    r = frames(spark, d).withColumn("n", F.sum(F.col("answered").cast("bigint")).over(T.so_far()))
     before = F.coalesce(F.lag("n").over(Window.partitionBy("session").orderBy("t")), F.lit(0))
     return r.withColumn("pn", before).where("n > 0 AND n > pn").select("session", "t", "n")
 
