@@ -2,28 +2,82 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.text import let, strip
+
+
+# The tags that make a fragment a page, that show something, and that count.
+FRAGMENT = r"(?i)<(?:head|body|main|section|style|div|h1|p)\b"
+SHOWS = r"(?i)<(?:body|main|section|article|aside|header|footer|nav|div|h[1-6]|p|button|ul|ol|li|span|img|figure|table)\b"
+COUNTED = r"(?i)<(?:div|section|main|header|nav|footer|button|h[1-6]|p|li)\b"
+HEAD, FOOT = '<!doctype html>\n<html><head><meta charset="UTF-8"></head><body>', "</body></html>"
+
+
+END_TAG = r"(?i)</html[ \t\r\n]*>"
+
+
+def unescape(x: Column) -> Column:
+    """The five entities of markup; others stay."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(entity), F.lit(char))
+    return x
+
+
+def left_open(x: Column) -> Column:
+    """Whether a html, body, head or style tag is opened and never closed."""
+    return reduce(or_, [F.rlike(x, F.lit(rf"(?i)<{t}\b")) & ~F.rlike(x, F.lit(rf"(?i)</{t}[ \t\r\n]*>")) for t in ("html", "body", "head", "style")])
 
-def document(x: Column) -> Column:
-    """struct(doc, complete): from the doctype or ``<html`` to ``</html>``, or the whole text where neither is."""
-    low = F.lower(x)
-    doctype, begin, end = F.locate("<!doctype", low), F.locate("<html", low), F.locate("</html>", low)
-    at = F.when(doctype > 0, doctype).otherwise(begin)
-    cut = F.when(F.greatest(doctype, begin) == 0, x).otherwise(F.substr(x, at, F.when(end > 0, end + 7 - at).otherwise(F.length(x))))
-    return F.struct(cut.alias("doc"), (end > 0).alias("complete"))
+
+def document(x: Column, cut: bool = False) -> Column:
+    """struct(doc, complete): from the doctype or html tag to its end tag, or else to the end and then incomplete; a
+    fragment is wrapped; null for text without markup. ``cut``: the source ended early."""
+    made = lambda d, ok: F.struct(d.alias("doc"), ok.alias("complete"))
+
+    def page(v):
+        start = F.regexp_instr(v, F.lit(r"(?i)<!doctype[ \t\r\n]+html\b|<html\b"))
+        fragment = F.when(F.rlike(v, F.lit(FRAGMENT)), made(F.concat(F.lit(HEAD), v, F.lit(FOOT)), ~left_open(v) & F.lit(not cut)))
+        return F.when(start > 0, let(F.substr(v, F.greatest(start, F.lit(1))), to_end)).otherwise(fragment)
+
+    def to_end(rest):
+        end = F.regexp_instr(rest, F.lit(END_TAG))
+        return F.when(end > 0, made(F.substr(rest, F.lit(1), end - 1 + F.length(F.regexp_extract(rest, END_TAG, 0))), F.lit(True))).otherwise(made(rest, F.lit(False)))
+
+    return let(strip(unescape(x)), page)
 
 
 def tags(doc: Column) -> Column:
-    return F.regexp_count(doc, F.lit("<[A-Za-z]")).cast("bigint")
+    """How many blocks, headings, paragraphs, items and buttons a document opens."""
+    return F.regexp_count(doc, F.lit(COUNTED)).cast("bigint")
 
 
 def score(doc: Column, complete: Column) -> Column:
-    """Long, complete, styled documents with a body and many tags score high; an ellipsis costs."""
+    """Long, complete, styled documents with a body and many tags score high; every ellipsis costs, more where it is
+    all that an element holds."""
     part = lambda test, n: F.when(test, n).otherwise(0)
-    total = F.least(F.length(doc), F.lit(20000)) + part(complete, 5000) + part(F.rlike(doc, F.lit("(?i)<style")), 2500) + part(F.rlike(doc, F.lit("(?i)<body")), 1500)
-    return (total + F.least(120 * tags(doc), F.lit(3000)) - part(F.contains(doc, F.lit("...")), 3000)).cast("bigint")
+    total = F.least(F.length(doc), F.lit(20000)) + part(complete, 5000) + part(F.rlike(doc, F.lit("(?i)<style")), 2500) + part(F.rlike(doc, F.lit("(?i)<body")), 1500) + part(F.rlike(doc, F.lit(SHOWS)), 1500)
+    dots = F.regexp_count(doc, F.lit(r"\.\.\.|\x{2026}")) * 3000 + F.regexp_count(doc, F.lit(r">[ \t\r\n]*\.\.\.[ \t\r\n]*<")) * 5000
+    return (total + F.least(120 * tags(doc), F.lit(3000)) - dots).cast("bigint")
+
+
+def candidates(x: Column) -> Column:
+    """Documents an answer holds, in order: its fenced html blocks, an open last one cut, or else the whole answer."""
+    closed = F.transform(F.regexp_extract_all(x, F.lit(r"(?is)```[ \t]*html[ \t]*\r?\n?(.*?)```"), F.lit(1)), lambda b: document(strip(b)))
+    tail = F.regexp_replace(x, r"(?is)```[ \t]*html[ \t]*\r?\n?.*?```", "")
+    rest = F.regexp_extract(tail, r"(?is)```[ \t]*html[ \t]*\r?\n?(.*)$", 1)
+    found = F.filter(F.concat(closed, F.array(document(strip(rest), True))), lambda d: d.isNotNull())
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(F.array(document(x)), lambda d: d.isNotNull())))
+
+
+def best(x: Column) -> Column:
+    """struct(score, place, doc, complete) of the candidate with the highest score, the first of equals; null where
+    an answer holds no markup."""
+    scored = F.transform(candidates(x), lambda d, i: F.struct(score(d["doc"], d["complete"]).alias("score"), (-i).alias("place"), d["doc"].alias("doc"), d["complete"].alias("complete")))
+    return F.array_max(scored)
 
 
 def fenced(x: Column, language: str) -> Column:

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 SILENCE, RESPONSE, DELEGATION = "</silence>", "</response>", "</delegation>"
 
 
+# White space as Java and RE2 both write it.
+WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\p{Z}]"
+
+
+def strip(x: Column) -> Column:
+    """Without blanks, tabs and line ends at the ends."""
+    return F.trim(x, F.lit(" \t\r\n\x0b\x0c"))
+
+
+def let(x: Column, body) -> Column:
+    """``body`` of ``x`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def collapse(x: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -67,9 +81,113 @@ def mask(x: Column) -> Column:
     return F.when(F.length(x) <= 8, F.lit("***")).otherwise(F.concat(F.substring(x, 1, 4), F.lit("..."), F.right(x, F.lit(4))))
 
 
-def strip_reasoning(x: Column) -> Column:
-    """Without ``<think>`` blocks: closed ones, an open one to the end, loose tags."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "(?is)<think>.*?</think>", ""), "(?is)<think>.*$", ""), "(?i)</?think>", ""))
+# The tags of reasoning, the labels of a final answer, and what is left out of shown questions.
+REASONING = "(?:think|thinking|reasoning)"
+FINAL = rf"(?im)^{WS}*(?:final answer|answer|final response|最终答案|正式答案|给用户的答案){WS}*[:：]{WS}*"
+ROUTING = rf"(?i){WS}*\[[^\]]*\b(?:User{WS}+(?:Query|Prompt|Request)|IMPORTANT)\b[^\]]*\]{WS}*"
+PREAMBLE = rf"^{WS}*请(?:回答|解答)这道(?:简答题|数学题|题目|问题)[，,、\s]*(?:并(?:提供|给出)必要的推理过程和最终答案)?[：:]{WS}*"
+SUMMARY = r"(?is)<summary\b[^>]*>(.*?)</summary>"
+SUMMARY_LABEL = rf"^{WS}*(?:摘要|总结|简要摘要|简述){WS}*[:：]{WS}*"
+VISUAL = "(?i)json|代码块|图表数据|绘图数据|可直接用于绘图|可视化数据|chart"
+SENTENCE_END = "。！？!?"
+CUT_MARK, QUESTION_LABEL, EXCERPT_LABEL = "\n...[已截断]", "用户委托问题: ", "核心内容摘录:\n"
+
+
+def strip_reasoning(x: Column, reach: int = 4000) -> Column:
+    """Without closed reasoning blocks and loose reasoning tags, and from behind the first final-answer label on, if
+    it starts within ``reach`` characters."""
+    x = strip(F.regexp_replace(x, rf"(?is)<{REASONING}[^>]*>.*?</{REASONING}>", ""))
+    x = strip(F.regexp_replace(x, rf"(?i)</?{REASONING}[^>]*>", ""))
+
+    def answer(v):
+        at = F.regexp_instr(v, F.lit(FINAL))
+        return F.when((at > 0) & (at <= reach + 1), strip(F.substr(v, at + F.length(F.regexp_extract(v, FINAL, 0))))).otherwise(v)
+
+    return let(x, answer)
+
+
+def clean_question(x: Column) -> Column:
+    """A delegated question as shown: no routing marks, no preamble, runs of blanks and empty lines squeezed."""
+    x = F.regexp_replace(F.regexp_replace(strip(x), ROUTING, " "), PREAMBLE, "")
+    x = F.regexp_replace(F.regexp_replace(x, "[ \t]{2,}", " "), f"([:：]){WS}+", "$1")
+    return strip(F.regexp_replace(F.regexp_replace(x, f"{WS}+\n", "\n"), "\n{3,}", "\n\n"))
+
+
+def split_summary(x: Column) -> Column:
+    """struct(summary, body): the first summary tag's cleaned text and all around the tag; without one the summary is
+    empty."""
+    x = strip(x)
+    at, tag = F.regexp_instr(x, F.lit(SUMMARY)), F.regexp_extract(x, SUMMARY, 0)
+    said = F.regexp_replace(strip_reasoning(strip(F.regexp_extract(x, SUMMARY, 1))), SUMMARY_LABEL, "")
+    body = strip(F.concat(F.substr(x, F.lit(1), at - 1), F.substr(x, at + F.length(tag))))
+    return F.when(at > 0, F.struct(strip(F.regexp_replace(said, "\n{3,}", "\n\n")).alias("summary"), body.alias("body"))).otherwise(F.struct(F.lit("").alias("summary"), x.alias("body")))
+
+
+def without_sentences(x: Column, pattern: str) -> Column:
+    """The text without each sentence that has the pattern, its end mark included; line ends stay."""
+    parts = F.regexp_extract_all(x, F.lit(f"[^{SENTENCE_END}\n]+[{SENTENCE_END}]?|[{SENTENCE_END}\n]"), F.lit(0))
+    return F.array_join(F.filter(parts, lambda p: ~F.rlike(p, F.lit(pattern))), "")
+
+
+def cut_handoff(x: Column, most: int) -> Column:
+    """At most ``most`` characters; a longer text ends in a mark."""
+    return let(F.regexp_replace(strip(x), "\n{3,}", "\n\n"), lambda v: F.when(F.length(v) <= most, v).otherwise(F.concat(F.rtrim(F.left(v, F.lit(most - 20)), F.lit(" \t\r\n")), F.lit(CUT_MARK))))
+
+
+def handoff(question: Column, answer: Column, notes: Column | None = None, most: int = 3500) -> Column:
+    """The digest of an answer: the question, notes on what it made, and an excerpt of at most half the length without
+    code, chart sentences and pages; empty for an empty answer."""
+
+    def prose(v):
+        v = F.regexp_replace(v, r"(?is)```[ \t]*(?:html|json)[ \t]*\r?\n.*?(?:\r?\n```|$)", "")
+        return strip(F.regexp_replace(without_sentences(v, VISUAL), r"(?is)(?:<!doctype\s+html\b|<html\b).*$", ""))
+
+    def digest(v):
+        told = let(prose(v), lambda p: F.when(p != "", p).otherwise(v if notes is None else p))
+        excerpt = let(told, lambda p: F.when(p != "", F.concat(F.lit(EXCERPT_LABEL), cut_handoff(p, most // 2))))
+        whole = F.concat_ws("\n\n", F.concat(F.lit(QUESTION_LABEL), strip(F.coalesce(question, F.lit("")))), *([] if notes is None else [notes]), excerpt)
+        return F.when(v == "", F.lit("")).otherwise(cut_handoff(whole, most))
+
+    return let(strip(answer), digest)
+
+
+# A time and how two of them make a range.
+TIME = r"([0-9]+(?:\.[0-9]+)?)\s*(?:seconds?|s)"
+RANGE = rf"{TIME}\s*([~-])\s*{TIME}"
+
+
+def time_range(x: Column) -> Column:
+    """``x.y seconds`` or a range of two such from a marker anywhere in the text, or from a text that is nothing
+    else; ``~`` has blanks around it, ``-`` none. Null where there is no time."""
+    inner = lambda v: F.coalesce(F.nullif(F.regexp_extract(v, rf"<({TIME}(?:\s*[~-]\s*{TIME})?)>", 1), F.lit("")), v)
+
+    def label(v):
+        part = lambda pattern, g: seconds_label(F.regexp_extract(v, pattern, g).try_cast("double"))
+        mark = F.when(F.regexp_extract(v, f"^{RANGE}$", 2) == "~", " ~ ").otherwise("-")
+        return F.when(F.rlike(v, F.lit(f"^{TIME}$")), part(f"^{TIME}$", 1)).when(F.rlike(v, F.lit(f"^{RANGE}$")), F.concat(part(f"^{RANGE}$", 1), mark, part(f"^{RANGE}$", 3)))
+
+    return let(let(strip(x), inner), label)
+
+
+def without_time_lines(x: Column) -> Column:
+    """The lines that are more than a time marker."""
+    lines = F.split(x, r"\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]")
+    return strip(F.array_join(F.filter(lines, lambda line: ~F.rlike(strip(line), F.lit(rf"^<{TIME}(?:\s*[~-]\s*{TIME})?>$"))), "\n"))
+
+
+def split_range(x: Column) -> Column:
+    """struct(start, end): cut at the first `` ~ ``, or else at the first ``-``, or else twice the whole."""
+    mark = F.when(F.contains(x, F.lit(" ~ ")), F.lit(" ~ ")).otherwise("-")
+    at = F.locate(" ~ ", x)
+    at = F.when(at > 0, at).otherwise(F.locate("-", x))
+    return F.when(at > 0, F.struct(strip(F.substr(x, F.lit(1), at - 1)).alias("start"), strip(F.substr(x, at + F.length(mark))).alias("end"))).otherwise(F.struct(strip(x).alias("start"), strip(x).alias("end")))
+
+
+def version(x: Column) -> Column:
+    """Leading digits of each dotted part up to the first part without any; such arrays compare in order."""
+    digits = F.transform(F.split(x, r"\."), lambda p: F.regexp_extract(p, "^[0-9]+", 0))
+    bad = F.array_position(digits, "")
+    return F.transform(F.when(bad > 0, F.slice(digits, F.lit(1), (bad - 1).cast("int"))).otherwise(digits), lambda p: p.try_cast("bigint"))
 
 
 def delegation(raw: Column) -> Column:

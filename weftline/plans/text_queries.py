@@ -62,9 +62,109 @@ def delegation_parse(spark, d):
     return outputs(spark, d).select("id", X.delegation(F.col("raw")).alias("r")).where("r IS NOT NULL").select("id", "r.*")
 
 
-@query(f"WITH {OUTPUTS} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*$', '', 'g'), '(?i)</?think>', '', 'g')) AS clean FROM outputs")
+def strip(x: str) -> str:
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def gsub(x: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+
+
+THOUGHT = f"""thought AS (SELECT id, {strip(gsub(strip(gsub("raw", f"(?is)<{X.REASONING}[^>]*>.*?</{X.REASONING}>", "''")), f"(?i)</?{X.REASONING}[^>]*>", "''"))} AS v FROM {{source}}),
+unthought AS (SELECT id, CASE WHEN regexp_matches(v, '{X.FINAL}') AND length(string_split_regex(v, '{X.FINAL}')[1]) <= 4000 THEN {strip(f"substr(v, length(string_split_regex(v, '{X.FINAL}')[1]) + length(regexp_extract(v, '{X.FINAL}')) + 1)")} ELSE v END AS clean FROM thought)"""
+LABELLED = "labelled AS (SELECT id, CASE id % 7 WHEN 0 THEN '<thinking a>' || raw || chr(10) || ' Final Answer: 42 ' || chr(10) || raw WHEN 1 THEN raw || '</REASONING>' ELSE raw END AS raw FROM outputs)"
+
+
+@query(f"WITH {OUTPUTS}, {LABELLED}, {THOUGHT.replace('{source}', 'labelled')} SELECT id, clean FROM unthought")
 def strip_thinking(spark, d):
-    return outputs(spark, d).select("id", X.strip_reasoning(F.col("raw")).alias("clean"))
+    """Outputs without reasoning: blocks, tags that were never closed or opened, all before a final-answer label."""
+    raw = F.when(F.col("id") % 7 == 0, F.concat(F.lit("<thinking a>"), "raw", F.lit("\n Final Answer: 42 \n"), "raw")).when(F.col("id") % 7 == 1, F.concat("raw", F.lit("</REASONING>"))).otherwise(F.col("raw"))
+    return outputs(spark, d).select("id", X.strip_reasoning(raw).alias("clean"))
+
+
+@query(f"""WITH q AS (SELECT doc_id AS id, {strip("'  [User  Query (IMPORTANT)] Task:  ' || text || chr(10) || chr(10) || chr(10) || chr(10) || '[important] end'")} AS v FROM documents),
+r AS (SELECT id, {gsub(gsub(gsub(gsub("v", X.ROUTING, "' '"), X.PREAMBLE, "''"), "[ \\t]{2,}", "' '"), f"([:：]){X.WS}+", "'\\1'")} AS v FROM q)
+SELECT id, {strip(gsub(gsub("v", f"{X.WS}+\\n", "chr(10)"), "\\n{3,}", "chr(10) || chr(10)"))} AS question FROM r""")
+def delegation_clean(spark, d):
+    """Delegated questions as they are shown."""
+    made = F.concat(F.lit("  [User  Query (IMPORTANT)] Task:  "), "text", F.lit("\n\n\n\n[important] end"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.clean_question(made).alias("question"))
+
+
+@query(f"""WITH outputs AS (SELECT doc_id AS id, 'A ' || left(text, 80) || ' <SUMMARY n="1"> 摘要: <think>x</think>' || substr(text, 81, 60) || '</Summary> ' || chr(10) || '<summary>two</summary>' AS x FROM documents),
+tagged AS (SELECT id, {strip("regexp_extract(x, '" + X.SUMMARY + "', 1)")} AS raw, {strip("regexp_replace(" + strip("x") + ", '" + X.SUMMARY + "', '')")} AS body FROM outputs), {THOUGHT.replace('{source}', 'tagged')}
+SELECT id, {strip(gsub(f"regexp_replace(clean, '{X.SUMMARY_LABEL}', '')", "\\n{3,}", "chr(10) || chr(10)"))} AS summary, body FROM unthought JOIN tagged USING (id)""")
+def summary_split(spark, d):
+    """The first summary tag of an answer and the rest of it."""
+    made = F.concat(F.lit("A "), F.left("text", F.lit(80)), F.lit(' <SUMMARY n="1"> 摘要: <think>x</think>'), F.substring("text", 81, 60), F.lit("</Summary> \n<summary>two</summary>"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.split_summary(made).alias("s")).select("id", "s.*")
+
+
+def cut(x: str, most: int) -> str:
+    v = gsub(strip(x), "\\n{3,}", "chr(10) || chr(10)")
+    return f"CASE WHEN length({v}) <= {most} THEN {v} ELSE rtrim(left({v}, {most - 20}), ' ' || chr(9) || chr(13) || chr(10)) || chr(10) || '...[已截断]' END"
+
+
+@query(f"""WITH a AS (SELECT doc_id AS id, {strip("text")} AS question, {strip("text || chr(10) || '```json' || chr(10) || '[1]' || chr(10) || '```' || '! See the Chart below. Or not! More.<html><p>x'")} AS answer FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+b AS (SELECT *, {gsub(gsub("answer", "(?is)```[ \\t]*(?:html|json)[ \\t]*\\r?\\n.*?(?:\\r?\\n```|$)", "''"), f"(?i)[^{X.SENTENCE_END}\\n]*(?:{X.VISUAL[4:]})[^{X.SENTENCE_END}\\n]*[{X.SENTENCE_END}]?", "''")} AS v FROM a),
+c AS (SELECT *, {strip("regexp_replace(v, '(?is)(<!doctype\\s+html\\b|<html\\b).*$', '')")} AS v2 FROM b), e AS (SELECT id, question, CASE WHEN v2 = '' THEN answer ELSE v2 END AS prose FROM c)
+SELECT id, {cut(f"'用户委托问题: ' || question || chr(10) || chr(10) || '核心内容摘录:' || chr(10) || {cut('prose', 600)}", 1200)} AS digest FROM e""")
+def handoff(spark, d):
+    """The bounded digest of an answer that the foreground may use."""
+    text = F.coalesce("text", F.lit(""))
+    made = F.concat(text, F.lit("\n```json\n[1]\n```! See the Chart below. Or not! More.<html><p>x"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.handoff(text, made, None, 1200).alias("digest"))
+
+
+TIMES = """times AS (SELECT session, t, CASE event_id % 6 WHEN 0 THEN 'at <' || event_id % 50 || ' seconds ~ ' || event_id % 50 + 5 || '.25s> x' WHEN 1 THEN event_id % 50 || '.55 seconds' WHEN 2 THEN event_id % 50 || 's-' || event_id % 50 + 3 || 's' WHEN 3 THEN event_id % 50 || 's ~  ' || event_id % 50 + 3 || 'second' WHEN 4 THEN 'soon' ELSE '' END AS x FROM frames)"""
+LABEL = "printf('%.1f seconds', floor(regexp_extract(y, '{p}', {g})::DOUBLE * 10 + 0.5) / 10)"
+NORMAL_TIMES = f"""inner_times AS (SELECT session, t, CASE WHEN regexp_matches(x, '<{X.TIME}(?:\\s*[~-]\\s*{X.TIME})?>') THEN regexp_extract(x, '<({X.TIME}(?:\\s*[~-]\\s*{X.TIME})?)>', 1) ELSE x END AS y FROM times),
+ranges AS (SELECT session, t, CASE WHEN regexp_matches(y, '^{X.TIME}$') THEN {LABEL.format(p=f"^{X.TIME}$", g=1)} WHEN regexp_matches(y, '^{X.RANGE}$') THEN {LABEL.format(p=f"^{X.RANGE}$", g=1)} || CASE WHEN contains(y, '~') THEN ' ~ ' ELSE '-' END || {LABEL.format(p=f"^{X.RANGE}$", g=3)} END AS r FROM inner_times)"""
+
+
+def _time_texts(spark, d):
+    s = F.col("event_id") % 50
+    n = lambda add=0: (s + add).cast("string")
+    k = F.col("event_id") % 6
+    x = F.when(k == 0, F.concat(F.lit("at <"), n(), F.lit(" seconds ~ "), n(5), F.lit(".25s> x"))).when(k == 1, F.concat(n(), F.lit(".55 seconds"))).when(k == 2, F.concat(n(), F.lit("s-"), n(3), F.lit("s"))).when(k == 3, F.concat(n(), F.lit("s ~  "), n(3), F.lit("second"))).when(k == 4, "soon").otherwise("")
+    return frames(spark, d).select("session", "t", x.alias("x"))
+
+
+@query(f"WITH {FRAMES}, {TIMES}, {NORMAL_TIMES} SELECT session, t, r AS label, CASE WHEN contains(r, ' ~ ') THEN split_part(r, ' ~ ', 1) ELSE split_part(r, '-', 1) END AS start_label, CASE WHEN contains(r, ' ~ ') THEN split_part(r, ' ~ ', 2) WHEN contains(r, '-') THEN split_part(r, '-', 2) ELSE r END AS end_label FROM ranges")
+def time_normalise(spark, d):
+    """Range texts as one form, with their ends; null where the text is no time."""
+    r = _time_texts(spark, d).select("session", "t", X.time_range(F.col("x")).alias("label"))
+    part = X.split_range(F.col("label"))
+    return r.select("session", "t", "label", part["start"].alias("start_label"), part["end"].alias("end_label"))
+
+
+@query(f"""WITH {FRAMES}, {TIMES}, {NORMAL_TIMES}, f AS (SELECT session, t, (t - 1) // 10 AS batch, (t - 1) % 10 AS place FROM frames),
+ok AS (SELECT session, r, (t - 1) // 10 AS batch, row_number() OVER (PARTITION BY session, (t - 1) // 10 ORDER BY t) - 1 AS place FROM ranges WHERE r IS NOT NULL)
+SELECT f.session, f.batch, f.place, coalesce(ok.r, printf('%.1f seconds', f.place * 0.5)) AS label FROM f LEFT JOIN ok ON f.session = ok.session AND f.batch = ok.batch AND f.place = ok.place""")
+def zip_ranges(spark, d):
+    """The n-th image of a request gets its n-th readable range, so that later ones shift over unreadable ones; images
+    beyond have their place in half seconds. A request has ten images at most."""
+    t = _time_texts(spark, d).withColumn("r", X.time_range(F.col("x")))
+    g = t.groupBy("session", F.floor((F.col("t") - 1) / 10).cast("bigint").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("t", "r"))).alias("all"))
+    g = g.withColumn("ok", F.transform(F.filter("all", lambda x: x.r.isNotNull()), lambda x: x.r))
+    label = lambda x, i: F.struct(i.cast("bigint").alias("place"), F.coalesce(F.get("ok", i), F.format_string("%.1f seconds", i * F.lit(0.5))).alias("label"))
+    return g.select("session", "batch", F.inline(F.transform("all", label)))
+
+
+@query(f"""WITH l AS (SELECT doc_id AS id, string_split_regex('<' || doc_id % 60 || ' seconds>' || chr(10) || text || chr(13) || ' <3s - 4.5s> ' || chr(10) || 'last <5s>', '\\r\\n|[\\n\\r\\x0B\\x0C\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM documents)
+SELECT id, {strip(f"array_to_string(list_filter(l, lambda x: NOT regexp_matches({strip('x')}, '^<{X.TIME}(?:\\s*[~-]\\s*{X.TIME})?>$')), chr(10))")} AS clean FROM l""")
+def strip_time_lines(spark, d):
+    made = F.concat(F.lit("<"), (F.col("doc_id") % 60).cast("string"), F.lit(" seconds>\n"), "text", F.lit("\r <3s - 4.5s> \nlast <5s>"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.without_time_lines(made).alias("clean"))
+
+
+@query("""WITH v AS (SELECT event_id, '1.' || event_id % 20 || '.' || event_id % 3 || CASE event_id % 4 WHEN 0 THEN 'rc1.9' WHEN 1 THEN '.beta' ELSE '' END AS version FROM events)
+SELECT event_id, version, CASE WHEN event_id % 4 = 0 THEN [1, event_id % 20, event_id % 3, 9] ELSE [1, event_id % 20, event_id % 3] END >= [1, 10, 1] AS enough FROM v""")
+def version_compare(spark, d):
+    """Versions of at least 1.10.1, compared part by part."""
+    k = F.col("event_id") % 4
+    made = F.concat(F.lit("1."), (F.col("event_id") % 20).cast("string"), F.lit("."), (F.col("event_id") % 3).cast("string"), F.when(k == 0, "rc1.9").when(k == 1, ".beta").otherwise(""))
+    return table(spark, d, "events").select("event_id", made.alias("version"), (X.version(made) >= X.version(F.lit("1.10.1"))).alias("enough"))
 
 
 @query(f"WITH s AS (SELECT doc_id AS id, left({squeeze('text')}, 2000) AS said FROM documents), p AS (SELECT id, said, unnest(range(0, length(said), 12)) AS i FROM s) SELECT id, (i // 12)::BIGINT AS place, substr(said, i + 1, 12) AS part FROM p")
@@ -79,13 +179,33 @@ def prompt_text(spark, d):
     return turns(spark, d).groupBy("session").agg(F.max_by("text", at).alias("prompt"), F.min_by("text", at).alias("first_prompt"))
 
 
-@query("""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), c AS (SELECT page_id, h, instr(lower(h), '<!doctype') AS dt, instr(lower(h), '<html') AS ht, instr(lower(h), '</html>') AS e FROM p),
-x AS (SELECT page_id, e > 0 AS complete, CASE WHEN greatest(dt, ht) = 0 THEN h ELSE substr(h, CASE WHEN dt > 0 THEN dt ELSE ht END, CASE WHEN e > 0 THEN e + 7 - CASE WHEN dt > 0 THEN dt ELSE ht END ELSE length(h) END) END AS doc FROM c)
-SELECT page_id, complete, length(doc)::BIGINT AS n_chars, len(regexp_extract_all(doc, '<[A-Za-z]'))::BIGINT AS n_tags,
- (least(length(doc), 20000) + CASE WHEN complete THEN 5000 ELSE 0 END + CASE WHEN regexp_matches(doc, '(?i)<style') THEN 2500 ELSE 0 END + CASE WHEN regexp_matches(doc, '(?i)<body') THEN 1500 ELSE 0 END + least(120 * len(regexp_extract_all(doc, '<[A-Za-z]')), 3000) - CASE WHEN contains(doc, '...') THEN 3000 ELSE 0 END)::BIGINT AS score FROM x""")
+def plain_markup(x: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+OPEN = " OR ".join(f"(regexp_matches(h, '(?i)<{t}\\b') AND NOT regexp_matches(h, '(?i)</{t}[ \\t\\r\\n]*>'))" for t in ("html", "body", "head", "style"))
+PAGES = rf"""p AS (SELECT page_id, {plain_markup("coalesce(html, '')")} AS h FROM pages),
+c AS (SELECT page_id, h, regexp_extract(h, '(?is)(?:<!doctype[ \t\r\n]+html\b|<html\b).*$') AS rest FROM p),
+x AS (SELECT page_id, h, rest, regexp_extract(rest, '(?is)^.*?</html[ \t\r\n]*>') AS whole FROM c),
+d AS (SELECT page_id, CASE WHEN whole <> '' THEN whole WHEN rest <> '' THEN rest WHEN regexp_matches(h, '{html.FRAGMENT}') THEN '<!doctype html>' || chr(10) || '{html.HEAD.split(chr(10))[1]}' || h || '{html.FOOT}' END AS doc, CASE WHEN rest <> '' THEN whole <> '' ELSE NOT ({OPEN}) END AS complete FROM x),
+s AS (SELECT page_id, doc, complete, length(doc)::BIGINT AS n_chars, len(regexp_extract_all(doc, '{html.COUNTED}'))::BIGINT AS n_tags,
+ (least(length(doc), 20000) + CASE WHEN complete THEN 5000 ELSE 0 END + CASE WHEN regexp_matches(doc, '(?i)<style') THEN 2500 ELSE 0 END + CASE WHEN regexp_matches(doc, '(?i)<body') THEN 1500 ELSE 0 END + CASE WHEN regexp_matches(doc, '{html.SHOWS}') THEN 1500 ELSE 0 END
+ + least(120 * len(regexp_extract_all(doc, '{html.COUNTED}')), 3000) - 3000 * len(regexp_extract_all(doc, '\.\.\.|\x{{2026}}')) - 5000 * len(regexp_extract_all(doc, '>[ \t\r\n]*\.\.\.[ \t\r\n]*<')))::BIGINT AS score FROM d WHERE doc IS NOT NULL)"""
+
+
+@query(f"WITH {PAGES} SELECT page_id, complete, n_chars, n_tags, score FROM s")
 def html_score(spark, d):
     doc = html.document(F.coalesce("html", F.lit("")))
-    return table(spark, d, "pages").select("page_id", doc.alias("r")).select("page_id", F.col("r.complete").alias("complete"), F.length("r.doc").cast("bigint").alias("n_chars"), html.tags(F.col("r.doc")).alias("n_tags"), html.score(F.col("r.doc"), F.col("r.complete")).alias("score"))
+    return table(spark, d, "pages").select("page_id", doc.alias("r")).where("r IS NOT NULL").select("page_id", F.col("r.complete").alias("complete"), F.length("r.doc").cast("bigint").alias("n_chars"), html.tags(F.col("r.doc")).alias("n_tags"), html.score(F.col("r.doc"), F.col("r.complete")).alias("score"))
+
+
+@query(f"WITH {PAGES} SELECT page_id, -((page_id % 2 = 1)::BIGINT) AS place, doc, complete, score FROM s")
+def html_extract(spark, d):
+    """The best document of an answer: a page after prose, in a fence, or after a fenced scrap that scores below it."""
+    page = F.coalesce("html", F.lit(""))
+    return table(spark, d, "pages").where(~F.contains(page, F.lit("```"))).select("page_id", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("See\n```html\n<p>...</p>\n```\n```html\n"), page, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("```html\n"), page, F.lit("\n```"))).alias("answer")).select("page_id", html.best(F.col("answer")).alias("b")).select("page_id", F.col("b.place").cast("bigint").alias("place"), F.col("b.doc").alias("doc"), "b.complete", "b.score").where("score IS NOT NULL")
 
 
 @query("""SELECT doc_id AS id, chr(10) || '```html' || chr(10) || left(text, 100) || chr(10) || '```' || ' tail' AS answer, left(text, 100) AS block FROM documents WHERE NOT contains(left(text, 100), '`')""")
