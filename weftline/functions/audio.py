@@ -34,3 +34,28 @@ def rechunk(df: DataFrame, size: int) -> DataFrame:
     x = df.withColumn("b", upto).withColumn("a", F.col("b") - F.col("n")).where("n > 0")
     x = x.withColumn("slice", F.explode(F.sequence(F.floor(F.col("a") / size).cast("bigint"), F.floor((F.col("b") - 1) / size).cast("bigint"))))
     return x.groupBy("session", "slice").agg(F.sum(F.least("b", (F.col("slice") + 1) * size) - F.greatest("a", F.col("slice") * size)).alias("n_bytes"), F.count("*").alias("n_packets"))
+
+
+def _little(x: Column, at: int, n: int) -> Column:
+    return F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring(x, at, n)), F.lit(".."), F.lit(0))), ""), 16, 10).cast("bigint")
+
+
+def wav(pcm: Column, rate: int) -> Column:
+    """A mono 16-bit WAV file of the samples."""
+    word = lambda c, n: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(c.cast("bigint")), 2 * n, "0"), F.lit(".."), F.lit(0))), ""))
+    size = F.length(pcm)
+    ascii = lambda text: F.lit(text).cast("binary")
+    return F.concat(ascii("RIFF"), word(size + 36, 4), ascii("WAVEfmt "), word(F.lit(16), 4), word(F.lit(1), 2), word(F.lit(1), 2), word(F.lit(rate), 4), word(F.lit(2 * rate), 4), word(F.lit(2), 2), word(F.lit(16), 2), ascii("data"), word(size, 4), pcm)
+
+
+def read_wav(x: Column) -> Column:
+    """struct(rate, pcm, reason) of a WAV file with the usual 44-byte header; reason is null where it is readable."""
+    reason = F.when((F.length(x) < 44) | (F.substring(x, 1, 4) != F.lit("RIFF").cast("binary")), "no wav").when(_little(x, 23, 2) != 1, "not mono").when(_little(x, 35, 2) != 16, "not 16 bit")
+    ok = reason.isNull()
+    return F.struct(F.when(ok, _little(x, 25, 4)).alias("rate"), F.when(ok, F.substr(x, F.lit(45), _little(x, 41, 4).cast("int"))).alias("pcm"), reason.alias("reason"))
+
+
+def packet_fault(frame: Column) -> Column:
+    """Why a packet is refused: short, empty or of odd length; null where it is not."""
+    n = F.length(frame) - 12
+    return F.when(n < 0, "short header").when(n == 0, "empty audio").when(n % 2 == 1, "odd length")

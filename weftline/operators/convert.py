@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_DURATION = 320
@@ -46,3 +46,21 @@ def counters(samples: DataFrame, events: DataFrame, most: int = MAX_DURATION) ->
     s = accepted(samples, events, most).withColumn("fps", fps(F.col("duration")))
     images = F.greatest(F.least("duration", F.lit(most)) * F.col("fps"), F.lit(1))
     return s.groupBy("fps").agg(F.count("*").alias("processed"), F.count_if(F.col("duration") > most).alias("truncated"), F.sum(images).alias("n_images"))
+
+
+def within_budget(inputs: DataFrame, file: str, order: str, most: int) -> DataFrame:
+    """Rows with ``ok`` that a budget of ``most`` successes admits, files in order: each offers its first rows, as many
+    as the budget has left. A file that fits whole is decided by its counts; only where one is cut are its successes
+    counted again. The driver holds two counts a file, as it does a listing of them."""
+    n = F.row_number().over(Window.partitionBy(file).orderBy(order))
+    ranked = inputs.withColumn("__n", n)
+    counts = inputs.groupBy(file).agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).orderBy(file).collect()
+    left, rooms = most, []
+    for c in counts:
+        if left <= 0:
+            break
+        rooms.append((c[file], left))
+        left -= c["ok"] if c["n"] <= left else ranked.where((F.col(file) == c[file]) & (F.col("__n") <= left) & F.col("ok")).count()
+    kind = inputs.schema[file].dataType.simpleString()
+    room = inputs.sparkSession.createDataFrame(rooms, f"`{file}` {kind}, __room bigint")
+    return ranked.join(room, file).where("__n <= __room AND ok").select(*inputs.columns)
