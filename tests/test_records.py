@@ -58,8 +58,8 @@ def test_text_rules(spark):
 
 
 def test_html(spark):
-    got = column(spark, ["", "plain", "<p>a", "<html>a", "```html\n<p>...</p>\n```\n```html\n<div>long enough</div>\n```", "```html\n<p>open"], html.best)
-    assert [g and (g.place, g.complete) for g in got] == [None, None, (0, True), (0, False), (-1, True), (0, False)]
+    got = column(spark, ["", "plain", "<p>a", "<html>a", "```html\n<p>...</p>\n```\n```html\n<div>long enough</div>\n```", "```html\n<p>open", '```json\n{"type": "html", "html": "<p>j"}\n```', '```json\n{"type": "bar_chart"}\n```'], html.best)
+    assert [g and (g.place, g.complete) for g in got] == [None, None, (0, True), (0, False), (-1, True), (0, False), (0, True), None]
 
 
 def test_wav(spark, tmp_path):

@@ -65,11 +65,14 @@ def score(doc: Column, complete: Column) -> Column:
 
 
 def candidates(x: Column) -> Column:
-    """Documents an answer holds, in order: its fenced html blocks, an open last one cut, or else the whole answer."""
+    """Documents an answer holds, in order: its fenced html blocks, an open last one cut, and JSON blocks of type html;
+    or else the whole answer."""
     closed = F.transform(F.regexp_extract_all(x, F.lit(r"(?is)```[ \t]*html[ \t]*\r?\n?(.*?)```"), F.lit(1)), lambda b: document(strip(b)))
     tail = F.regexp_replace(x, r"(?is)```[ \t]*html[ \t]*\r?\n?.*?```", "")
     rest = F.regexp_extract(tail, r"(?is)```[ \t]*html[ \t]*\r?\n?(.*)$", 1)
-    found = F.filter(F.concat(closed, F.array(document(strip(rest), True))), lambda d: d.isNotNull())
+    blocks = F.regexp_extract_all(x, F.lit(r"(?is)```[ \t]*json[ \t]*\r?\n?(.*?)```"), F.lit(1))
+    in_json = F.transform(blocks, lambda b: F.when(F.get_json_object(b, "$.type") == "html", document(F.get_json_object(b, "$.html"))))
+    found = F.filter(F.concat(closed, F.array(document(strip(rest), True)), in_json), lambda d: d.isNotNull())
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(F.array(document(x)), lambda d: d.isNotNull())))
 
 
