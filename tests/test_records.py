@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import audio, html, jsontext
 from weftline.functions import text as X
 from weftline.operators import convert, links
+from weftline.plans import record_queries
 from weftline.sinks import files
 from weftline.sources import readers
 from weftline.streaming import folds
@@ -121,3 +122,19 @@ def test_stream_sessions_and_state_across_batches(spark, tmp_path):
         files.write_stream(folds.sessions(stream, "20 seconds", "0 seconds"), ended, ended + "-state")
     assert sorted(r.event_id for r in spark.read.parquet(kept).where("kept").collect()) == [1, 2, 4, 5, 6]
     assert sorted((r.session, r.last_us, r.n_turns) for r in spark.read.parquet(ended).collect()) == [(1, 11_000_000, 3), (2, 0, 1), (2, 100_000_000, 1)]
+
+
+def test_first_json_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+
+    def brute(text):
+        for i in range(len(text)):
+            for j in range(len(text), i + 1, -1):
+                if text[i] == "{" and text[j - 1] == "}":
+                    try:
+                        return json.dumps(json.loads(text[i:j]), ensure_ascii=False, sort_keys=True)
+                    except ValueError:
+                        pass
+
+    want = {r.event_id: brute(f"log {{x}} {r.props} tail {{") for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    assert {r.event_id: r.found for r in record_queries.first_json(spark, sf).collect()} == want
