@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import as_bytes, small_batches, written
 
-REPEATS, PIECE_ROWS, MOST_PATTERNS = 3, 2_000, 2048
+REPEATS, PIECE_ROWS, RUN_PIECES, MOST_PATTERNS = 3, 2_000, 1_000, 2048
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -127,8 +127,12 @@ def mix(rows: DataFrame, seed: int = 5) -> DataFrame:
     lot = F.xxhash64(F.lit(seed), "doc_id", "size")
     dealt = rows.join(F.broadcast(plan), "pattern").withColumns({"lot": lot, "piece": F.expr("pmod(xxhash64(lot, 3), pieces)")})
     sums = dealt.groupBy("pattern", "piece", "rest").agg(F.sum("size").alias("words"))
-    to_here = Window.partitionBy("pattern").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)  # one row a piece
-    sums = sums.withColumn("upto", F.sum("words").over(to_here))
+    sums = written(sums.withColumn("run", F.expr(f"piece div {RUN_PIECES}")), "mix-pieces")
+    earlier = Window.partitionBy("pattern").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row a run of pieces
+    runs = sums.groupBy("pattern", "run").agg(F.sum("words").alias("n"))
+    runs = runs.select("pattern", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    to_here = Window.partitionBy("pattern", "run").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.join(runs, ["pattern", "run"]).withColumn("upto", F.col("before") + F.sum("words").over(to_here))
     where = F.when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") < F.col("rest"), 0).otherwise(-1)
     sides = sums.select("pattern", "piece", where.alias("side"), (F.col("rest") - F.col("upto") + F.col("words")).alias("room"))
     dealt = dealt.join(sides, ["pattern", "piece"])
