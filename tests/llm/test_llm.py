@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from weftline.llm import bpe, brown, components, embeddings, langid, media, mixing, secrets, sharding, simhash, toxicity
+from weftline.llm import bpe, brown, common, components, embeddings, langid, media, mixing, secrets, sharding, simhash, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -146,6 +146,16 @@ def test_mix_meets_targets(spark):
     assert mixing.targets({"a": 10, "b": 1000, None: 1000}) == {"a": 30.0, "b": pytest.approx(792.0), None: pytest.approx(1188.0)}
 
 
+def test_mix_in_runs_of_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE_ROWS", 20)
+    monkeypatch.setattr(mixing, "RUN_PIECES", 7)
+    r = np.random.default_rng(10)
+    sized = spark.createDataFrame([(i, [None if i % 3 else "s"], int(r.integers(1, 9))) for i in range(3000)], "doc_id bigint, sources array<string>, size bigint")
+    rows = mixing.mix(sized).groupBy("target").agg({"taken": "sum", "doc_id": "count"}).collect()
+    assert sum(x["count(doc_id)"] for x in rows) == 3000
+    assert all(abs(x["sum(taken)"] - x.target) <= 9 for x in rows)
+
+
 def test_flow_routes_overlapping_sources():
     given = mixing.cheapest_flow([(("a",), 10), (("a", "b"), 10), (("b",), 10)], {"a": 25, "b": 15})
     assert given == [15, 15, 10] or sum(given) == 40 and max(given) <= 20
@@ -274,6 +284,32 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark), secrets.fit(empty(spark))).count() == 0
 
 
+def test_secret_candidates_are_marked_in_one_walk():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        ends = np.sort(r.choice(60, 12, replace=False)).tolist()
+        found = list(zip(ends[::2], ends[1::2], strict=True))
+        spans = sorted((int(a), int(a + n), "hex") for a, n in zip(r.integers(0, 60, 4), r.integers(1, 25, 4), strict=True))
+        assert secrets.touched(found, spans) == [any(a < e and s < b for s, e, _ in spans) for a, b in found]
+    assert secrets.touched([], [(0, 1, "hex")]) == [] and secrets.touched([(0, 1)], []) == [False]
+
+
+def test_secret_scores_do_not_depend_on_the_batch(monkeypatch):
+    net, r = secrets.Network(), np.random.default_rng(7)
+    windows = [("".join(r.choice(list("abcXYZ019 é"), n)), 2, n - 2) for n in (12, 13, 40, 300, 5000, 5000)]
+    alone = [net.logits([w])[0] for w in windows]
+    assert net.logits(windows) == pytest.approx(alone)
+    monkeypatch.setattr(secrets.Network, "PLACES", 64)  # long ones are read in pieces
+    assert net.logits(windows) == pytest.approx(alone)
+    assert net.logits([]).tolist() == []
+
+
+def test_one_row_of_each_key(spark):
+    rows = [(1, "b", "x"), (1, "a", None), (1, "a", "y"), (2, None, "z"), (None, "n", "n"), (2, "c", "c")]
+    got = common.one_row_each(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", None), (2, None, "z"), (None, "n", "n")}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -46,6 +46,13 @@ def bounded_sample(df: DataFrame, n: int, seed: int = 17, key: str = "doc_id") -
     return df.join(F.broadcast(keys), key, "left_semi")
 
 
+def one_row_each(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of each ``key``, the smallest by the other columns in their order: a key that repeats without bound
+    cannot gather rows."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, doc_crc, small_batches
+from weftline.llm.common import bounded_sample, doc_crc, one_row_each, small_batches
 
 SLOTS, GRAMS, SAMPLE = 1 << 14, 3, 3000
 LETTER = re.compile(r"[^\W\d_]")
@@ -90,10 +90,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 3, seed: int = 9) -> dict:
-    """Learns from ``labelled`` (doc_id, text, lang): frequencies from all rows, weights from ``sample`` of them."""
+    """Learns from ``labelled`` (doc_id, text, lang): frequencies from all rows, weights from ``sample`` ids, of
+    which each gives one row however often it is repeated."""
     idf = inverse_frequencies(labelled)
-    rows = bounded_sample(labelled.where(F.length("text") > 0), sample, seed).select("doc_id", "text", "lang").collect()
-    rows = sorted(rows, key=lambda r: (str(r.doc_id), r.text))[: 2 * sample]
+    sampled = bounded_sample(labelled.where(F.length("text") > 0), sample, seed).select("doc_id", "text", "lang")
+    rows = sorted(one_row_each(sampled).collect(), key=lambda r: str(r.doc_id))
     langs = sorted({r.lang for r in rows})
     kept = [(*tf_idf(r.text, idf), langs.index(r.lang)) for r in rows]
     order = np.random.default_rng(seed).permutation(len(kept))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, bounded_sample, doc_crc, small_batches
+from weftline.llm.common import as_bytes, bounded_sample, doc_crc, one_row_each, small_batches
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE, LEAST_COUNT = 2000, 4000, 2
 DISCOUNTS, FOLDS, PASSAGE, TOP = (0.75, 1.25, 2.0, 3.0), 3, 16, 2
@@ -105,15 +105,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> tuple[Model, np.ndarray] | None:
     """Learns from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) marks: at most
-    ``TOXIC_SAMPLE`` toxic and ``ORDINARY_SAMPLE`` other ids, weighted to the shares of all labels. The
-    calibration sees each row by a model of the other folds. None without labels of either kind."""
+    ``TOXIC_SAMPLE`` toxic and ``ORDINARY_SAMPLE`` other ids, weighted to the shares of all labels, one
+    row an id however often it is repeated. The calibration sees each row by a model of the other folds. None without labels of either kind."""
     labels = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(share) < 2:
         return None
     picked = bounded_sample(labels.where("toxic = 1"), TOXIC_SAMPLE, seed).unionByName(bounded_sample(labels.where("toxic = 0"), ORDINARY_SAMPLE, seed))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted({(str(r.doc_id), r.text, r.toxic) for r in rows})
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = sorted((str(r.doc_id), r.text, r.toxic) for r in one_row_each(rows).collect())
     if len({r[2] for r in rows}) < 2:
         return None
     raw, y = [r[1].encode() for r in rows], np.array([r[2] for r in rows], float)
