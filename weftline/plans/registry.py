@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.plans import record_queries, session_queries, text_queries
+from weftline.plans import detail_queries, record_queries, session_queries, text_queries
 
 
 def queries() -> dict:
-    return session_queries.QUERIES | text_queries.QUERIES | record_queries.QUERIES
+    return session_queries.QUERIES | text_queries.QUERIES | record_queries.QUERIES | detail_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return session_queries.SQL | text_queries.SQL | record_queries.SQL
+    return session_queries.SQL | text_queries.SQL | record_queries.SQL | detail_queries.SQL
