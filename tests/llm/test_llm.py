@@ -243,6 +243,15 @@ def test_exchange_separates_classes():
     assert len({of[0], of[2], of[4]}) == 1 and len({of[1], of[3], of[5]}) == 1 and of[0] != of[1]
 
 
+def test_brown_classes_words_beyond_the_seeds(spark, monkeypatch):
+    monkeypatch.setattr(brown, "SEEDS", 20)
+    counts = brown.word_counts(docs(spark)).cache()
+    words, _, least = brown.frequent_words(counts, 50)
+    table, of = brown.learnt(docs(spark), counts, words, least)
+    got, often = {r.word: r["class"] for r in table.collect()}, {r.word for r in counts.collect() if r.n >= 2 and r.word != brown.END}
+    assert len(often) > 300 and set(got) == often and max(got.values()) < of[-2] and [got[w] for w in words] == of[: len(words)].tolist()
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(7)
     v = [r.normal(size=16).tolist() for _ in range(60)]

@@ -1,9 +1,10 @@
 """Language-model scoring by Brown class bigrams.
 
 Words are counted over all training documents. The most frequent ones are assigned to classes by exchange on their
-bigram counts; all others share a class. A text's log10 probability is the sum of class transitions and of word
-emissions. Frequent words are looked up in a broadcast table of bounded length; the counts of rarer ones reach the
-documents by a join.
+bigram counts. Then every word counted at least ``FEW`` times goes to the class that gains the most mutual information,
+by the classes of all its neighbours, round after round while that gains; only rarer words share a class. A text's log10
+probability is the sum of class transitions and of word emissions. Frequent words are looked up in a broadcast table of
+bounded length; the counts and classes of rarer ones reach the documents by a join.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import as_bytes, doc_crc, small_batches, words_of, written
 
 END = b"\n"  # no word holds white space
-HEAD, CLUSTERED, CLASSES, SWEEPS, ALPHA = 131_072, 1000, 32, 4, 0.1
+HEAD, SEEDS, CLASSES, FEW, GAIN, ALPHA = 131_072, 1000, 32, 2, 0.01, 0.1
 
 
 def word_counts(texts: DataFrame, held: int = 150_000) -> DataFrame:
@@ -81,7 +82,26 @@ def bigram_counts(texts: DataFrame, words: list[bytes]) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
+def xlogx(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def gains(between: np.ndarray, left: np.ndarray, right: np.ndarray, after: np.ndarray, before: np.ndarray, itself: float) -> np.ndarray:
+    """Mutual information that each class gains by a word in no class, with its counts of classes after and before it
+    and of itself beside itself (which are in neither)."""
+    nl, nr = after.sum() + itself, before.sum() + itself
+    i, j = np.flatnonzero(after), np.flatnonzero(before)
+    gain = (xlogx(between[:, i] + after[i]) - xlogx(between[:, i])).sum(1) + (xlogx(between[j] + before[j, None]) - xlogx(between[j])).sum(0)
+    d = np.diag(between)
+    gain += xlogx(d + after + before + itself) - xlogx(d + after) - xlogx(d + before) + xlogx(d)
+    return gain - (xlogx(left + nl) - xlogx(left) + xlogx(right + nr) - xlogx(right))
+
+
+def information(between: np.ndarray) -> float:
+    return float(xlogx(between).sum() - xlogx(between.sum(1)).sum() - xlogx(between.sum(0)).sum() + xlogx(between.sum()))
+
+
+def exchange(pairs: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarray:
     """Class of each row of ``pairs``: words move, one at a time, to the class that gains the most mutual information,
     until a sweep moves none. The last two rows (other words, the end) keep classes of their own."""
     n = len(pairs) - 2
@@ -90,8 +110,8 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     onehot = np.eye(k)[of]
     between = onehot.T @ pairs @ onehot
     left, right = between.sum(1), between.sum(0)
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
-    for _ in range(sweeps):
+    least = 1e-9 * max(pairs.sum(), 1.0)  # what rounding alone can gain
+    for _ in repeat(None) if sweeps is None else range(sweeps):
         moved = 0
         for w in range(n):
             own = of[w]
@@ -103,12 +123,9 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             nl, nr = after.sum() + itself, before.sum() + itself
             left[own] -= nl
             right[own] -= nr
-            now = xlogx(between)
-            gain = (xlogx(between + after) - now).sum(1) + (xlogx(between + before[:, None]) - now).sum(0)
-            d = np.diag(between)
-            gain += xlogx(d + after + before + itself) - xlogx(d + after) - xlogx(d + before) + xlogx(d)
-            gain -= xlogx(left + nl) - xlogx(left) + xlogx(right + nr) - xlogx(right)
+            gain = gains(between, left, right, after, before, itself)
             best = int(np.argmax(gain[: k - 2]))
+            best = best if gain[best] > gain[own] + least else own
             moved += best != own
             of[w] = best
             onehot[w, best] = 1
@@ -122,6 +139,158 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+class Places(dict):
+    """Numbers words it does not have yet."""
+
+    def __missing__(self, word):
+        self[word] = at = len(self)
+        return at
+
+
+def profiles(texts: DataFrame, words: list[bytes], of: np.ndarray, k: int, held: int = 1_000_000) -> DataFrame:
+    """(word, slots, times) of every word, several rows a word: how often each class stands after (slot c) and before
+    it (slot k + c) and how often it follows itself (slot 2k, in the others too). The row of the empty word has the
+    counts of all class pairs. Neighbours outside ``words`` count as other words here."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, of))
+
+    def run(batches):
+        words, of = shared.value
+        head = {w: i for i, w in enumerate(words)}
+        width, end = 2 * k + 1, of[-1]
+        between, places, found = np.zeros(k * k, np.int64), Places(head), []
+
+        def flushed():
+            at = np.concatenate(found)
+            inner = at != -1
+            c = np.where(inner, np.append(of[: len(words)], end)[np.where(inner & (at < len(words)), at, -1)], end)
+            c[at >= len(words)] = of[-2]
+            a, b, ca, cb = at[:-1], at[1:], c[:-1], c[1:]
+            between[:] += np.bincount(ca * k + cb, minlength=k * k)
+            keys = [(a * width + cb)[a >= 0], (b * width + k + ca)[b >= 0], (a * width + 2 * k)[(a == b) & (a >= 0)]]
+            keys, n = np.unique(np.concatenate(keys), return_counts=True)
+            word, slot = keys // width, (keys % width).astype(np.uint8)
+            cuts = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
+            n, names = n.astype(np.int32), list(places)
+            for at0 in range(0, len(cuts) - 1, 20_000):
+                some = cuts[at0 : at0 + 20_001]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([names[i] for i in word[some[:-1]].tolist()], pa.binary()),
+                        pa.array([slot[i:j].tobytes() for i, j in zip(some[:-1], some[1:], strict=True)], pa.binary()),
+                        pa.array([n[i:j].tobytes() for i, j in zip(some[:-1], some[1:], strict=True)], pa.binary()),
+                    ],
+                    ["word", "slots", "times"],
+                )
+
+        size = 0
+        for batch in small_batches(batches):
+            for raw in as_bytes(batch.column("text")):
+                ids = [*([] if found else [-1]), *map(places.__getitem__, words_of(raw)), -1]
+                found.append(np.array(ids, np.int64))
+                size += len(ids)
+            if size > held:
+                yield from flushed()
+                places, found, size = Places(head), [], 0
+        if found:
+            yield from flushed()
+        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([between.tobytes()], pa.binary())], ["word", "slots", "times"])
+
+    return texts.select("text").mapInArrow(run, "word binary, slots binary, times binary")
+
+
+def placed(profile: DataFrame, counts: DataFrame, now: DataFrame, between: np.ndarray) -> DataFrame:
+    """(word, class) of every word counted at least ``FEW`` times: the class that gains the most by its ``profile``,
+    taken out of its class in ``now`` (else of the other words), where all others stay."""
+    k = len(between)
+    shared = profile.sparkSession.sparkContext.broadcast(between)
+
+    def run(batches):
+        between = shared.value
+        left, right = between.sum(1), between.sum(0)
+        for batch in small_batches(batches):
+            out = []
+            for own, parts in zip(batch.column("own").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                slots = np.frombuffer(b"".join(p["slots"] for p in parts), np.uint8)
+                times = np.frombuffer(b"".join(p["times"] for p in parts), np.int32)
+                seen = np.bincount(slots, times, 2 * k + 1)
+                after, before, itself = seen[:k], seen[k : 2 * k], seen[2 * k]
+                after[own] -= itself
+                before[own] -= itself
+                rest, nl, nr = between.copy(), left.copy(), right.copy()
+                rest[own] -= after
+                rest[:, own] -= before
+                rest[own, own] -= itself
+                nl -= before
+                nr -= after
+                nl[own] -= after.sum() + itself
+                nr[own] -= before.sum() + itself
+                out.append(int(np.argmax(gains(rest, nl, nr, after, before, itself)[: k - 2])))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.int32())], ["word", "class"])
+
+    often = counts.where((F.col("n") >= FEW) & (F.col("word") != F.lit(END))).select("word")
+    parts = profile.groupBy("word").agg(F.collect_list(F.struct("slots", "times")).alias("parts")).join(often, "word")
+    parts = parts.join(now.withColumnRenamed("class", "own"), "word", "left").select("word", F.coalesce("own", F.lit(k - 2)).alias("own"), "parts")
+    return parts.mapInArrow(run, "word binary, class int")
+
+
+def learnt(train: DataFrame, counts: DataFrame, words: list[bytes], least: int) -> tuple[DataFrame, np.ndarray]:
+    """(word, class) of every word counted at least ``FEW`` times, and the classes of ``words``, others and the end.
+
+    Rounds move all words at once and end when one gains less than ``GAIN`` of the mutual information of classes; a
+    round after the first that loses is undone. Words outside ``words`` take no part in the classes of their neighbours.
+    """
+    m = min(SEEDS, len(words))
+    first = exchange(bigram_counts(train, words[:m]), CLASSES)
+    k = int(first[-1]) + 1
+    of = np.full(len(words) + 2, k - 2, np.int64)
+    of[:m], of[-1] = first[:m], k - 1
+    now = train.sparkSession.createDataFrame(pa.table({"word": pa.array(words[:m], pa.binary()), "class": pa.array(of[:m], pa.int32())}))
+    place, best, whole = {w: i for i, w in enumerate(words)}, None, False
+    while True:
+        profile = written(profiles(train, words, of, k), "profiles")
+        parts = profile.where(F.length("word") == 0).select("times").toArrow().column("times").to_pylist()
+        between = np.sum([np.frombuffer(p, np.int64) for p in parts], 0).reshape(k, k).astype(float) if parts else np.zeros((k, k))
+        has = information(between)
+        if best and has - best[0] <= GAIN * abs(best[0]):
+            return (now, of) if has > best[0] else best[1:]
+        best = (has, now, of) if whole else None
+        whole = True
+        now = written(placed(profile.where(F.length("word") > 0), counts, now, between), "classes")
+        rows = now.join(counts.where(F.col("n") >= least), "word", "left_semi").toArrow()
+        of = of.copy()
+        of[[place[w] for w in rows.column("word").to_pylist()]] = rows.column("class").to_numpy()
+
+
+def classed(rows: DataFrame, head: tuple, tail: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """``keep`` of ``rows`` (row, text), known and the sums of log10 emissions of the words in ``head`` (base, log_p), the
+    class of each token in order (classes; -1 at those of ``rare``) and ``rare``: place, n and class of all other
+    tokens, null n where ``tail`` (word, n, class) has none."""
+    shared = rows.sparkSession.sparkContext.broadcast(head)
+    schema = rows.select(*keep).schema
+
+    def run(batches):
+        words, emit, base, classes = shared.value
+        head = {w: i for i, w in enumerate(words)}
+        for batch in small_batches(batches):
+            out = []
+            for raw in as_bytes(batch.column("text")):
+                tokens = words_of(raw)
+                at = np.fromiter(map(head.get, tokens, repeat(-1)), np.int64, len(tokens))
+                rare: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(at < 0).tolist():
+                    rare.setdefault(tokens[i], []).append(i)
+                out.append((int((at >= 0).sum()), float(base[at].sum()), float(emit[at].sum()), classes[at].astype(np.int8).tobytes(), list(rare), list(rare.values())))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*keep, "known", "base", "log_p", "classes", "rare", "places"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    scored = written(rows.mapInArrow(run, f"{fields}, known bigint, base double, log_p double, classes binary, rare array<binary>, places array<array<int>>"), "scored")
+    words = scored.select("row", F.explode(F.arrays_zip("rare", "places")).alias("t")).select("row", F.col("t.rare").alias("word"), F.col("t.places").alias("places"))
+    found = words.join(tail, "word", "left").groupBy("row").agg(F.collect_list(F.struct("places", "n", "class")).alias("found"))
+    return scored.drop("rare", "places").join(found, "row", "left")
+
+
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text, held_out) by a model of ``train`` (text): doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score, score and perplexity (10 ** (-score / n_tokens)).
@@ -135,49 +304,65 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = int(counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     words, n, least = frequent_words(counts, HEAD)
-    m = min(CLUSTERED, len(words))
-    pairs = bigram_counts(train, words[:m])
-    of = exchange(pairs, CLASSES, SWEEPS)
+    table, of = learnt(train, counts, words, least)
     k = int(of[-1]) + 1
-    onehot = np.eye(k)[of]
-    step = onehot.T @ pairs @ onehot + ALPHA
-    step = np.log10(step / step.sum(1, keepdims=True))
+    in_class = np.zeros(k)
+    known = counts.where(F.col("word") != F.lit(END)).join(table, "word", "left").withColumn("class", F.coalesce("class", F.lit(k - 2)))
+    kinds_in = np.zeros(k)
+    for r in known.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        in_class[r["class"]], kinds_in[r["class"]] = r["n"], r["kinds"]
+    rare_of = in_class[k - 2] + kinds_in[k - 2] + 1  # add one, so that unknown words are left something
+    tail = known.where(F.col("n") < least).select("word", "n", "class")
     base_of = float(total + kinds + 1)
-    rare_of = float(total - ends - n[:m].sum() + max(kinds - m - 1, 0) + 1)
-    in_class = np.bincount(of[:m], n[:m], k)
-    emit = np.log10((n + 1) / rare_of) if len(n) else np.zeros(0)
-    emit[:m] = np.log10(n[:m] / in_class[of[:m]])
-    classes = np.full(len(words) + 1, k - 2, np.int16)
-    classes[:m] = of[:m]
+    c = of[:-2]
+    emit = np.where(c == k - 2, np.log10((n + 1) / rare_of), np.log10(n / np.maximum(in_class[c], 1))) if len(n) else np.zeros(0)
     base, end_base = np.append(np.log10((n + 1) / base_of), 0.0), float(np.log10((ends + 1) / base_of))
-    shared = spark.sparkContext.broadcast((words, np.append(emit, 0.0), base, classes, step))
+    head = (words, np.append(emit, 0.0), base, np.append(c, -1))
+
+    def filled(batch):
+        """Of each row: its classes between two ends, and n and class of each of its tokens outside the head."""
+        for raw, found in zip(batch.column("classes").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            own = np.frombuffer(raw, np.int8).astype(np.int64)
+            rare = []
+            for f in found or ():
+                there = k - 2 if f["class"] is None else f["class"]
+                own[f["places"]] = there
+                rare.append((len(f["places"]), f["n"] or 0, there))
+            yield np.concatenate([[k - 1], own, [k - 1]]), rare
+
+    def pairs(batches):
+        seen = np.zeros(k * k, np.int64)
+        for batch in small_batches(batches):
+            for own, _ in filled(batch):
+                seen += np.bincount(own[:-1] * k + own[1:], minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k), pa.int32()), pa.array(seen, pa.int64())], ["pair", "n"])
+
+    marked = classed(train.select(F.monotonically_increasing_id().alias("row"), "text"), head, tail, k, ["row"])
+    step = np.full(k * k, ALPHA)
+    for r in marked.select("classes", "found").mapInArrow(pairs, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        step[r["pair"]] += r["n"]
+    step = step.reshape(k, k)
+    step = np.log10(step / step.sum(1, keepdims=True))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        words, emit, base, classes, step = shared.value
-        head = {w: i for i, w in enumerate(words)}
         for batch in small_batches(batches):
             out = []
-            for raw in as_bytes(batch.column("text")):
-                tokens = words_of(raw)
-                at = np.fromiter(map(head.get, tokens, repeat(-1)), np.int64, len(tokens))
-                c = np.concatenate([[len(step) - 1], classes[at], [len(step) - 1]])
-                rare = Counter(t for t, i in zip(tokens, at.tolist(), strict=True) if i < 0)
-                out.append((len(tokens) + 1, int((at >= 0).sum()), float(base[at].sum()) + end_base, float(emit[at].sum() + step[c[:-1], c[1:]].sum()), list(rare), list(rare.values())))
+            for (own, rare), known, base, log_p in zip(filled(batch), *(batch.column(c).to_pylist() for c in ("known", "base", "log_p")), strict=True):
+                log_p += float(step[own[:-1], own[1:]].sum())
+                for times, n, there in rare:
+                    known += times * (n > 0)
+                    base += times * float(np.log10((n + 1) / base_of))
+                    log_p += times * float(np.log10((n + 1) / rare_of) if there == k - 2 else np.log10(n / in_class[there]))
+                size = len(own) - 1
+                out.append((size, known + int(ends > 0), int(total), base + end_base, log_p, float(10.0 ** (-log_p / size))))
             cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "log_p", "rare", "times"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = written(rows.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, log_p double, rare array<binary>, times array<int>"), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("word"), F.col("t.times").alias("times"))
-    c = F.coalesce("n", F.lit(0))
-    tail = tail.join(counts.where(F.col("n") < least), "word", "left")
-    tail = tail.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((c + 1) / base_of)).alias("b"), F.sum(F.col("times") * F.log10((c + 1) / rare_of)).alias("s"))
-    zero = F.lit(0.0)
-    out = scored.drop("rare", "times").join(tail, "row", "left")
-    out = out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("log_p") + F.coalesce("s", zero)).alias("score"))
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    out = classed(rows, head, tail, k, ["row", "doc_id", "held_out"])
+    return out.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
