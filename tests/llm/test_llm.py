@@ -41,6 +41,12 @@ def test_media(spark):
     assert media.chunked_media(empty(spark)).count() == 0
 
 
+def test_media_shares_passages(spark):
+    passage = "".join(np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz "), 8000))
+    lists = [r.digests for r in media.ingest(docs(spark, [(i, t, None, None, None, None) for i, t in enumerate([passage, "another head " + passage])]))[0].orderBy("doc_id").collect()]
+    assert set(lists[0]) & set(lists[2])  # row 0 is there twice
+
+
 def test_gear_hash_rolls():
     gear, data = media.gear_table(), np.random.default_rng(2).integers(0, 256, 100).astype(np.uint8)
     want, h = [], 0

@@ -79,7 +79,7 @@ def features(payload: bytes, chunks: int) -> str:
     return f"sum={int(s.sum(dtype=np.int64))};peak={int(s.max())};cross={int(np.count_nonzero((s[1:] > 127) != (s[:-1] > 127)))};chunks={chunks}"
 
 
-def ingest(docs: DataFrame, least: int = 8192, average: int = 32768, most: int = 131072) -> tuple[DataFrame, DataFrame]:
+def ingest(docs: DataFrame, least: int = 256, average: int = 1024, most: int = 8192) -> tuple[DataFrame, DataFrame]:
     """(media, chunks) of ``docs`` (doc_id, text; null text is empty, repeated rows stay rows).
 
     media: doc_id, n_bytes, media_sha256, header, digests (ordered); chunks: digest, blob (zstandard), with repeats.
