@@ -220,6 +220,61 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs(spark, rows), labels.limit(0)).where("score > 0").count() == 0
 
 
+def brute_kneser_ney(words, times):
+    """ratio(word) by recursion over dictionaries."""
+    size = toxicity.ORDER
+    spelt = lambda w: [bytes([1] * (size - 1)) + w + b"\2"][0]
+    grams = lambda w: [spelt(w)[i : i + size] for i in range(len(w) + 1)]
+    count = [Counter(), Counter()]
+    for w, row in zip(words, times, strict=True):
+        for g in grams(w):
+            for c in (0, 1):
+                count[c][g] += int(row[c])
+    types = {g for w in words for g in grams(w)}
+    before = {}
+    longer = types
+    for k in range(size - 1, 0, -1):
+        before[k] = Counter(g[1:] for g in longer)
+        longer = set(before[k])
+
+    def off(values):
+        one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return one / (one + 2 * two) if one and two else 0.75
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        n = before[len(g)]
+        same = [v for h, v in n.items() if h[:-1] == g[:-1]]
+        d = off(n.values())
+        return (max(n[g] - d, 0) + d * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    def p(c, g):
+        d = off([count[c][t] for t in types])
+        same = [v for h, v in count[c].items() if h[:-1] == g[:-1] and v]
+        return (max(count[c][g] - d, 0) + d * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    return lambda w: sum(np.log(p(1, g)) - np.log(p(0, g)) for g in grams(w))
+
+
+def test_kneser_ney_against_recursion():
+    words = [b"trash", b"the", b"trasho", b"\xc3\xa9t\xc3\xa9", b"a", b"thermal", b"tra", b"mal"]
+    times = np.array([[0, 9], [40, 38], [0, 1], [3, 1], [20, 20], [2, 0], [1, 1], [5, 2]], float)
+    want, model = brute_kneser_ney(words, times), toxicity.Model(words, times)
+    for w in (*words, b"trashily", b"theta", b"zzz", b"m"):
+        assert model.spelled([w])[0] == pytest.approx(want(w), abs=1e-9)
+    assert model.spelled([b"trashily"])[0] > 2 > abs(model.spelled([b"zzz"])[0])  # a form not seen is read by its stem
+    assert toxicity.Model([], np.zeros((0, 2))).spelled([b"x"]).tolist() == [0.0] and model.spelled([]).tolist() == []
+
+
+def test_toxicity_word_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "KEPT", 3)
+    monkeypatch.setattr(toxicity, "SHORT", 4)
+    model = toxicity.Model([b"ab", b"abc", b"longer"], np.array([[1.0, 2.0], [3.0, 0.0], [1.0, 1.0]]))
+    for words in ([b"ab", b"abc"], [b"abc", b"longer", b"ab"], [b"q", b"r", b"s", b"ab", b"ab"]):
+        assert model.ratios(words) == pytest.approx([model.spelled([w])[0] for w in words]) and len(model.known) <= 4
+
+
 def test_brown(spark):
     rows = brown.score_documents(docs(spark)).collect()
     toks = {i: (re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))) + ["\n"] for i, t in enumerate(texts())}

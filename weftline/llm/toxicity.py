@@ -1,94 +1,130 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Bigram models of toxic and of ordinary text share their lowest level: the number of different words that each word
-follows in either class, so an expression that is rare in both is smoothed alike. A text is compared by its
-length-normalised log-likelihood ratio, over the whole and over its most toxic passage; both are calibrated to a
-probability on sampled rows that the models have not seen.
+"""Toxicity by class-conditional Kneser-Ney models of spelling.
+
+An expression is a word, spelled with marks at its ends. Two models, of toxic and of ordinary text, count its n-grams of
+``ORDER`` bytes by token, each in its own class, and discount them absolutely; what they take off backs off to counts
+that both classes share, the Kneser-Ney continuation counts of all shorter n-grams. So a rare form of a known stem is
+read by its stem, and one that neither class knows says nothing. Texts are compared by the length-normalised difference
+of their two log-likelihoods: a word over its whole text, over its most toxic passage and in its most toxic word. These
+three are calibrated to a probability on sampled rows that the models have not seen.
 """
 
 from __future__ import annotations
 
 import string
-from itertools import repeat
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, bounded_sample, doc_crc, one_row_each, small_batches
-
-TOXIC_SAMPLE, ORDINARY_SAMPLE, LEAST_COUNT = 2000, 4000, 2
-DISCOUNTS, FOLDS, PASSAGE, TOP = (0.75, 1.25, 2.0, 3.0), 3, 16, 2
-BLANK = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
-
-
-def tokens(raw: bytes) -> list[bytes]:
-    """Words with A-Z lower-cased and ASCII punctuation as white space."""
-    return raw.lower().translate(BLANK).split()
+from weftline.llm.common import bounded_sample, doc_crc, one_row_each, small_batches
+
+TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 4000
+ORDER, FOLDS, PASSAGE = 6, 3, 8
+KEPT, SHORT = 200_000, 64  # words whose ratio a worker remembers, and the bytes of one at most
+BLANK = bytes(32 if i < 32 or chr(i) in string.punctuation else i for i in range(256))
+START, END = 1, 2  # no word holds these bytes
+
+
+def tokens(text: str) -> list[bytes]:
+    """Words in lower case, with ASCII punctuation and control characters as white space."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(BLANK).split()
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of ``ORDER`` bytes that ends at each byte and at the end of each word, first byte highest, and the
+    place of its word in ``words``."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    joined = np.frombuffer(bytes([END]).join(words) + bytes([END]), np.uint8).astype(np.uint64) if words else np.zeros(0, np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    within = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keys = np.zeros(len(joined), np.uint64)
+    for back in range(ORDER - 1, -1, -1):
+        byte = np.full(len(joined), START, np.uint64)
+        byte[back:] = np.where(within[back:] >= back, joined[: max(0, len(joined) - back)], np.uint64(START))
+        keys = keys << np.uint64(8) | byte
+    return keys, word
+
+
+def discount(counts: np.ndarray) -> float:
+    """What absolute discounting takes off each count, from how many are 1 and 2."""
+    one, two = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
+    return one / (one + 2 * two) if one and two else 0.75
+
+
+def shared_backoff(types: np.ndarray) -> np.ndarray:
+    """P(last byte | the bytes between) of each distinct n-gram: interpolated Kneser-Ney on continuation counts, how
+    many different bytes stand before an n-gram one shorter, down to a uniform byte."""
+    levels, keys = [], types
+    for size in range(ORDER - 1, 0, -1):
+        keys = np.unique(keys) if size == ORDER - 1 else levels[-1][0]
+        short, at, n = np.unique(keys & np.uint64((1 << 8 * size) - 1), return_inverse=True, return_counts=True)
+        levels.append((short, n, at))
+    p = np.full(1, 1 / 256.0)
+    for level in range(len(levels) - 1, -1, -1):
+        keys, n, _ = levels[level]
+        _, context = np.unique(keys >> np.uint64(8), return_inverse=True)
+        off = discount(n)
+        total, kinds = np.bincount(context, n), np.bincount(context)
+        lower = p[levels[level + 1][2]] if level + 1 < len(levels) else p[0]
+        p = np.maximum(n - off, 0) / total[context] + off * kinds[context] / total[context] * lower
+    return p[levels[0][2]]
 
 
 class Model:
-    """``words``: word to number, all rarer words share number 0, the start of a text is number 1."""
-
-    def __init__(self, texts: list[bytes], toxic: list[bool], discount: float = 0.75):
-        count: dict[bytes, int] = {}
-        for text in texts:  # cut twice rather than held: the words of a text take many times its bytes
-            for w in tokens(text):
-                count[w] = count.get(w, 0) + 1
-        known = sorted(w for w, n in count.items() if n >= LEAST_COUNT)
-        del count
-        self.words = {w: i + 2 for i, w in enumerate(known)}
-        size = self.size = len(known) + 2
-        pairs: tuple[list, list] = ([], [])
-        singles: tuple[list, list] = ([], [])
-        for text, label in zip(texts, toxic, strict=True):  # a text counts once for each, however often it repeats it
-            ids = self.ids(tokens(text))
-            pairs[label].append(np.unique(ids[:-1] * size + ids[1:]))
-            singles[label].append(np.unique(ids[1:]))
-        found = [np.unique(np.concatenate([np.array([], np.int64), *p]), return_counts=True) for p in pairs]
-        texts_with = [np.bincount(np.concatenate([np.array([], np.int64), *s]), minlength=size) for s in singles]
-        types = np.unique(np.concatenate([f[0] for f in found]))
-        shared = (np.bincount(types % size, minlength=size) + 1.0) / (len(types) + size)  # shared backoff
-        logs, backs = [], []
-        for (keys, n), by_word in zip(found, texts_with, strict=True):
-            total = max(by_word.sum(), 1.0)
-            single = np.maximum(by_word - discount, 0) / total + (np.minimum(by_word, discount).sum() / total if len(keys) else 1.0) * shared
-            seen, cut = np.bincount(keys // size, n, size), np.bincount(keys // size, np.minimum(n, discount), size)
-            weight = np.where(seen > 0, cut / np.maximum(seen, 1), 1.0)
-            at = np.searchsorted(keys, types)
-            own = np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == types), n[np.minimum(at, len(n) - 1)], 0) if len(keys) else np.zeros(len(types))
-            v, w = types // size, types % size
-            logs.append(np.log(np.maximum(own - discount, 0) / np.maximum(seen[v], 1) + weight[v] * single[w]))
-            backs.append((np.log(weight), np.log(single)))
-        ratio = logs[1] - logs[0]
-        self.by_first, self.by_word = backs[1][0] - backs[0][0], backs[1][1] - backs[0][1]
-        changed = np.abs(ratio - self.by_first[types // size] - self.by_word[types % size]) > 1e-9
-        self.types, self.ratio = types[changed], ratio[changed]
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.concatenate([[1], np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))])
-
-    def ratios(self, raw: bytes) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word, given the one before."""
-        ids = self.ids(tokens(raw))
-        v, w = ids[:-1], ids[1:]
-        out, keys = self.by_first[v] + self.by_word[w], v * self.size + w
-        if len(self.types):
-            at = np.minimum(np.searchsorted(self.types, keys), len(self.types) - 1)
-            out = np.where(self.types[at] == keys, self.ratio[at], out)
-        return out
-
-    def describe(self, raw: bytes) -> np.ndarray:
-        """1, then mean ratios: of the whole text, of its most toxic passage of 16 words, of its two most toxic words;
-        a shorter text is its own passage."""
-        r = self.ratios(raw)
+    """Log-likelihood ratios of words, from the words of texts and how often each class has them."""
+
+    def __init__(self, words: list[bytes], times: np.ndarray):
+        """``times``: for each word a row of its counts in ordinary and in toxic texts."""
+        keys, word = grams(words)
+        self.types, at = np.unique(keys, return_inverse=True)
+        self.contexts, context = np.unique(self.types >> np.uint64(8), return_inverse=True)
+        backoff, logs, lefts = shared_backoff(self.types), [], []
+        for label in (0, 1):
+            n = np.bincount(at, times[word, label], len(self.types))
+            off = discount(n)
+            total = np.bincount(context, n, len(self.contexts))
+            kinds = np.bincount(context, n > 0, len(self.contexts))
+            left = np.where(total > 0, off * kinds / np.maximum(total, 1), 1.0)
+            logs.append(np.log(np.maximum(n - off, 0) / np.maximum(total, 1)[context] + left[context] * backoff))
+            lefts.append(np.log(left))
+        self.ratio, self.by_context = logs[1] - logs[0], lefts[1] - lefts[0]
+        self.known: dict[bytes, float] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": {}}
+
+    def spelled(self, words: list[bytes]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word. An n-gram that neither class has differs by what
+        its context leaves to backoff; one of an unknown context by nothing."""
+        keys, word = grams(words)
+        out = np.zeros(len(keys))
+        for table, value, key in ((self.contexts, self.by_context, keys >> np.uint64(8)), (self.types, self.ratio, keys)):
+            if len(table):
+                at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+                out = np.where(table[at] == key, value[at], out)
+        return np.bincount(word, out, len(words))
+
+    def ratios(self, words: list[bytes]) -> np.ndarray:
+        """``spelled`` of each word, by a table of bounded size in which repeated words are found again."""
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > KEPT:
+            self.known, new = {}, set(words)
+        found = dict(zip(new, self.spelled(list(new)).tolist(), strict=True)) if new else {}
+        self.known.update((w, r) for w, r in found.items() if len(w) <= SHORT)
+        known = self.known if all(len(w) <= SHORT for w in found) else self.known | found
+        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+
+    def describe(self, text: str) -> np.ndarray:
+        """1, then the length-normalised ratio: of the whole text, of its most toxic passage of ``PASSAGE`` words and of
+        its most toxic word; a shorter text is its own passage, one without words is all 0."""
+        r = self.ratios(tokens(text))
         if not len(r):
             return np.array([1.0, 0.0, 0.0, 0.0])
         sums = np.concatenate([[0.0], np.cumsum(r)])
         worst = (sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE if len(r) > PASSAGE else r.mean()
-        top = np.partition(r, -TOP)[-TOP:].mean() if len(r) >= TOP else r.mean()
-        return np.array([1.0, r.mean(), worst, top])
+        return np.array([1.0, r.mean(), worst, r.max()])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -103,10 +139,20 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
+def counted(texts: list[str], toxic: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words of ``texts`` and for each a row of its token counts in ordinary and in toxic ones."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, label in zip(texts, toxic, strict=True):
+        counts[int(label)].update(tokens(text))
+    words = sorted(counts[0].keys() | counts[1].keys())
+    return words, np.array([[c[w] for c in counts] for w in words], float).reshape(-1, 2)
+
+
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> tuple[Model, np.ndarray] | None:
     """Learns from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) marks: at most
-    ``TOXIC_SAMPLE`` toxic and ``ORDINARY_SAMPLE`` other ids, weighted to the shares of all labels, one
-    row an id however often it is repeated. The calibration sees each row by a model of the other folds. None without labels of either kind."""
+    ``TOXIC_SAMPLE`` toxic and ``ORDINARY_SAMPLE`` other ids, weighted to the shares of all labels, one row an id however
+    often it is repeated. The calibration sees each row by a model of the other folds. None without labels of either
+    kind."""
     labels = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(share) < 2:
@@ -116,24 +162,18 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> tuple[Model, np.n
     rows = sorted((str(r.doc_id), r.text, r.toxic) for r in one_row_each(rows).collect())
     if len({r[2] for r in rows}) < 2:
         return None
-    raw, y = [r[1].encode() for r in rows], np.array([r[2] for r in rows], float)
+    texts, y = [r[1] for r in rows], np.array([r[2] for r in rows], float)
     del rows
-    fold = np.random.default_rng(seed).permutation(len(raw)) % FOLDS
+    fold = np.random.default_rng(seed).permutation(len(texts)) % FOLDS
     n = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, share[1] / n[1], share[0] / n[0]) * len(y) / (share[0] + share[1])
-    best = None
-    for discount in DISCOUNTS:  # the one that tells unseen rows apart best
-        x = np.zeros((len(raw), 4))
-        for k in range(FOLDS):
-            seen = np.flatnonzero(fold != k)
-            model = Model([raw[i] for i in seen], [bool(y[i]) for i in seen], discount)
-            x[fold == k] = [model.describe(raw[i]) for i in np.flatnonzero(fold == k)] or np.zeros((0, 4))
-        w = logistic(x, y, weight)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
-        if best is None or loss < best[0]:
-            best = (loss, discount, w)
-    return Model(raw, [bool(v) for v in y], best[1]), best[2]
+    x = np.zeros((len(texts), 4))
+    for k in range(FOLDS):
+        seen = np.flatnonzero(fold != k)
+        model = Model(*counted([texts[i] for i in seen], y[seen]))
+        for i in np.flatnonzero(fold == k):
+            x[i] = model.describe(texts[i])
+    return Model(*counted(texts, y)), logistic(x, y, weight)
 
 
 def score(docs: DataFrame, fitted) -> DataFrame:
@@ -148,7 +188,7 @@ def score(docs: DataFrame, fitted) -> DataFrame:
                 p = np.zeros(batch.num_rows)
             else:
                 model, w = shared.value
-                x = np.array([model.describe(raw) for raw in as_bytes(batch.column("text"))]).reshape(-1, len(w))
+                x = np.array([model.describe(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(w))
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p, pa.float64()), pa.array((p >= 0.3).astype(np.int32))], [*kept, "score", "predicted"])
 
