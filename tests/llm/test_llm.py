@@ -133,7 +133,17 @@ def test_bpe_merges_overlapping_pairs_like_the_ranks():
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     r = np.random.default_rng(8)
     made = ["".join(r.choice(list("aé日e \n\t'sS1²—"), 40)) for _ in range(300)] + ["".join(chr(c) for c in range(a, a + 500)) for a in range(0, 0xD000, 500)]
-    assert bpe.codec(path, P.PATTERN).encode_batch(made) == [enc.encode_ordinary(t) for t in made]
+    got = [np.frombuffer(x, np.int32).tolist() for x in bpe.codec(path, P.PATTERN).encode_batch(made)]
+    assert got == [enc.encode_ordinary(t) for t in made]
+
+
+def test_bpe_table_is_bounded(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe.Codec, "KEPT", 3000)
+    codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for i in range(40):
+        codec.encode_batch([f"word{i} other{i} thing{i}"])
+        assert len(codec.known) <= 30
 
 
 def test_mix(spark):
@@ -398,3 +408,39 @@ def test_pipeline(spark, tmp_path):
     assert max(Counter(x.doc_id for x in mixed.collect()).values()) <= 3 and mixed.columns == docs_.columns
     ids = {x.doc_id for x in mixed.collect()}
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
+
+
+PIPED = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(np.random.default_rng(i).choice(WORDS, 40)) for i in range(3))
+    rows = [(5, one, "en", None, 1), (3, one, "en", "s", 1), (3, one, "en", "s", 1), (3, one, "fr", "s", 2), (None, one, None, None, None), (None, two, "a", None, 1), (None, two, None, "b", 1), (7, three, None, None, None), (8, None, None, None, None), (9, "", "x", "y", 0)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, PIPED), "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, one), (None, two), (7, three), (8, None)], key=str)
+    assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], PIPED), "").count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], PIPED).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_take_nulls_repeats_and_other_columns(spark):
+    import corpus_pipeline
+
+    text = " ".join(np.random.default_rng(1).choice(WORDS, 40))
+    rows = [(None, text, None, None, None, "c"), (1, text, "en", "s", 1, "c"), (1, text, "en", "s", 1, "c"), (2, None, "en", None, None, None), (3, "secret = abcdefabcdefabcdef", "en", "s", 1, "c")]
+    df = spark.createDataFrame(rows, PIPED + ", score string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "")
+        rows_out = out.collect()
+        if name != "byte_bpe":
+            assert out.columns == df.columns
+        if name in ("secret_scan", "byte_bpe"):
+            assert len(rows_out) == len(rows)

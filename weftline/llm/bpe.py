@@ -12,7 +12,6 @@ import base64
 import functools
 import hashlib
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,11 @@ class Codec:
     """The tokenizer of a ranks file; built once in each Python worker.
 
     The pattern cuts a text into pieces, the byte table turns a piece into characters, and the library merges those.
-    Pieces repeat as words do, so the ids of short ones are kept in a table of bounded length.
+    Pieces repeat as words do, so the ids of short ones are kept, as 32-bit integers in bytes, in a table of at most
+    ``KEPT`` bytes, which is emptied when it is full.
     """
 
-    KEPT, SHORT = 400_000, 40
+    KEPT, SHORT, ENTRY = 24_000_000, 40, 170  # ENTRY: bytes of an entry besides its ids
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,18 +64,21 @@ class Codec:
         self.table = {i: bytes(map(back.__getitem__, self.tokenizer.id_to_token(i))) for i in ranks.values()}
         self.names = {i: str(i) for i in self.table}
         self.cut = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.size = 0
 
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces, merged by the library in one call."""
         mapped = [p.encode().decode("latin-1").translate(self.to_chars) for p in pieces]
         found = self.tokenizer.encode(mapped, is_pretokenized=True, add_special_tokens=False)
-        ids, ends = tuple(found.ids), np.cumsum(np.bincount(np.asarray(found.word_ids, int), minlength=len(pieces))).tolist()
+        ids = np.array(found.ids, np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(np.asarray(found.word_ids, int), minlength=len(pieces)))).tolist()
         return {p: ids[start:end] for p, start, end in zip(pieces, [0, *ends], ends)}
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > self.KEPT:
-            self.known.clear()
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers in bytes."""
+        if self.size > self.KEPT:
+            self.known, self.size = {}, 0
         cut = [self.cut(t) for t in texts]
         found = [list(map(self.known.get, pieces)) for pieces in cut]
         new = {p for pieces, ids in zip(cut, found, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
@@ -83,8 +86,10 @@ class Codec:
         for pieces, ids in zip(cut, found, strict=True):
             if None in ids:
                 ids[:] = [learnt[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
-        self.known.update((p, x) for p, x in learnt.items() if len(p) <= self.SHORT)
-        return [list(chain.from_iterable(ids)) for ids in found]
+        short = {p: x for p, x in learnt.items() if len(p) <= self.SHORT}
+        self.known.update(short)
+        self.size += sum(map(len, short.values())) + self.ENTRY * len(short)
+        return [b"".join(ids) for ids in found]
 
     def offsets(self, text: str, ids: list[int]) -> list[list[int]]:
         """Code points [start, end) of each token; a token inside a character spans the whole of it."""
@@ -115,9 +120,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             found = own.encode_batch(texts)
             out = {c: batch.column(c) for c in rest}
-            out["ids"] = pa.array(found, pa.list_(pa.int32()))
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
             if offsets:
-                out["offsets"] = pa.array([own.offsets(t, x) for t, x in zip(texts, found, strict=True)], pa.list_(pa.list_(pa.int32())))
+                out["offsets"] = pa.array([own.offsets(t, np.frombuffer(x, np.int32).tolist()) for t, x in zip(texts, found, strict=True)], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields)
@@ -146,7 +152,8 @@ def encode_digest(df: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for batch in small_batches(batches, 128):
             n, first, second = [], [], []
-            for ids in own.encode_batch([t or "" for t in batch.column("text").to_pylist()]):
+            for raw in own.encode_batch([t or "" for t in batch.column("text").to_pylist()]):
+                ids = np.frombuffer(raw, np.int32).tolist()
                 n.append(len(ids))
                 first.append(hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest())
                 second.append(hashlib.sha256(b"".join(map(own.table.__getitem__, ids))).hexdigest())

@@ -36,15 +36,17 @@ def fingerprint(raw: bytes) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row; null text counts as empty."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` and fp (the 64 bits as a signed long) of every row; null text counts as empty."""
+    kept = ["doc_id", *keep]
 
     def run(batches):
         for batch in small_batches(batches):
             fps = np.array([fingerprint(x) for x in as_bytes(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fps)], [*kept, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    return docs.select(*kept, "text").mapInArrow(run, f"{fields}, fp bigint")
 
 
 def _segment(x: str, low: int, high: int) -> str:
@@ -78,17 +80,18 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     return pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id (smallest doc_id reachable by links) of every row of ``docs``.
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, fingerprint, component_id (smallest doc_id reachable by links) and root (the smallest
+    fingerprint of the component, as a signed long) of every row of ``docs``.
 
     Copies share a fingerprint and meet by a grouped minimum, never as pairs. Rows with a null doc_id keep their
-    fingerprint and join its component; a component of null ids only has a null component_id. Columns of ``docs``
-    other than doc_id and text are not read; empty input gives no rows.
+    fingerprint and join its component; a component of null ids only has a null component_id, and its root tells it
+    from others. Columns of ``docs`` other than doc_id, text and ``keep`` are not read; empty input gives no rows.
     """
-    found = written(fingerprints(docs), "fingerprints")
+    found = written(fingerprints(docs, keep), "fingerprints")
     groups = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     linked = connected_components(links(groups.select("fp")), "a", "b")
     root = groups.join(linked, groups.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     smallest = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(smallest, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = root.join(smallest, "root").select("fp", "component_id", "root")
+    return found.join(named, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
