@@ -22,15 +22,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; of rows that repeat its id, one. Rows
-    without an id cannot be that one and are kept where their group has no id at all, one for each such group."""
-    groups = simhash.near_duplicates(docs).select("doc_id", "component_id")
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    out = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    ids = out.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = out.join(ids, "doc_id", "left_anti")
-    repeated = out.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
-    return once.select(docs.columns).unionByName(repeated.select(docs.columns))
+    """Keeps one document of each group of near copies: the one with the smallest id, of rows that repeat that id one;
+    a group without any id keeps one of its rows. No documents: none.
+
+    Groups are settled on ids and hashes of rows alone; whole rows are shuffled once, to meet the hashes kept.
+    """
+    own = "weftline_row"
+    hashed = docs.withColumn(own, F.xxhash64(*docs.columns))
+    rows = written(simhash.near_duplicates(hashed, (own,)).select("doc_id", own, "root"), "near-groups")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", own)).alias("r")).select(f"r.{own}")
+    times = rows.groupBy(own).agg(F.count("*").alias("n"))
+    kept = written(first.join(times, own), "near-kept")
+    out = hashed.join(kept.hint("shuffle_hash"), own)
+    if kept.where("n > 1").isEmpty():
+        return out.select(docs.columns)
+    again = out.where("n > 1").groupBy(own).agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")  # equal rows
+    return out.where("n = 1").select(docs.columns).unionByName(again)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share an id are taken as often as the one of them that is taken most."""
     sized = written(mixing.word_sizes(docs), "word-sizes")
     times = mixing.mix(sized.withColumn("sources", F.array("source"))).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    return docs.join(times, docs.doc_id.eqNullSafe(times.doc_id)).select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1L, times)")).alias("nth")).select(docs.columns)
+    return docs.join(times.hint("shuffle_hash"), docs.doc_id.eqNullSafe(times.doc_id)).select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1L, times)")).alias("nth")).select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
