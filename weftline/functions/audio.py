@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import speech_parts
+
 
 def _int32(x: Column) -> Column:
     """Four bytes as a signed number."""
@@ -59,3 +61,23 @@ def packet_fault(frame: Column) -> Column:
     """Why a packet is refused: short, empty or of odd length; null where it is not."""
     n = F.length(frame) - 12
     return F.when(n < 0, "short header").when(n == 0, "empty audio").when(n % 2 == 1, "odd length")
+
+
+def asr_result(request: Column, text: Column, kind: Column, code: Column, msg: Column) -> Column:
+    """A recognition result as a JSON message."""
+    said = F.struct(F.array(F.struct(text.alias("text"), F.lit(None).cast("double").alias("confidence"))).alias("hypothesis"))
+    return F.to_json(F.struct(code.alias("code"), msg.alias("msg"), request.alias("mid"), F.struct(kind.alias("event_type"), said.alias("recognition_result")).alias("asr_response")))
+
+
+def read_asr(message: Column) -> Column:
+    """struct(kind, text, msg, code) of such a message; text is that of the first hypothesis."""
+    m = F.from_json(message, "code bigint, msg string, mid string, asr_response struct<event_type: string, recognition_result: struct<hypothesis: array<struct<text: string>>>>")
+    response = m["asr_response"]
+    return F.struct(response["event_type"].alias("kind"), F.get(response["recognition_result"]["hypothesis"], F.lit(0))["text"].alias("text"), m["msg"].alias("msg"), m["code"].alias("code"))
+
+
+def speech_messages(text: Column) -> Column:
+    """struct(kind, text) in order: the parts of a text to append, then the commit; an error where nothing is said."""
+    parts = speech_parts(text)
+    end = F.struct(F.when(F.size(parts) == 0, "error").otherwise("commit").alias("kind"), F.lit(None).cast("string").alias("text"))
+    return F.concat(F.transform(parts, lambda p: F.struct(F.lit("append").alias("kind"), p.alias("text"))), F.array(end))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 from operator import or_
 
 from pyspark.sql import Column
@@ -21,11 +23,40 @@ HEAD, FOOT = '<!doctype html>\n<html><head><meta charset="UTF-8"></head><body>',
 END_TAG = r"(?i)</html[ \t\r\n]*>"
 
 
+def _names() -> Column:
+    """The names of character references, the standard library's table, as a constant map."""
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+def _numbered(n: Column) -> Column:
+    """The character of a numeric reference: those of Windows' code page for 128 to 159, the replacement character for
+    none, nothing for control characters and what is no character."""
+    old = {0: "\ufffd", 13: "\r"} | {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
+    table = F.from_json(F.lit(json.dumps({str(k): v for k, v in old.items()})), "map<string,string>")
+    none = n.between(1, 8) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n == 11) | (n % 0x10000 >= 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(table, n.cast("string")), F.when(n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(none, "").otherwise(char))
+
+
 def unescape(x: Column) -> Column:
-    """The five entities of markup; others stay."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+    """Character references as the characters they stand for, the longest known name first; what names none stays."""
+    names = _names()
+    found = lambda value, size: F.when(value.isNotNull(), F.struct(value.alias("value"), size.alias("size")))
+
+    def piece(p):
+        ref = F.regexp_extract(p, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        digits, hexes = F.regexp_extract(ref, "^#([0-9]+)", 1), F.regexp_extract(ref, "^#[xX]([0-9a-fA-F]+)", 1)
+        number = F.when(digits != "", digits.try_cast("bigint")).otherwise(F.conv(hexes, 16, 10).try_cast("bigint"))
+        shorter = [F.when(F.length(ref) > n, found(F.try_element_at(names, F.left(ref, F.lit(n))), F.lit(n))) for n in range(6, 1, -1)]
+        named = F.coalesce(found(F.try_element_at(names, ref), F.length(ref)), *shorter)
+        hit = F.when((digits != "") | (hexes != ""), F.struct(_numbered(number).alias("value"), F.length(ref).alias("size"))).when(ref != "", named)
+        return let(hit, lambda h: F.when(h.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(h["value"], F.substr(p, h["size"] + 1))))
+
+    def read(v):
+        pieces = F.split(v, "&")
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
+
+    return let(x, lambda v: F.when(F.contains(v, F.lit("&")), read(v)).otherwise(v))
 
 
 def left_open(x: Column) -> Column:
@@ -47,7 +78,9 @@ def document(x: Column, cut: bool = False) -> Column:
         end = F.regexp_instr(rest, F.lit(END_TAG))
         return F.when(end > 0, made(F.substr(rest, F.lit(1), end - 1 + F.length(F.regexp_extract(rest, END_TAG, 0))), F.lit(True))).otherwise(made(rest, F.lit(False)))
 
-    return let(strip(unescape(x)), page)
+    opened = lambda v: strip(F.regexp_replace(v, r"(?i)^```[ \t]*(?:html)?[ \t]*\r?\n?", ""))
+    closed = lambda v: strip(F.regexp_replace(v, r"\r?\n?```[ \t]*$", ""))
+    return let(closed(opened(strip(unescape(x)))), page)
 
 
 def tags(doc: Column) -> Column:
@@ -83,14 +116,22 @@ def best(x: Column) -> Column:
     return F.array_max(scored)
 
 
+def rich(x: Column) -> Column:
+    """struct(html, html_incomplete, chart): the best page of an answer and its first valid chart, of its JSON blocks or
+    of itself; null parts where it has none."""
+    blocks = F.regexp_extract_all(x, F.lit(r"(?is)```[ \t]*json[ \t]*\r?\n?(.*?)```"), F.lit(1))
+    charts = F.filter(F.transform(F.concat(blocks, F.array(x)), lambda b: chart(strip(b))), lambda c: c.isNotNull())
+    return let(best(x), lambda b: F.struct(b["doc"].alias("html"), (~b["complete"]).alias("html_incomplete"), F.get(charts, F.lit(0)).alias("chart")))
+
+
 def fenced(x: Column, language: str) -> Column:
     """The first fenced block of a language, to its closing fence or else the end; null if there is none."""
     return F.nullif(F.regexp_extract(x, rf"(?is)```{language}[ \t]*\n(.*?)(?:\n?```|$)", 1), F.lit(""))
 
 
-def chart(json: Column) -> Column:
+def chart(text: Column) -> Column:
     """struct(labels, values) of a valid bar chart: lists of one length whose values are numbers; else null."""
-    raw = F.from_json(json, "type string, labels array<string>, values array<string>")
+    raw = F.from_json(text, "type string, labels array<string>, values array<string>")
     values = F.transform(raw["values"], lambda v: v.try_cast("double"))
     ok = (raw["type"] == "bar_chart") & (F.size(raw["labels"]) == F.size(values)) & F.forall(values, lambda v: v.isNotNull())
     return F.when(ok, F.struct(raw["labels"].alias("labels"), values.alias("values")))

@@ -190,11 +190,66 @@ def version(x: Column) -> Column:
     return F.transform(F.when(bad > 0, F.slice(digits, F.lit(1), (bad - 1).cast("int"))).otherwise(digits), lambda p: p.try_cast("bigint"))
 
 
+# The tags by which an output delegates, and terms as users see them.
+INTERNAL, TAGS = "<|background_call|>", (DELEGATION, "<delegation>")
+TERMS = (("背景模型", "后台模型"), ("背景 model", "后台模型"))
+
+
+def user_terms(x: Column) -> Column:
+    for term, shown in TERMS:
+        x = F.replace(x, F.lit(term), F.lit(shown))
+    return x
+
+
 def delegation(raw: Column) -> Column:
-    """struct(foreground, question) of an output that delegates; null for others."""
-    at = F.locate(DELEGATION, F.lower(raw))
-    head = F.trim(F.regexp_replace(F.substr(raw, F.lit(1), at - 1), "(?i)</response>|</silence>", ""))
-    return F.when(at > 0, F.struct(head.alias("foreground"), F.trim(F.substr(raw, at + len(DELEGATION))).alias("question")))
+    """struct(foreground, question, raw_question) of an output that delegates; null for others.
+
+    The internal tag comes first: what follows is a JSON object's ``query``, or else the question itself. Otherwise the
+    earlier of the two tags counts. The question is cleaned; an empty one is no delegation unless only routing marks
+    were left out of it.
+    """
+    from weftline.functions.jsontext import first_object
+
+    low = F.lower(raw)
+    inner = F.locate(INTERNAL, raw)
+    places = [F.nullif(F.locate(tag, low), F.lit(0)) for tag in TAGS]
+    outer = F.coalesce(F.least(*places), F.lit(0))
+    size = F.when(outer == places[0], len(TAGS[0])).otherwise(len(TAGS[1]))
+    payload = strip(F.substr(raw, inner + len(INTERNAL)))
+    call = F.try_parse_json(first_object(F.when(inner > 0, payload)))
+    query = F.when(F.schema_of_variant(F.try_variant_get(call, "$.query", "variant")) == "STRING", strip(F.try_variant_get(call, "$.query", "string")))
+    asked = F.when(inner > 0, F.coalesce(F.nullif(query, F.lit("")), payload)).when(outer > 0, strip(F.substr(raw, outer + size)))
+    at = F.when(inner > 0, inner).otherwise(outer)
+
+    def made(q):
+        marks_only = (q != "") & (strip(F.regexp_replace(q, ROUTING, " ")) == "")
+        found = lambda clean: F.when((clean != "") | marks_only, F.struct(user_terms(strip(F.substr(raw, F.lit(1), at - 1))).alias("foreground"), clean.alias("question"), q.alias("raw_question")))
+        return let(clean_question(q), found)
+
+    return F.when(at > 0, let(asked, made))
+
+
+def asked_question(prompt: Column, question: Column) -> Column:
+    """What a delegation asks: the user's own prompt, cleaned, or else the question of the output; empty for neither."""
+    return F.coalesce(F.nullif(clean_question(F.coalesce(prompt, F.lit(""))), F.lit("")), question, F.lit(""))
+
+
+def background_result(status: Column, error: Column, text: Column, given: Column) -> Column:
+    """struct(error, body, summary) of a background answer: an error without success or text; a summary given with it
+    comes before that of its tag."""
+    parts = split_summary(strip_reasoning(strip(F.coalesce(text, F.lit("")))))
+    state = F.coalesce(F.nullif(status, F.lit("")), F.lit("completed"))
+    fault = F.when(state != "completed", F.coalesce(F.nullif(error, F.lit("")), F.concat(F.lit("Background service returned status="), state))).when(parts["body"] == "", "Background service returned empty text")
+    told = F.coalesce(F.nullif(strip(given), F.lit("")), parts["summary"])
+    return F.struct(fault.alias("error"), F.when(fault.isNull(), parts["body"]).alias("body"), F.when(fault.isNull(), told).alias("summary"))
+
+
+def index_range(low: Column, high: Column, first: Column, last: Column) -> Column:
+    """The range of frames ``low`` to ``high`` in seconds: from their labels where those name a range with ``-``, else
+    from their places; never empty."""
+    bound = lambda label, which: F.when(F.contains(label, F.lit("-")), F.regexp_replace(strip(F.regexp_extract(label, "^([^-]*)-(.*)$", which)), "s$", "").try_cast("double"))
+    start, end = F.coalesce(bound(first, 1), low.cast("double")), F.coalesce(bound(last, 2), high.cast("double") + 1)
+    return F.concat(compact_seconds(start), F.lit("-"), compact_seconds(F.when(end <= start, start + 1).otherwise(end)))
 
 
 def speech_parts(x: Column, size: int = 12, most: int = 2000) -> Column:

@@ -47,6 +47,71 @@ def image_bytes(url: Column) -> Column:
     return F.when(F.startswith(url, F.lit("data:image/")) & (at > 0), F.try_to_binary(F.substring(url, at + F.lit(7), F.length(url)), F.lit("base64")))
 
 
+# What a setting may be, which statuses and faults of a connection are worth a new try.
+RANGES = {"interval": (0.1, 60), "batch": (1, 30), "latency": (0, 10)}
+FAULTS, STATUSES = ("timeout", "os", "connection"), (408, 425, 429, 500, 502, 503, 504)
+
+
+def within(x: Column, setting: str) -> Column:
+    return x.between(*RANGES[setting])
+
+
+def retried(fault: Column, status: Column) -> Column:
+    """Whether a connection that failed by ``fault`` or with ``status`` is tried again."""
+    return F.coalesce(fault.isin(*FAULTS), F.lit(False)) | F.coalesce(status.isin(*STATUSES), F.lit(False))
+
+
+def wait(attempt: Column, first: float, most: float) -> Column:
+    return F.least(first * F.pow(F.lit(2.0), attempt), F.lit(most))
+
+
+def reconnect_wait(attempt: Column, delay: float) -> Column:
+    """None before the first attempt, then ``delay``, doubling."""
+    return F.when(attempt == 0, 0.0).otherwise(delay * F.pow(F.lit(2.0), attempt - 1))
+
+
+def whole(x: Column) -> Column:
+    """The whole number that a text states; null for null and other texts."""
+    return F.when(F.rlike(x, F.lit(r"^\s*[+-]?[0-9]+\s*$")), F.trim(x).try_cast("bigint"))
+
+
+def frame_rate(x: Column, default: float) -> Column:
+    return F.when(x > 0, F.least(x, F.lit(60.0))).otherwise(default)
+
+
+def long_edge(x: Column, default: int) -> Column:
+    """The longest side an image may have, 256 to 2048; 0 for no limit."""
+    n = whole(x)
+    return F.when(n.isNull(), default).when(n <= 0, 0).otherwise(F.least(F.greatest(n, F.lit(256)), F.lit(2048))).cast("bigint")
+
+
+def frame_limit(x: Column, default: int, most: int = 100) -> Column:
+    """How many frames are held; null where none is stated."""
+    n = whole(x)
+    return F.when(n <= 0, default).when(n > 0, F.least(n, F.lit(most))).cast("bigint")
+
+
+def fit_area(width: Column, height: Column, most: int) -> Column:
+    """struct(width, height) of an image scaled down to ``most`` pixels, sides cut to whole numbers."""
+    scale = F.least(F.lit(1.0), F.sqrt(F.lit(float(most)) / (width * height)))
+    side = lambda x: F.greatest(F.lit(1), F.floor(x * scale)).cast("bigint")
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def fit_edge(width: Column, height: Column, edge: int) -> Column:
+    """struct(width, height) of an image whose longer side is scaled down to ``edge``, sides rounded half to even."""
+    longer = F.greatest(width, height)
+    side = lambda x: F.when(longer > edge, F.greatest(F.lit(1.0), F.rint(x * (F.lit(float(edge)) / longer)))).otherwise(x).cast("bigint")
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def speech_config(instructions: Column, emotion: Column, asked: Column, rate: Column, form: Column, default: str) -> Column:
+    """struct(instructions, voice, fault): an emotion comes before the instructions; fault says why one is refused."""
+    said = F.array_join(F.filter(F.array(strip(emotion), strip(instructions)), lambda x: x != ""), " ")
+    fault = F.when(form != "pcm16", "output format").when(rate != 24000, "sample rate")
+    return F.struct(said.alias("instructions"), voice(asked, default).alias("voice"), fault.alias("fault"))
+
+
 def percent_encoded(x: Column) -> Column:
     """A text as part of an address: all but letters, digits and ``-._~`` as percent codes of its UTF-8."""
     form = F.url_encode(x)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import parse_times
+
 MAX_DURATION = 320
 
 
@@ -13,16 +16,26 @@ def fps(duration: Column) -> Column:
 
 
 def role_samples(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frames as samples (session, duration) and events (session, ord, sec, kind, content)."""
-    samples = frames.select("session").distinct().withColumn("duration", F.col("session") * 37 % 400 + 20)
-    events = frames.where("event_id % 9 = 0").select("session", F.col("t").alias("ord"), (F.col("event_id") % 450).alias("sec"), F.when(F.col("prompt").isNotNull(), "q").otherwise("r").alias("kind"), F.coalesce("prompt", "event_type").alias("content"))
-    return samples, events
+    """Frames as samples (session, duration) and events (session, ord, time, kind, content), time a text as annotations have
+    it: a second, a list of seconds, with a fraction, empty, none; one in every eighth session cannot be read, and those
+    of every fourth session run over the duration."""
+    duration = F.col("session") * 37 % 400 + 20
+    s = F.when(F.col("session") % 4 == 1, F.col("event_id") % 450).otherwise(F.col("event_id") % (duration + 1))
+    k, text = F.col("event_id") % 10, s.cast("string")
+    time = F.when((F.col("session") % 8 == 3) & (F.col("t") == 5), "abc").when(k == 0, F.concat(text, F.lit(", "), text, F.lit(".9,"), (s - 1).cast("string"))).when(k == 1, F.concat(text, F.lit(".5"))).when(k == 2, "").when(k > 3, text)
+    events = frames.select("session", F.col("t").alias("ord"), time.alias("time"), F.when(F.col("prompt").isNotNull(), "q").otherwise("r").alias("kind"), F.coalesce("prompt", "event_type").alias("content"))
+    return frames.select("session").distinct().withColumn("duration", duration), events
 
 
 def rejects(samples: DataFrame, events: DataFrame, most: int = MAX_DURATION) -> DataFrame:
-    """Samples whose events run over their duration, unless the duration was cut, with the first such second."""
-    late = events.join(samples, "session").where((F.col("sec") > F.col("duration")) & (F.col("duration") <= most))
-    return late.groupBy("session", "duration").agg(F.min("sec").alias("first_late"))
+    """(session, duration, reason, first_late): samples with an event whose time cannot be read, or that runs over a duration
+    which was not cut; the first such event decides, questions before responses."""
+    timed = events.join(samples, "session").withColumn("seconds", parse_times(F.col("time")))
+    late = F.filter("seconds", lambda x: (x > F.col("duration")) & (F.col("duration") <= most))
+    timed = timed.withColumn("late", F.get(late, F.lit(0))).where("seconds IS NULL OR late IS NOT NULL")
+    reason = F.when(F.col("seconds").isNull(), "bad time").otherwise(F.concat(F.lit("late "), "kind"))
+    first = F.min(F.struct((F.col("kind") == "r").alias("later"), "ord", reason.alias("reason"), F.col("late").alias("first_late"))).alias("f")
+    return timed.groupBy("session", "duration").agg(first).select("session", "duration", "f.reason", "f.first_late")
 
 
 def accepted(samples: DataFrame, events: DataFrame, most: int = MAX_DURATION) -> DataFrame:
@@ -33,7 +46,8 @@ def grid(samples: DataFrame, events: DataFrame, most: int = MAX_DURATION) -> Dat
     """One row a second of each accepted sample: the last question and response of that second, or silence."""
     used = F.least("duration", F.lit(most))
     kept = accepted(samples, events, most).withColumn("used", used)
-    last = events.join(kept, "session").where("sec <= used").withColumn("sec", F.least("sec", F.greatest(F.col("used") - 1, F.lit(0))))
+    timed = events.select("session", "ord", "kind", "content", F.explode(parse_times(F.col("time"))).alias("sec"))
+    last = timed.join(kept, "session").where("sec <= used AND sec >= 0").withColumn("sec", F.least("sec", F.greatest(F.col("used") - 1, F.lit(0))))
     pick = lambda k: F.max_by("content", F.when(F.col("kind") == k, F.col("ord")))
     last = last.groupBy("session", "sec").agg(pick("q").alias("q"), pick("r").alias("r"))
     seconds = kept.select("session", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("used"), F.lit(1)).cast("bigint") - 1)).alias("sec"))
@@ -41,6 +55,12 @@ def grid(samples: DataFrame, events: DataFrame, most: int = MAX_DURATION) -> Dat
     return seconds.join(last, ["session", "sec"], "left").select("session", "sec", F.coalesce("q", F.lit("")).alias("question"), answer.alias("answer"))
 
 
+def truncated(samples: DataFrame, events: DataFrame, most: int = MAX_DURATION) -> DataFrame:
+    """(session, original, used, frames) of the accepted samples that were cut to ``most`` seconds."""
+    s = accepted(samples, events, most).where(F.col("duration") > most)
+    return s.select("session", F.col("duration").alias("original"), F.lit(most).cast("bigint").alias("used"), (F.lit(most) * fps(F.col("duration"))).cast("bigint").alias("frames"))
+
+
 def counters(samples: DataFrame, events: DataFrame, most: int = MAX_DURATION) -> DataFrame:
     """Processed and truncated samples and their images, by frame rate."""
     s = accepted(samples, events, most).withColumn("fps", fps(F.col("duration")))
@@ -50,17 +70,24 @@ def counters(samples: DataFrame, events: DataFrame, most: int = MAX_DURATION) ->
 
 def within_budget(inputs: DataFrame, file: str, order: str, most: int) -> DataFrame:
     """Rows with ``ok`` that a budget of ``most`` successes admits, files in order: each offers its first rows, as many
-    as the budget has left. A file that fits whole is decided by its counts; only where one is cut are its successes
-    counted again. The driver holds two counts a file, as it does a listing of them."""
-    n = F.row_number().over(Window.partitionBy(file).orderBy(order))
-    ranked = inputs.withColumn("__n", n)
-    counts = inputs.groupBy(file).agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).orderBy(file).collect()
-    left, rooms = most, []
-    for c in counts:
-        if left <= 0:
-            break
-        rooms.append((c[file], left))
-        left -= c["ok"] if c["n"] <= left else ranked.where((F.col(file) == c[file]) & (F.col("__n") <= left) & F.col("ok")).count()
-    kind = inputs.schema[file].dataType.simpleString()
-    room = inputs.sparkSession.createDataFrame(rooms, f"`{file}` {kind}, __room bigint")
+    as the budget has left, and its successes use it up.
+
+    How much is left for a file depends on all files before it, so one task walks over the files, a row of at most
+    ``most`` flags each; the rows themselves are numbered and taken in parallel.
+    """
+    rank = F.row_number().over(Window.partitionBy(file).orderBy(order))
+    ranked = inputs.withColumn("__n", rank).where(F.col("__n") <= most)
+    flags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col("ok").cast("int").alias("ok")))), lambda r: r.ok), "")
+    files = ranked.groupBy(file).agg(flags.alias("__flags")).orderBy(file).coalesce(1)
+
+    def run(batches):
+        left = most
+        for batch in batches:
+            rooms = []
+            for offered in batch.column("__flags").to_pylist():
+                rooms.append(left)
+                left -= offered[:left].count("1")
+            yield pa.RecordBatch.from_arrays([batch.column(file), pa.array(rooms, pa.int64())], [file, "__room"])
+
+    room = files.mapInArrow(run, f"`{file}` {inputs.schema[file].dataType.simpleString()}, __room bigint")
     return ranked.join(room, file).where("__n <= __room AND ok").select(*inputs.columns)

@@ -32,29 +32,24 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], reads: list[str], st
     return df.select(*kept).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{schema}, `{to}` boolean")
 
 
-def throttle(df: DataFrame, interval_us: int) -> DataFrame:
-    """kept: the first frame of a session, then each that comes ``interval_us`` or more after the last one kept."""
+def throttle_step(interval_us: int) -> Callable:
+    """State: when the last frame was kept."""
 
     def step(last, us):
-        ok = last is None or us - last >= interval_us
-        return (us if ok else last), ok
-
-    return ordered_fold(df, "session", ["us", "event_id"], ["us"], lambda: None, step)
+        ok = last is None or us - last[0] >= interval_us
+        return ((us,) if ok else last), ok
 
+    return step
 
-def busy_skip(df: DataFrame, service: str) -> DataFrame:
-    """kept: a frame is dropped while the last one kept is being served for column ``service`` microseconds."""
 
-    def step(until, us, cost):
-        ok = until is None or us >= until
-        return (us + cost if ok else until), ok
+def busy_step(until, us, cost):
+    """State: until when the last frame kept is served."""
+    ok = until is None or us >= until[0]
+    return ((us + cost,) if ok else until), ok
 
-    return ordered_fold(df, "session", ["us", "event_id"], ["us", service], lambda: None, step)
 
-
-def late_drop(df: DataFrame, wall: str, most_us: int, resets_after: int = 100) -> DataFrame:
-    """kept: frames no older than ``most_us`` against the session's clock, which the first frame starts and which
-    starts anew with the frame after more than ``resets_after`` drops in a row. 0 keeps all."""
+def late_step(most_us: int, resets_after: int) -> Callable:
+    """State: the clock's first frame, when it came, and the drops since the last one kept."""
 
     def step(state, us, now):
         if state is None or most_us <= 0:
@@ -64,7 +59,23 @@ def late_drop(df: DataFrame, wall: str, most_us: int, resets_after: int = 100) -
             return (first, begun, 0), True
         return ((first, begun, drops + 1), False) if drops < resets_after else ((us, now, 0), True)
 
-    return ordered_fold(df, "session", ["us", "event_id"], ["us", wall], lambda: None, step)
+    return step
+
+
+def throttle(df: DataFrame, interval_us: int) -> DataFrame:
+    """kept: the first frame of a session, then each that comes ``interval_us`` or more after the last one kept."""
+    return ordered_fold(df, "session", ["us", "event_id"], ["us"], lambda: None, throttle_step(interval_us))
+
+
+def busy_skip(df: DataFrame, service: str) -> DataFrame:
+    """kept: a frame is dropped while the last one kept is being served for column ``service`` microseconds."""
+    return ordered_fold(df, "session", ["us", "event_id"], ["us", service], lambda: None, busy_step)
+
+
+def late_drop(df: DataFrame, wall: str, most_us: int, resets_after: int = 100) -> DataFrame:
+    """kept: frames no older than ``most_us`` against the session's clock, which the first frame starts and which
+    starts anew with the frame after more than ``resets_after`` drops in a row. 0 keeps all."""
+    return ordered_fold(df, "session", ["us", "event_id"], ["us", wall], lambda: None, late_step(most_us, resets_after))
 
 
 def count_batches(kept: DataFrame, size: int) -> DataFrame:

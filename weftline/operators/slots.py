@@ -37,3 +37,21 @@ def compressed(df: DataFrame, keys: list[str], order: str, label: str, text: str
     head = F.concat(F.lit("<"), F.get("rows", F.lit(0))[label], F.lit(" - "), F.element_at("rows", -1)[label], F.lit(">\n"))
     parts = F.array_join(F.transform("rows", lambda r: r[text]), "\n")
     return g.select(*keys, F.concat(head, asked(parts, model)).alias("body"))
+
+
+def summarised(keys: Column, told: Column, label: Column, template: str, model: Model) -> Column:
+    """A chunk's summary by the model; a chunk without key frames is not sent and takes ``template``, in which its label
+    stands for ``{range}``."""
+    return F.when(keys == 0, F.replace(F.lit(template), F.lit("{range}"), label)).otherwise(asked(F.when(keys > 0, told), model))
+
+
+def token_count(text: Column, tokenizer: Callable[[list[str]], list[list]] | None) -> Column:
+    """Tokens of a text; without a tokenizer a quarter of its characters. Null and empty texts have none."""
+    if tokenizer is None:
+        return F.coalesce(F.floor(F.length(text) / 4), F.lit(0)).cast("bigint")
+
+    @F.pandas_udf("bigint")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(t) for t in tokenizer(texts.tolist())] if len(texts) else [], index=texts.index, dtype="int64")
+
+    return run(F.coalesce(text, F.lit("")))

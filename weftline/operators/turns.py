@@ -46,11 +46,10 @@ def qa_archive(df: DataFrame, size: int, lead: int) -> DataFrame:
     ``df``: session, t, prompt, answered. A response moves to the archive when its chunk's summary is cut or its
     query is replaced, and is carried into the next chunk otherwise.
     """
-    filled = fill_query(df)
-    starts = filled.where("epoch > 0").groupBy("session", "epoch").agg(F.min("t").alias("begun"))
-    ends = starts.withColumn("next_begun", F.lead("begun").over(Window.partitionBy("session").orderBy("epoch"))).drop("begun")
-    last = df.groupBy("session").agg(F.max("t").alias("last_t"))
-    found = filled.where("answered AND epoch > 0").join(ends, ["session", "epoch"]).join(last, "session")
+    whole = Window.partitionBy("session")
+    after = whole.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    found = fill_query(df).withColumns({"next_begun": F.min(F.when(F.col("t") == F.col("query_start"), F.col("t"))).over(after), "last_t": F.max("t").over(whole)})
+    found = found.where("answered AND epoch > 0")
     k = chunk(F.col("t"), size)
     out = F.coalesce("next_begun", F.col("last_t") + 1)
     stays = (F.col("t") <= k * size - lead + 1) | (out <= k * size + 1)

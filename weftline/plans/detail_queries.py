@@ -62,13 +62,15 @@ def voice_default(spark, d):
     return turns(spark, d).select("session", "turn", values.voice(asked, "alto").alias("voice"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN octet_length(encode(text)) END::BIGINT AS n_bytes, CASE WHEN doc_id % 4 = 0 THEN md5(text) END AS digest FROM documents")
+@query("SELECT doc_id AS id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS digest, TRUE AS refused FROM documents WHERE text IS NOT NULL")
 def image_url_bytes(spark, d):
     """Inline images decoded; other addresses and broken base64 have no bytes."""
     coded = F.base64(F.encode("text", "utf-8"))
-    url = chosen(F.col("doc_id") % 4, F.concat(F.lit("data:image/png;base64,"), coded), F.concat(F.lit("data:text/plain;base64,"), coded), F.lit("data:image/png,x"), F.lit("data:image/png;base64,@@@="))
-    raw = values.image_bytes(url)
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), raw.alias("raw")).select("id", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.md5("raw").alias("digest"))
+    kind = chosen(F.col("doc_id") % 3, F.lit("png"), F.lit("jpeg"), F.lit("webp"))
+    other = chosen(F.col("doc_id") % 3, F.concat(F.lit("data:text/plain;base64,"), coded), F.lit("data:image/png,x"), F.lit("data:image/png;base64,@@@="))
+    raw = values.image_bytes(F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), coded))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), raw.alias("raw"), values.image_bytes(other).isNull().alias("refused"))
+    return docs.select("id", F.octet_length("raw").cast("bigint").alias("n_bytes"), F.md5("raw").alias("digest"), "refused")
 
 
 @query("SELECT doc_id AS id, '/api/local-file?path=' || url_encode(text) AS url FROM documents")

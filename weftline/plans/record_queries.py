@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -30,12 +27,6 @@ def query(sql: str | None = None):
     return put
 
 
-def shared(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-weftline-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def first_json(spark, d):
     """The first JSON object in an event's log text, behind a brace that opens none. No SQL: decoding that tolerates
@@ -154,14 +145,26 @@ def session_output(spark, d):
     return r.select("session", "total_turns", "total_us", F.array_join(F.transform("predictions", lambda p: F.concat(p.t.cast("string"), F.lit(":"), p.output)), ",").alias("predictions"))
 
 
+@query(f"WITH {SAMPLES}, g AS (SELECT session, count(*) AS n, count(*) FILTER (r IS NOT NULL) AS answers FROM grid LEFT JOIN lasts USING (session, sec) GROUP BY 1) SELECT session, n, answers FROM g")
+def converted_files(spark, d):
+    """Accepted samples written as one JSON array a file and read back as annotations are."""
+    samples, events = convert.role_samples(frames(spark, d))
+    g = convert.grid(samples, events).withColumn("pair", F.struct("sec", "question", "answer"))
+    g = g.groupBy("session").agg(F.array_sort(F.collect_list("pair")).alias("messages"))
+    out = files.shared(spark, "converted")
+    files.write_arrays(g.withColumns({"rel_path": F.concat((F.col("session") % 3).cast("string"), F.lit(".json")), "ord": F.col("session")}), out)
+    back = spark.read.schema("session bigint, messages array<struct<sec: bigint, question: string, answer: string>>").option("multiLine", True).json(out)
+    return back.select("session", F.size("messages").cast("bigint").alias("n"), F.size(F.filter("messages", lambda m: F.startswith(m.answer, F.lit("</response>")))).cast("bigint").alias("answers"))
+
+
 def _streamed(spark, d, rule, name):
     """The frames of the events table, read as a stream, through ``rule``; what it wrote."""
     batch = spark.read.parquet(f"{d}/events.parquet")
     e = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 16).parquet(f"{d}/events.parque[t]")  # a pattern may be one file
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     f = rule(e.select(F.col("user_id").alias("session"), "event_id", us.alias("us")))
-    out = shared(spark, name)
-    files.write_stream(f, out, shared(spark, name + "-state"))
+    out = files.shared(spark, name)
+    files.write_stream(f, out, files.shared(spark, name + "-state"))
     return spark.read.schema(f.schema).parquet(out)
 
 

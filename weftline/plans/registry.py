@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.plans import detail_queries, record_queries, session_queries, text_queries
+from weftline.plans import detail_queries, record_queries, request_queries, service_queries, session_queries, text_queries
+
+MODULES = (session_queries, text_queries, record_queries, detail_queries, request_queries, service_queries)
 
 
 def queries() -> dict:
-    return session_queries.QUERIES | text_queries.QUERIES | record_queries.QUERIES | detail_queries.QUERIES
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return session_queries.SQL | text_queries.SQL | record_queries.SQL | detail_queries.SQL
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

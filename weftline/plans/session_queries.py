@@ -114,7 +114,8 @@ def qa_archive(spark, d):
 
 @query(f"WITH {QA}, c AS (SELECT DISTINCT session, 1 + (t - 1) // {C} AS chunk FROM frames) SELECT c.session, chunk, count(*) AS n_entries, string_agg(query, '; ' ORDER BY archived_in, epoch) AS queries FROM c JOIN qa ON c.session = qa.session AND archived_in < chunk GROUP BY 1, 2")
 def qa_visible(spark, d):
-    """Archived entries that each chunk of a session sees: those archived before it."""
+    """Archived entries that each chunk of a session sees: those archived before it. A chunk's row lists them all, so the
+    result itself grows with chunks times entries."""
     f = frames(spark, d)
     c = f.select("session", T.chunk(F.col("t"), C).alias("chunk")).distinct()
     seen = c.join(T.qa_archive(f, C, L), "session").where("archived_in < chunk")
@@ -145,12 +146,15 @@ def keyframe_ranges(spark, d):
     return k.select("session", "idx", F.coalesce(F.floor((F.lag("idx").over(w) + F.col("idx")) / 2) + 1, F.lit(0)).cast("bigint").alias("left_idx"), F.coalesce(F.floor((F.col("idx") + F.lead("idx").over(w)) / 2), F.col("n") - 1).cast("bigint").alias("right_idx"))
 
 
-@query(f"WITH {FRAMES}, b AS (SELECT session, t, prompt, list(t) OVER (PARTITION BY session ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS buf FROM frames) SELECT session, t, len(buf) AS n_buffered, array_to_string(buf[-5:], ',') AS agent_frames FROM b WHERE prompt IS NOT NULL")
+@query(f"""WITH {FRAMES}, b AS (SELECT session, t, prompt, list(t) OVER (PARTITION BY session ORDER BY t ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS buf FROM frames)
+SELECT session, t, len(buf) AS n_buffered, array_to_string(buf[-50:], ',') AS agent_frames, CASE WHEN session % 2 = 0 THEN array_to_string(buf[-30:], ',') ELSE array_to_string(buf, ',') END AS kept FROM b WHERE prompt IS NOT NULL""")
 def recent_buffer(spark, d):
-    """At a delegation: the last ten frames are held, the last five of them reach the agent."""
-    w = Window.partitionBy("session").orderBy("t").rowsBetween(-9, 0)
+    """At a delegation: the last 100 frames are held, the last 50 reach the agent; a buffer made smaller, to 30 in every
+    second session, keeps the newest."""
+    w = Window.partitionBy("session").orderBy("t").rowsBetween(-99, 0)
     b = frames(spark, d).withColumn("buf", F.collect_list("t").over(w)).where("prompt IS NOT NULL")
-    return b.select("session", "t", F.size("buf").cast("bigint").alias("n_buffered"), F.array_join(F.transform(F.slice("buf", F.greatest(F.lit(1), F.size("buf") - 4), F.lit(5)), lambda x: x.cast("string")), ",").alias("agent_frames"))
+    last = lambda n: F.array_join(F.transform(F.slice("buf", F.greatest(F.lit(1), F.size("buf") - n + 1), F.lit(n)), lambda x: x.cast("string")), ",")
+    return b.select("session", "t", F.size("buf").cast("bigint").alias("n_buffered"), last(50).alias("agent_frames"), F.when(F.col("session") % 2 == 0, last(30)).otherwise(last(100)).alias("kept"))
 
 
 @query(f"WITH {FRAMES} SELECT session, t, (t - 1) * 500 AS clock_ms, us - first_value(us) OVER w AS relative_us FROM frames WINDOW w AS (PARTITION BY session ORDER BY t)")
@@ -280,7 +284,8 @@ def endpointing(spark, d):
 
 @query(f"WITH {FRAMES} SELECT m.session, m.event_id, s.event_id AS subscriber FROM frames m JOIN frames s ON m.session = s.session WHERE m.event_type = 'purchase' AND s.event_type = 'signup'")
 def fanout(spark, d):
-    """Each message (purchase) to every subscription (signup) of its session."""
+    """Each message (purchase) to every subscription (signup) of its session: as many rows as a session's messages times
+    its subscriptions, which is what a fan-out is."""
     f = frames(spark, d)
     s = f.where("event_type = 'signup'").select("session", F.col("event_id").alias("subscriber"))
     return f.where("event_type = 'purchase'").select("session", "event_id").join(s, "session")
@@ -288,9 +293,9 @@ def fanout(spark, d):
 
 @query(f"WITH {FRAMES}, r AS (SELECT session, event_id AS task, us FROM frames WHERE event_type = 'signup') SELECT session, task, min(f.t) AS emitted_at FROM r JOIN frames f USING (session) WHERE f.us > r.us AND f.answered GROUP BY 1, 2")
 def handoff_join(spark, d):
-    """A ready result rides on the first response after it, once: next-value per session, not a range join."""
+    """A ready result rides on the first response after it: a running minimum from the session's end, not a range join."""
     f = frames(spark, d)
-    later = Window.partitionBy("session").orderBy("us").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("session").orderBy(-F.col("us")).rangeBetween(Window.unboundedPreceding, -1)
     nxt = f.withColumn("emitted_at", F.min(F.when(F.col("answered"), F.col("t"))).over(later))
     return nxt.where("event_type = 'signup' AND emitted_at IS NOT NULL").select("session", F.col("event_id").alias("task"), "emitted_at")
 

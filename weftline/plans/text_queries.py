@@ -50,16 +50,40 @@ def time_labels(spark, d):
     return frames(spark, d).where("value IS NOT NULL").select("session", "t", X.seconds_label(F.col("value")).alias("label"), X.start_second(text).alias("start_s"))
 
 
-@query("SELECT doc_id AS id, coalesce(nullif(left(regexp_replace(regexp_replace(left(text, 200), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 120), ''), 'default') AS name, CASE WHEN length(text) > 80 THEN left(text, 77) || '...' ELSE text END AS short, CASE WHEN length(text) <= 8 THEN '***' ELSE left(text, 4) || '...' || right(text, 4) END AS masked FROM documents")
+@query("SELECT doc_id AS id, coalesce(nullif(left(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 120), ''), 'default') AS name, CASE WHEN length(text) > 80 THEN left(text, 77) || '...' ELSE text END AS short, CASE WHEN length(text) <= 8 THEN '***' ELSE left(text, 4) || '...' || right(text, 4) END AS masked FROM documents")
 def names_paths(spark, d):
-    """A name from what a title would show, and the shortened and masked text."""
+    """A name made of the text, and the shortened and masked text."""
     t = F.col("text")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.safe_name(F.left(t, F.lit(200))).alias("name"), X.shorten(t, 80).alias("short"), X.mask(t).alias("masked"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.safe_name(t).alias("name"), X.shorten(t, 80).alias("short"), X.mask(t).alias("masked"))
 
 
-@query(f"WITH {OUTPUTS} SELECT id, trim(regexp_replace(left(raw, instr(lower(raw), '</delegation>') - 1), '(?i)</response>|</silence>', '', 'g')) AS foreground, trim(substr(raw, instr(lower(raw), '</delegation>') + 13)) AS question FROM outputs WHERE instr(lower(raw), '</delegation>') > 0")
+CLEANED = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)[\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]*\[[^\]]*\b(?:User[\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+(?:Query|Prompt|Request)|IMPORTANT)\b[^\]]*\][\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]*', ' ', 'g'),
+ '^[\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]*请(?:回答|解答)这道(?:简答题|数学题|题目|问题)[，,、\s]*(?:并(?:提供|给出)必要的推理过程和最终答案)?[：:][\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]*', '', 'g'), '[ \t]{{2,}}', ' ', 'g'), '([:：])[\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', '\1', 'g'), '[\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"""
+ASKED = f"""asked AS (SELECT doc_id AS id, trim(CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN text || ' </delegation> x' WHEN 2 THEN 'Q ' || doc_id WHEN 3 THEN 'plain ' || doc_id WHEN 4 THEN '' WHEN 5 THEN '[User Query (IMPORTANT)]' WHEN 6 THEN '{{"query": 5}} x' ELSE NULL END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS raw_question,
+ CASE doc_id % 8 WHEN 0 THEN '</response> 后台模型 at work' WHEN 1 THEN 'Go' WHEN 2 THEN 'see </delegation> first' ELSE 'a' END AS foreground FROM documents WHERE text IS NOT NULL AND doc_id % 8 <> 7),
+delegated AS (SELECT * FROM (SELECT id, foreground, raw_question, {CLEANED.format(x="raw_question")} AS question FROM asked) WHERE question <> '' OR raw_question = '[User Query (IMPORTANT)]')"""
+
+
+def _delegating(spark, d):
+    """Documents as outputs that delegate by either tag, by the internal one with and without JSON, with an empty question,
+    with routing marks only, or not at all."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 8
+    raw = F.when(k == 0, F.concat(F.lit(" </response> 背景模型 at work </delegation> "), "text")).when(k == 1, F.concat(F.lit("Go <Delegation>"), "text", F.lit(" </delegation> x"))).when(k == 2, F.concat(F.lit('see </delegation> first <|background_call|> {no {"query": " Q '), i, F.lit(' "} tail'))).when(k == 3, F.concat(F.lit("a <|background_call|> plain "), i)).when(k == 4, "a </DELEGATION>  \n").when(k == 5, "a <delegation> [User Query (IMPORTANT)] ").when(k == 6, 'a <|background_call|>{"query": 5} x').otherwise(F.col("text"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), raw.alias("raw"))
+
+
+@query(f"WITH {ASKED} SELECT id, foreground, question, raw_question FROM delegated")
 def delegation_parse(spark, d):
-    return outputs(spark, d).select("id", X.delegation(F.col("raw")).alias("r")).where("r IS NOT NULL").select("id", "r.*")
+    """Delegations: what is said meanwhile, the question as shown and as it came."""
+    return _delegating(spark, d).select("id", X.delegation(F.col("raw")).alias("r")).where("r IS NOT NULL").select("id", "r.*")
+
+
+@query(f"WITH {ASKED} SELECT id, CASE WHEN id % 3 = 0 THEN 'asked ' || id ELSE question END AS question, id % 3 = 0 OR question <> '' AS started FROM delegated")
+def delegation_question(spark, d):
+    """The user's own prompt comes before the delegated question; with neither no task starts."""
+    prompt = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" [Important User Request] asked "), F.col("id").cast("string"))).when(F.col("id") % 3 == 1, " [IMPORTANT] ")
+    q = _delegating(spark, d).select("id", X.delegation(F.col("raw")).alias("r"), prompt.alias("prompt")).where("r IS NOT NULL").select("id", X.asked_question(F.col("prompt"), F.col("r.question")).alias("question"))
+    return q.withColumn("started", F.col("question") != "")
 
 
 def strip(x: str) -> str:
@@ -91,12 +115,12 @@ def delegation_clean(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.clean_question(made).alias("question"))
 
 
-@query(f"""WITH outputs AS (SELECT doc_id AS id, 'A ' || left(text, 80) || ' <SUMMARY n="1"> 摘要: <think>x</think>' || substr(text, 81, 60) || '</Summary> ' || chr(10) || '<summary>two</summary>' AS x FROM documents),
+@query(f"""WITH outputs AS (SELECT doc_id AS id, 'A ' || text || ' <SUMMARY n="1"> 摘要: <think>x</think>' || text || '</Summary> ' || chr(10) || '<summary>two</summary>' AS x FROM documents),
 tagged AS (SELECT id, {strip("regexp_extract(x, '" + X.SUMMARY + "', 1)")} AS raw, {strip("regexp_replace(" + strip("x") + ", '" + X.SUMMARY + "', '')")} AS body FROM outputs), {THOUGHT.replace('{source}', 'tagged')}
 SELECT id, {strip(gsub(f"regexp_replace(clean, '{X.SUMMARY_LABEL}', '')", "\\n{3,}", "chr(10) || chr(10)"))} AS summary, body FROM unthought JOIN tagged USING (id)""")
 def summary_split(spark, d):
     """The first summary tag of an answer and the rest of it."""
-    made = F.concat(F.lit("A "), F.left("text", F.lit(80)), F.lit(' <SUMMARY n="1"> 摘要: <think>x</think>'), F.substring("text", 81, 60), F.lit("</Summary> \n<summary>two</summary>"))
+    made = F.concat(F.lit("A "), "text", F.lit(' <SUMMARY n="1"> 摘要: <think>x</think>'), "text", F.lit("</Summary> \n<summary>two</summary>"))
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.split_summary(made).alias("s")).select("id", "s.*")
 
 
@@ -180,8 +204,9 @@ def prompt_text(spark, d):
 
 
 def plain_markup(x: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-        x = f"replace({x}, '{entity}', '{char}')"
+    """DuckDB for the character references that the pages have."""
+    for entity, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&#39;", "''"), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{entity}', '{char}', 'g')"
     return f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
@@ -205,15 +230,14 @@ def html_score(spark, d):
 def html_extract(spark, d):
     """The best document of an answer: a page after prose, in a fence, or after a fenced scrap that scores below it."""
     page = F.coalesce("html", F.lit(""))
-    return table(spark, d, "pages").where(~F.contains(page, F.lit("```"))).select("page_id", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("See\n```html\n<p>...</p>\n```\n```html\n"), page, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("```html\n"), page, F.lit("\n```"))).alias("answer")).select("page_id", html.best(F.col("answer")).alias("b")).select("page_id", F.col("b.place").cast("bigint").alias("place"), F.col("b.doc").alias("doc"), "b.complete", "b.score").where("score IS NOT NULL")
+    return table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("See\n```html\n<p>...</p>\n```\n```html\n"), page, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("```html\n"), page, F.lit("\n```"))).alias("answer")).select("page_id", html.best(F.col("answer")).alias("b")).select("page_id", F.col("b.place").cast("bigint").alias("place"), F.col("b.doc").alias("doc"), "b.complete", "b.score").where("score IS NOT NULL")
 
 
-@query("""SELECT doc_id AS id, chr(10) || '```html' || chr(10) || left(text, 100) || chr(10) || '```' || ' tail' AS answer, left(text, 100) AS block FROM documents WHERE NOT contains(left(text, 100), '`')""")
+@query("""SELECT doc_id AS id, nullif(regexp_replace(split_part(text || chr(10) || '```', '```', 1), '\\n$', ''), '') AS block FROM documents""")
 def fenced_blocks(spark, d):
-    """The first fenced html block of an answer."""
-    head = F.left("text", F.lit(100))
-    made = F.concat(F.lit("\n```html\n"), head, F.lit("\n``` tail"))
-    return table(spark, d, "documents").where(~F.contains(head, F.lit("`"))).select(F.col("doc_id").alias("id"), made.alias("answer"), html.fenced(made, "html").alias("block"))
+    """The first fenced html block of an answer, to the next fence, wherever that is."""
+    made = F.concat(F.lit("\n```html\n"), "text", F.lit("\n``` tail"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), html.fenced(made, "html").alias("block"))
 
 
 @query("""WITH b AS (SELECT user_id AS session, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2)
@@ -228,10 +252,12 @@ def chart_extract(spark, d):
 
 
 SAMPLES = f"""{FRAMES}, samples AS (SELECT session, 20 + (session * 37) % 400 AS dur FROM (SELECT DISTINCT session FROM frames)),
-ev AS (SELECT f.session, f.t, f.event_id % 450 AS sec, CASE WHEN prompt IS NOT NULL THEN 'q' ELSE 'r' END AS kind, coalesce(prompt, event_type) AS content, dur, least(dur, 320) AS eff, dur > 320 AS cut FROM frames f JOIN samples USING (session) WHERE f.event_id % 9 = 0),
-bad AS (SELECT DISTINCT session FROM ev WHERE sec > eff AND NOT cut),
+raw AS (SELECT f.session, t, CASE WHEN session % 4 = 1 THEN event_id % 450 ELSE event_id % (dur + 1) END AS s, event_id % 10 AS k, session % 8 = 3 AND t = 5 AS bad, CASE WHEN prompt IS NOT NULL THEN 'q' ELSE 'r' END AS kind, coalesce(prompt, event_type) AS content, dur, least(dur, 320) AS eff, dur > 320 AS cut FROM frames f JOIN samples USING (session)),
+faults AS (SELECT session, dur, CASE WHEN bad THEN 'bad time' ELSE 'late ' || kind END AS reason, CASE WHEN NOT bad THEN s END AS first_late FROM raw WHERE bad OR (NOT cut AND k NOT IN (2, 3) AND s > eff) QUALIFY row_number() OVER (PARTITION BY session ORDER BY kind = 'r', t) = 1),
+bad AS (SELECT session FROM faults),
+ev AS (SELECT session, t, kind, content, eff, unnest(CASE WHEN k = 0 THEN [s, s - 1] ELSE [s] END) AS sec FROM raw WHERE k NOT IN (2, 3) AND NOT bad),
 grid AS (SELECT session, dur, least(dur, 320) AS eff, unnest(range(0, least(dur, 320))) AS sec FROM samples WHERE session NOT IN (SELECT session FROM bad)),
-lasts AS (SELECT session, least(sec, eff - 1) AS sec, arg_max(content, t) FILTER (kind = 'q') AS q, arg_max(content, t) FILTER (kind = 'r') AS r FROM ev WHERE sec <= eff GROUP BY 1, 2)"""
+lasts AS (SELECT session, least(sec, eff - 1) AS sec, arg_max(content, t) FILTER (kind = 'q') AS q, arg_max(content, t) FILTER (kind = 'r') AS r FROM ev WHERE sec <= eff AND sec >= 0 GROUP BY 1, 2)"""
 
 
 @query(f"WITH {SAMPLES} SELECT grid.session, grid.sec, coalesce(q, '') AS question, CASE WHEN r IS NULL THEN '</silence>' ELSE '</response> ' || r END AS answer FROM grid LEFT JOIN lasts USING (session, sec)")
@@ -241,13 +267,21 @@ def convert_grid(spark, d):
     return convert.grid(samples, events).select("session", "sec", "question", "answer")
 
 
-@query(f"WITH {SAMPLES} SELECT session, dur::BIGINT AS duration, min(sec) AS first_late FROM ev WHERE sec > eff AND NOT cut GROUP BY 1, 2")
+@query(f"WITH {SAMPLES} SELECT session, dur::BIGINT AS duration, reason, first_late FROM faults")
 def convert_rejects(spark, d):
-    """Samples with an event beyond a duration that was not cut."""
+    """Samples with a time that cannot be read or that lies beyond a duration that was not cut: the first such event,
+    questions before responses."""
     samples, events = convert.role_samples(frames(spark, d))
     return convert.rejects(samples, events)
 
 
+@query(f"WITH {SAMPLES}, g AS (SELECT DISTINCT session, dur FROM grid) SELECT session, dur::BIGINT AS original, 320::BIGINT AS used, 320::BIGINT * CASE WHEN dur >= 160 THEN 1 WHEN dur >= 64 THEN 2 ELSE 4 END AS frames FROM g WHERE dur > 320")
+def convert_truncated(spark, d):
+    """A record of every accepted sample that was cut."""
+    samples, events = convert.role_samples(frames(spark, d))
+    return convert.truncated(samples, events)
+
+
 @query(f"WITH {SAMPLES}, g AS (SELECT DISTINCT session, dur FROM grid) SELECT CASE WHEN dur >= 160 THEN 1 WHEN dur >= 64 THEN 2 ELSE 4 END AS fps, count(*) AS processed, sum((dur > 320)::INT)::BIGINT AS truncated, sum(greatest(least(dur, 320) * CASE WHEN dur >= 160 THEN 1 WHEN dur >= 64 THEN 2 ELSE 4 END, 1))::BIGINT AS n_images FROM g GROUP BY 1")
 def convert_counters(spark, d):
     samples, events = convert.role_samples(frames(spark, d))

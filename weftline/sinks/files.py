@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-weftline-")
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; where that is unset, a folder of its
+    own for a local master, as in tests, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder(spark.sparkContext.applicationId)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def done(spark: SparkSession, out: str) -> DataFrame | None:
     """The ``rel_path`` values that ``out`` has already; None where nothing was written yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
@@ -25,6 +45,15 @@ def write_converted(samples: DataFrame, out: str, rewrite: bool = False) -> None
     writer.option("partitionOverwriteMode", "dynamic").json(out)
 
 
+def write_arrays(samples: DataFrame, out: str) -> None:
+    """One file for each input file (column ``rel_path``): its samples as one JSON array in the order of column ``ord``. An
+    input file's samples are one value, as its output is one document; a file without samples is not written."""
+    columns = [c for c in samples.columns if c not in ("rel_path", "ord")]
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*columns).alias("r"))), lambda a, b: F.when(a.ord < b.ord, -1).when(a.ord > b.ord, 1).otherwise(0)), lambda x: x.r)
+    text = samples.groupBy("rel_path").agg(F.to_json(rows, {"pretty": "true"}).alias("value"))
+    text.repartition("rel_path").write.partitionBy("rel_path").text(out)
+
+
 def session_records(turns: DataFrame, light: bool = False) -> DataFrame:
     """session, total_turns, total_us and the ordered predictions of each session; ``light`` leaves the texts out.
     ``turns``: session, t, us, output. A session's predictions are one row, as its record is one document."""

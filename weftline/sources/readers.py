@@ -8,18 +8,43 @@ from pyspark.sql import functions as F
 EVENT = "struct<content: string, time: string>"
 
 
+ANNOTATION = f"video_name string, video_path string, task_type string, source string, question array<{EVENT}>, response string"
+
+
+def _raw_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Samples with ``file`` and ``broken``, the text of a file that is no JSON. A path of one file is read whatever its
+    name; of a folder all ``*.json`` at any depth but those named ``example.json``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    reader = spark.read.schema(f"{ANNOTATION}, broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken")
+    if not one:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    named = F.coalesce(F.length("video_name"), F.lit(0)) >= 0  # Spark refuses to read the broken texts alone
+    df = reader.json(path).withColumn("file", F.col("_metadata.file_path")).withColumn("ok", F.isnull("broken") & named)
+    return df if one else df.where("_metadata.file_name <> 'example.json'")
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of all ``*.json`` files under ``path`` (or of one file) but those named ``example.json``: file, video_name,
-    video_path, task_type, source, question, response. A file holds an array of samples or one; responses nested one
-    level are flattened. Broken files give no row."""
-    schema = f"video_name string, video_path string, task_type string, source string, question array<{EVENT}>, response string"
-    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "DROPMALFORMED").json(path)
-    df = df.withColumn("file", F.col("_metadata.file_path")).where("_metadata.file_name <> 'example.json'")
+    """Samples under ``path``: file, video_name, video_path, task_type, source, question, response. A file holds an array of
+    samples or one; responses nested one level are flattened. ``annotation_faults`` names the files that give none."""
+    df = _raw_annotations(spark, path).where("ok")
     nested = F.flatten(F.from_json("response", f"array<array<{EVENT}>>"))
     deep = F.rlike("response", F.lit(r"^\s*\[\s*\["))
     return df.withColumn("response", F.when(deep, nested).otherwise(F.from_json("response", f"array<{EVENT}>"))).select("file", "video_name", "video_path", "task_type", "source", "question", "response")
 
 
+def annotation_faults(spark: SparkSession, path: str) -> DataFrame:
+    """The files under ``path`` that are no JSON: file and how many characters they have."""
+    return _raw_annotations(spark, path).where("NOT ok").select("file", F.length("broken").alias("n_chars"))
+
+
+def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(dir, names): the files of each folder under ``path`` that match, names in order; no file is opened."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    named = df.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "[^/]*$", 0).alias("name"))
+    return named.groupBy("dir").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSONL logs: file, line, type, item_type, text, thread_id and valid (the line is an object)."""
     df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.operators import folds as rules
+
 FIELDS = "session bigint, event_id bigint, us bigint, kept boolean"
 
 
@@ -36,36 +38,17 @@ def fold(df: DataFrame, reads: list[str], state: str, step: Callable) -> DataFra
 
 def throttle(df: DataFrame, interval_us: int) -> DataFrame:
     """kept: the first frame of a session, then each ``interval_us`` or more after the last one kept."""
-
-    def step(last, us):
-        ok = last is None or us - last[0] >= interval_us
-        return ((us,) if ok else last), ok
-
-    return fold(df, ["us"], "last bigint", step)
+    return fold(df, ["us"], "last bigint", rules.throttle_step(interval_us))
 
 
 def busy_skip(df: DataFrame, service: str) -> DataFrame:
     """kept: a frame is dropped while the last one kept is being served for column ``service`` microseconds."""
-
-    def step(until, us, cost):
-        ok = until is None or us >= until[0]
-        return ((us + cost,) if ok else until), ok
-
-    return fold(df, ["us", service], "until bigint", step)
+    return fold(df, ["us", service], "until bigint", rules.busy_step)
 
 
 def late_drop(df: DataFrame, wall: str, most_us: int, resets_after: int = 100) -> DataFrame:
     """kept: frames no older than ``most_us`` by the session's clock; see the batch fold."""
-
-    def step(state, us, now):
-        if state is None or most_us <= 0:
-            return (us, now, 0), True
-        first, begun, drops = state
-        if now - begun - (us - first) <= most_us:
-            return (first, begun, 0), True
-        return ((first, begun, drops + 1), False) if drops < resets_after else ((us, now, 0), True)
-
-    return fold(df, ["us", wall], "first bigint, begun bigint, drops bigint", step)
+    return fold(df, ["us", wall], "first bigint, begun bigint, drops bigint", rules.late_step(most_us, resets_after))
 
 
 def sessions(df: DataFrame, gap: str, late: str) -> DataFrame:
