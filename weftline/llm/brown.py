@@ -276,7 +276,7 @@ def classed(rows: DataFrame, head: tuple, k: int, keep: list[str]) -> DataFrame:
             seen = np.where(own < 0, k - 2, own)
             before, after = np.append(k - 1, seen[:-1])[: len(seen)], np.append(seen[1:], k - 1)[: len(seen)]
             before[ends[:-1][np.diff(ends) > 0]] = after[ends[1:][np.diff(ends) > 0] - 1] = k - 1
-            total = lambda x, row=row, n=len(texts): np.bincount(row, x, n)
+            total = lambda x, row=row, n=len(texts): np.bincount(row, x, n).astype(float)  # noqa: E731 -- of nothing it is whole numbers
             raw = own.astype(np.int8).tobytes()
             lists = pa.array(np.searchsorted(rare, ends).astype(np.int32))
             cols = [pa.array(total(at >= 0).astype(np.int64)), pa.array(total(base[at])), pa.array(total(emit[at])), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]

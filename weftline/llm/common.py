@@ -49,14 +49,21 @@ def doc_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def smallest(df: DataFrame, lot: str, n: int, total: int) -> DataFrame:
+    """The ``n`` rows of ``df`` with the smallest ``lot``, a column of even 64-bit hashes, out of about ``total``. Only rows
+    below about twice the share wanted are ranked, so that no task or driver gets more than about 2 n rows."""
+    share = min(1.0, (2 * n + 100) / max(total, 1))
+    return df.where(F.col(lot) <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy(lot).limit(n)
+
+
 def bounded_sample(df: DataFrame, n: int, seed: int = 17, key: str = "doc_id") -> DataFrame:
     """At most ``n`` rows of ``df``, picked by the hash of ``key``: the same rows on each run.
 
-    Only the keys are sorted (a top-k, never more than ``n`` a task); the rows follow by a broadcast semi join
-    whose size is bounded by ``n`` keys. Rows with a null key are never picked; repeated keys come along.
+    Only keys are counted and ranked; the rows follow by a broadcast semi join whose size is bounded by ``n`` keys. Rows
+    with a null key are never picked; repeated keys come along.
     """
     keys = df.where(F.col(key).isNotNull()).select(key).distinct()
-    keys = keys.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    keys = smallest(keys.withColumn("weftline_lot", F.xxhash64(F.col(key), F.lit(seed))), "weftline_lot", n, keys.count()).select(key)
     return df.join(F.broadcast(keys), key, "left_semi")
 
 
