@@ -1,9 +1,10 @@
 """Media columns by content-defined chunking.
 
 A payload is stored as an 8-bit mono WAV, lossless. A rolling gear hash over the last 32 samples cuts it, so equal
-passages are cut alike wherever they stand. Chunks are kept once each, by digest, in a bucketed table; a medium is a
-header and an ordered list of digests. Reading joins the lists with the table, puts the bytes in order and verifies
-the digest of every chunk and of the whole medium.
+passages are cut alike wherever they stand. A medium is a header and an ordered list of chunk digests. Joins on digests
+alone find which medium owns each chunk, the one with the smallest digest of its own; a medium's own chunks are packed
+together, and the packs, each once, are a table bucketed by medium. Reading puts a medium together from its pack and
+from chunks fetched out of other packs, and verifies the digest of every chunk and of the whole medium.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, small_batches, table_path, written
+from weftline.llm.common import as_bytes, in_share, removed, small_batches, smallest, table_path, written
 
 UNIT, HEADER, RATE = 64, 44, 8000
+SAMPLES, SAMPLE_BYTES, DICTIONARY = 1500, 65_536, 65_536  # texts that a packing dictionary is made of, bytes of each, its bytes
 
 
 def gear_table(seed: int = 11) -> np.ndarray:
@@ -79,92 +81,161 @@ def features(payload: bytes, chunks: int) -> str:
     return f"sum={int(s.sum(dtype=np.int64))};peak={int(s.max())};cross={int(np.count_nonzero((s[1:] > 127) != (s[:-1] > 127)))};chunks={chunks}"
 
 
-def ingest(docs: DataFrame, least: int = 256, average: int = 1024, most: int = 8192) -> tuple[DataFrame, DataFrame]:
-    """(media, chunks) of ``docs`` (doc_id, text; null text is empty, repeated rows stay rows).
+def cut(body: bytes, sizes: tuple[int, int, int], gear: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """Digests and ends of the chunks."""
+    ends = cut_points(body, *sizes, gear)
+    return [hashlib.sha256(body[a:b]).digest() for a, b in zip([0, *ends], ends, strict=False)], ends
 
-    media: doc_id, n_bytes, media_sha256, header, digests (ordered); chunks: digest, blob (zstandard), with repeats.
-    """
+
+def dictionary(docs: DataFrame) -> bytes:
+    """What packs of ``docs`` have in common, learnt from at most ``SAMPLES`` texts of at most ``SAMPLE_BYTES`` bytes, those
+    with the smallest hashes; empty where they are fewer than 100 or hold less than 16 times its size."""
+    texts = docs.select("text").where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).withColumn("lot", F.xxhash64("text"))
+    total = texts.select("lot").distinct().count()
+    once = texts.where(in_share("lot", SAMPLES, total)).groupBy("lot").agg(F.first("text").alias("text"))  # copies count once
+    sample = [r.text.encode() for r in smallest(once, "lot", SAMPLES, total).select("text").collect()]
+    return zstandard.train_dictionary(DICTIONARY, sample).as_bytes() if len(sample) >= 100 and sum(map(len, sample)) >= 16 * DICTIONARY else b""
+
+
+def presses(common: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    known = {"dict_data": zstandard.ZstdCompressionDict(common)} if common else {}
+    return zstandard.ZstdCompressor(level=9, **known), zstandard.ZstdDecompressor(**known)
+
+
+def chunk_lists(docs: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
+    """doc_id, n_bytes, medium (its SHA-256) and digests of the chunks in order; a row for every row of ``docs`` (doc_id,
+    text; null text is empty, repeated rows stay rows)."""
     gear = gear_table()
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def media(batches):
+    def run(batches):
         for batch in small_batches(batches, 1024):
-            n, sha, head, lists = [], [], [], []
+            out = []
             for raw in as_bytes(batch.column("text")):
                 medium = as_wav(padded(raw))
-                body, at, digests = medium[HEADER:], 0, []
-                for end in cut_points(body, least, average, most, gear):
-                    digests.append(hashlib.sha256(body[at:end]).digest())
-                    at = end
-                n.append(len(raw))
-                sha.append(hashlib.sha256(medium).digest())
-                head.append(medium[:HEADER])
-                lists.append(digests)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(head, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "header", "digests"])
-
-    def chunks(batches):
-        pack = zstandard.ZstdCompressor(level=6)
+                out.append((len(raw), hashlib.sha256(medium).digest(), cut(medium[HEADER:], sizes, gear)[0]))
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()))
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "medium", "digests"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, medium binary, digests array<binary>")
+
+
+def borrowed_chunks(media: DataFrame) -> DataFrame:
+    """(medium, digest, owner): the chunks that a medium of ``media`` (medium, digests) does not own. The owner of a chunk
+    is the smallest medium that holds it; only digests are moved."""
+    held = media.groupBy("medium").agg(F.first("digests").alias("digests"))
+    held = held.select("medium", F.explode(F.array_distinct("digests")).alias("digest"))
+    owners = held.groupBy("digest").agg(F.min("medium").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return held.join(owners, "digest").where("medium != owner").select("medium", "digest", "owner")
+
+
+def own_parts(digests: list[bytes], ends: list[int], borrowed: set[bytes]) -> list[tuple[bytes, int, int]]:
+    """(digest, start, end) of the chunks that a medium's pack holds, in order: its own ones, each once."""
+    seen, out = set(borrowed), []
+    for digest, start, end in zip(digests, [0, *ends], ends, strict=False):
+        if digest not in seen:
+            seen.add(digest)
+            out.append((digest, start, end))
+    return out
+
+
+KEPT = pa.schema([("medium", pa.binary()), ("header", pa.binary()), ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("gone", pa.list_(pa.binary())), ("pack", pa.binary())])
+KEPT_SQL = "medium binary, header binary, digests array<binary>, ends array<int>, gone array<binary>, pack binary"
+
+
+def store(docs: DataFrame, borrowed: DataFrame, sizes: tuple[int, int, int], common: bytes, name: str, path: str) -> DataFrame:
+    """Every medium once, in a table bucketed by medium at ``path``, so that reading it moves no pack: header, digests and
+    ends of its chunks, those that are borrowed (gone), and the pack of all others. Equal media meet by a grouped
+    first() that combines before the shuffle; behind it, chunks that are borrowed or repeated are taken out."""
+    spark, gear = docs.sparkSession, gear_table()
+
+    def pack(batches):
+        press, _ = presses(common)
         for batch in small_batches(batches, 1024):
             found = {}
             for raw in as_bytes(batch.column("text")):
-                body, at = padded(raw), 0
-                for end in cut_points(body, least, average, most, gear):
-                    digest = hashlib.sha256(body[at:end]).digest()
-                    if digest not in found:
-                        found[digest] = pack.compress(body[at:end])
-                    at = end
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "blob"])
-
-    rows = docs.select("doc_id", "text")
-    return (rows.mapInArrow(media, f"doc_id {kind}, n_bytes bigint, media binary, header binary, digests array<binary>"), rows.select("doc_id", "text").mapInArrow(chunks, "digest binary, blob binary"))
-
-
-def store(chunks: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Each chunk once, in a table bucketed by digest in the shared folder, so that reading it by digest moves only
-    the digests asked for. Equal digests meet by a grouped first() that combines before the shuffle."""
-    spark = chunks.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"weftline_chunks_{uuid.uuid4().hex}"
-    once = chunks.groupBy("digest").agg(F.first("blob").alias("blob"))
-    once.write.option("path", table_path(spark, "chunks")).bucketBy(n, "digest").saveAsTable(name)
+                whole = as_wav(padded(raw))
+                medium = hashlib.sha256(whole).digest()
+                if medium not in found:
+                    digests, ends = cut(whole[HEADER:], sizes, gear)
+                    found[medium] = {"medium": medium, "header": whole[:HEADER], "digests": digests, "ends": ends, "pack": press.compress(whole[HEADER:])}
+            yield pa.RecordBatch.from_pylist(list(found.values()), schema=KEPT)
+
+    def keep_own(batches):
+        press, unpress = presses(common)
+        for batch in small_batches(batches, 512):
+            rows = batch.to_pylist()
+            for r in rows:
+                parts = own_parts(r["digests"], r["ends"], set(r["gone"] or ()))
+                if sum(b - a for _, a, b in parts) < r["ends"][-1]:
+                    body = unpress.decompress(r["pack"])
+                    r["pack"] = press.compress(b"".join(body[a:b] for _, a, b in parts))
+            yield pa.RecordBatch.from_pylist(rows, schema=KEPT)
+
+    columns = ("header", "digests", "ends", "pack")
+    once = docs.select("text").mapInArrow(pack, KEPT_SQL).groupBy("medium").agg(F.first(F.struct(*columns)).alias("r")).select("medium", "r.*")
+    gone = borrowed.groupBy("medium").agg(F.collect_list("digest").alias("gone"))
+    own = once.join(gone.hint("merge"), "medium", "left").select(*KEPT.names).mapInArrow(keep_own, KEPT_SQL)
+    own.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "medium").saveAsTable(name)
     return spark.table(name)
 
 
-def read_back(media: DataFrame, stored: DataFrame) -> DataFrame:
-    """Per distinct medium: its bytes put together, verified and described; a missing or wrong chunk fails the task.
-
-    A medium of one chunk is whole once its digest has met the table; only those of several chunks are brought
-    together by a second shuffle, and no more than one medium's bytes are in one row.
-    """
-    distinct = media.groupBy("media").agg(F.first(F.struct("header", "digests")).alias("r")).select("media", "r.*")
-    listed = distinct.select("media", "header", F.size("digests").alias("n"), F.posexplode("digests").alias("ord", "digest"))
-    found = listed.join(stored.hint("merge"), "digest", "left")
-    part = F.struct("ord", "digest", "blob")
-    single = found.where("n = 1").select("media", "header", F.array(part).alias("parts"))
-    several = found.where("n > 1").groupBy("media").agg(F.first("header").alias("header"), F.sort_array(F.collect_list(part)).alias("parts"))
-
-    def run(batches):
-        unpack = zstandard.ZstdDecompressor()
+def read_back(stored: DataFrame, borrowed: DataFrame, common: bytes) -> DataFrame:
+    """Each medium of the store: its bytes put together, verified and described; a missing or wrong chunk fails the task.
+    No more than one medium's bytes are in one row, and a chunk leaves its owner's pack only if it is asked for."""
+    asked = borrowed.groupBy(F.col("owner").alias("medium")).agg(F.collect_set("digest").alias("asked"))
+
+    def lend(batches):
+        _, unpress = presses(common)
+        for batch in small_batches(batches, 256):
+            out: list[tuple[bytes, bytes]] = []
+            for r in batch.to_pylist():
+                body, at, wanted = unpress.decompress(r["pack"]), 0, set(r["asked"])
+                for digest, start, end in own_parts(r["digests"], r["ends"], set(r["gone"] or ())):
+                    if digest in wanted:
+                        out.append((digest, body[at : at + end - start]))
+                    at += end - start
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], ["digest", "chunk"])
+
+    def whole(batches):
+        _, unpress = presses(common)
         for batch in small_batches(batches, 64):
             rows = []
-            for media_id, header, parts in zip(*(batch.column(c).to_pylist() for c in ("media", "header", "parts")), strict=True):
-                blobs = [unpack.decompress(p["blob"]) for p in parts]
-                if any(hashlib.sha256(b).digest() != p["digest"] for b, p in zip(blobs, parts, strict=True)):
+            for r in batch.to_pylist():
+                body, at, chunks = unpress.decompress(r["pack"]), 0, {x["digest"]: x["chunk"] for x in r["lent"] or ()}
+                for digest, start, end in own_parts(r["digests"], r["ends"], set(r["gone"] or ())):
+                    chunks[digest] = body[at : at + end - start]
+                    at += end - start
+                if any(hashlib.sha256(chunk).digest() != digest for digest, chunk in chunks.items()):
                     raise ValueError("a stored chunk does not have its digest")
-                medium = header + b"".join(blobs)
-                if hashlib.sha256(medium).digest() != media_id:
+                medium = r["header"] + b"".join(chunks[digest] for digest in r["digests"])
+                if hashlib.sha256(medium).digest() != r["medium"]:
                     raise ValueError("a medium was not put together as it was")
                 payload = samples_of(medium)
-                rows.append({"media": media_id, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(medium), "media_sha256": media_id.hex(), "feature": features(payload, len(parts))})
+                rows.append({"medium": r["medium"], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(medium), "media_sha256": r["medium"].hex(), "feature": features(payload, len(r["digests"]))})
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    kinds = pa.schema([("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    return single.unionByName(several).mapInArrow(run, "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    kinds = pa.schema([("medium", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    chunks = stored.join(asked.hint("merge"), "medium").mapInArrow(lend, "digest binary, chunk binary")
+    lent = borrowed.select("medium", "digest").join(chunks, "digest").groupBy("medium").agg(F.collect_list(F.struct("digest", "chunk")).alias("lent"))
+    return stored.join(lent.hint("merge"), "medium", "left").mapInArrow(whole, "medium binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+
 
+def chunked_media(docs: DataFrame, least: int = 512, average: int = 2048, most: int = 8192) -> DataFrame:
+    """One row per row of ``docs`` with the stored medium's figures; other columns of ``docs`` are not read. Null texts
+    are empty ones and have a medium of silence; equal texts have one medium; no documents give no rows.
 
-def chunked_media(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` with the stored medium's figures; other columns of ``docs`` are not read."""
-    media, chunks = ingest(docs)
-    media = written(media, "media")
-    described = read_back(media, store(chunks))
-    return media.select("doc_id", "n_bytes", "media").join(described, "media").drop("media")
+    The result is written before it is returned, so that the packs and their table can be dropped.
+    """
+    spark, sizes = docs.sparkSession, (least, average, most)
+    media = written(chunk_lists(docs, sizes), "media")
+    borrowed = written(borrowed_chunks(media), "media-borrowed")
+    name, path = f"weftline_packs_{uuid.uuid4().hex}", table_path(spark, "packs")
+    common = written(spark.createDataFrame([(dictionary(docs),)], "common binary"), "packs-dictionary")
+    stored = store(docs, borrowed, sizes, bytes(common.first().common), name, path)
+    described = read_back(stored, borrowed, bytes(common.first().common))
+    out = written(media.select("doc_id", "n_bytes", "medium").join(described, "medium").drop("medium"), "media-figures")
+    spark.sql(f"DROP TABLE {name}")
+    removed(spark, path)
+    return out
