@@ -11,12 +11,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, doc_crc, one_row_each, small_batches
+from weftline.llm.common import doc_crc, in_share, one_row_each, small_batches
 
-SLOTS, GRAMS, SAMPLE = 1 << 14, 3, 3000
+SLOTS, GRAMS, SAMPLE, LEAST, LANGUAGES = 1 << 14, 3, 3000, 50, 200
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -89,12 +89,29 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def by_language(labelled: DataFrame, n: int, seed: int) -> DataFrame:
+    """About ``n`` rows of ``labelled`` (doc_id, text, lang) with a text and an id, dealt to languages by their shares but
+    ``LEAST`` to each that has them, so that a rare one is learnt too: those with the smallest hashes of their ids. Of more
+    than ``LANGUAGES`` languages the most frequent are learnt."""
+    rows = labelled.where("length(text) > 0 AND doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang").withColumn("lot", F.xxhash64("doc_id", F.lit(seed)))
+    counts = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    total, picked = sum(c for _, c in counts), F.lit(False)
+    quota = {lang: max(LEAST, round(n * c / total)) for lang, c in counts}
+    for lang, c in counts:
+        picked = picked | ((F.col("lang") == lang) & in_share("lot", quota[lang], c))
+    near = rows.where(picked).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id")))
+    keep = F.lit(False)
+    for lang in quota:
+        keep = keep | ((F.col("lang") == lang) & (F.col("nth") <= quota[lang]))
+    return near.where(keep).select("doc_id", "text", "lang")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 3, seed: int = 9) -> dict:
-    """Learns from ``labelled`` (doc_id, text, lang): frequencies from all rows, weights from ``sample`` ids, of
-    which each gives one row however often it is repeated."""
+    """Learns from ``labelled`` (doc_id, text, lang): frequencies from all rows, weights from about ``sample`` ids, of
+    which each gives one row however often it is repeated. Null and empty texts teach nothing; without rows no
+    language is known."""
     idf = inverse_frequencies(labelled)
-    sampled = bounded_sample(labelled.where(F.length("text") > 0), sample, seed).select("doc_id", "text", "lang")
-    rows = sorted(one_row_each(sampled).collect(), key=lambda r: str(r.doc_id))
+    rows = sorted(one_row_each(by_language(labelled, sample, seed)).collect(), key=lambda r: str(r.doc_id))
     langs = sorted({r.lang for r in rows})
     kept = [(*tf_idf(r.text, idf), langs.index(r.lang)) for r in rows]
     order = np.random.default_rng(seed).permutation(len(kept))
@@ -138,7 +155,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 def identify_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of all documents, by a model of the labelled ones whose
-    crc32(doc_id as text) mod 5 is not 0."""
+    crc32(doc_id as text) mod 5 is not 0. Repeated rows and null ids are rows of their own; without labels all are
+    ``und``."""
     marked = docs.select("doc_id", "text", "lang", (doc_crc(F.col("doc_id")) % 5 == 0).alias("held_out"))
     model = fit(marked.where(~F.col("held_out") & F.col("lang").isNotNull()))
     return predict(marked.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -11,6 +11,7 @@ from collections import deque
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +21,15 @@ REPEATS, PIECE_ROWS, RUN_PIECES, MOST_PATTERNS = 3, 2_000, 1_000, 2048
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of runs of ``[^\\x20\\x09-\\x0D]`` in the text, null as 0."""
+    """doc_id, source, size: the number of runs of ``[^\\x20\\x09-\\x0D]`` in the text, null as 0; and text_hash."""
 
     def run(batches):
         for b in small_batches(batches, 1024):
-            n = pa.array([len(x.split()) for x in as_bytes(b.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), n], ["doc_id", "source", "size"])
+            raw = as_bytes(b.column("text"))
+            n, h = pa.array([len(x.split()) for x in raw], pa.int64()), pa.array([xxhash.xxh64_intdigest(x) - 2**63 for x in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), n, h], ["doc_id", "source", "size", "text_hash"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, size bigint")
+    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, size bigint, text_hash bigint")
 
 
 def targets(sizes: dict, most: float = REPEATS) -> dict:
@@ -99,7 +101,7 @@ def mix(rows: DataFrame, seed: int = 5) -> DataFrame:
 
     Adds ``times`` (how often the whole document is taken, at most 3), ``taken`` (times * size), and of the
     document's first source ``source_size`` and ``target``. Only one row a pattern comes to the driver; more than
-    2048 patterns raise. A pattern's last words are filled by the first documents that fit, in seeded order, among
+    2048 patterns raise. Rows equal in all columns share a lot. A pattern's last words are filled by the first documents that fit, in seeded order, among
     the few thousand around the boundary, so its words differ from the flow by less than the smallest of those. Null
     sources are a source of their own, an empty list belongs to none and is not taken; null sizes count as 0.
     """
@@ -124,7 +126,8 @@ def mix(rows: DataFrame, seed: int = 5) -> DataFrame:
         first = (r.sources or [None])[0]
         plan.append((r.pattern, full, rest, max(1, r.n // PIECE_ROWS), sizes.get(first, 0), float(wanted.get(first, 0.0))))
     plan = spark.createDataFrame(plan, "pattern string, full bigint, rest bigint, pieces bigint, source_size bigint, target double")
-    lot = F.xxhash64(F.lit(seed), "doc_id", "size")
+    told = [c for c in kept if "map<" not in rows.schema[c].dataType.simpleString() and "variant" not in rows.schema[c].dataType.simpleString()]
+    lot = F.xxhash64(F.lit(seed), *told)  # rows that share an id, or have none, are told apart by their other columns
     dealt = rows.join(F.broadcast(plan), "pattern").withColumns({"lot": lot, "piece": F.expr("pmod(xxhash64(lot, 3), pieces)")})
     sums = dealt.groupBy("pattern", "piece", "rest").agg(F.sum("size").alias("words"))
     sums = written(sums.withColumn("run", F.expr(f"piece div {RUN_PIECES}")), "mix-pieces")
@@ -154,6 +157,7 @@ def mix(rows: DataFrame, seed: int = 5) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document, each a member of its own source."""
+    """doc_id, size, source_size, target, taken of every document, each a member of its own source. Null texts have size 0
+    and are taken with nothing; null ids and repeated rows are rows of their own; no documents give no rows."""
     sized = written(word_sizes(docs), "word-sizes")
     return mix(sized.withColumn("sources", F.array("source"))).select("doc_id", "size", "source_size", "target", "taken")
