@@ -166,6 +166,15 @@ def test_slots(spark):
     assert got == ["A", "none in 0s-9s"]
 
 
+def test_solver_and_recogniser_slots(spark):
+    answers = {"a": '{"text": "A"}', "b": "B", "c": '{"status": "late", "error": "e"}', "d": '{"text": ""}', "e": "[1]"}
+    got = column(spark, ["a", None, "b", "c", "d", "e"], lambda q: slots.solved(q, lambda qs: [answers[x] for x in qs]))
+    empty = "Background service returned empty text"
+    assert [g and tuple(g) for g in got] == [(None, "A", ""), None, (None, "B", ""), ("e", None, None), (empty, None, None), (empty, None, None)]
+    rows = [bytearray(b"\1\2"), None, bytearray(), bytearray(b"\1")]
+    assert column(spark, rows, lambda x: slots.transcribed(x, 8000, lambda xs, rate: [f"{len(x)}@{rate}" for x in xs]), "binary") == ["2@8000", None, None, None]
+
+
 def test_speech(spark):
     got = column(spark, [None, "  ", "hello  world, hello"], audio.speech_messages)
     assert [[tuple(m) for m in g or ()] for g in got] == [[], [("error", None)], [("append", "hello world,"), ("append", " hello"), ("commit", None)]]

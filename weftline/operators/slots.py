@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import background_result
+
 Model = Callable[[list[str]], list[str]]
 
 
@@ -55,3 +57,27 @@ def token_count(text: Column, tokenizer: Callable[[list[str]], list[list]] | Non
         return pd.Series([len(t) for t in tokenizer(texts.tolist())] if len(texts) else [], index=texts.index, dtype="int64")
 
     return run(F.coalesce(text, F.lit("")))
+
+
+def transcribed(pcm: Column, rate: int, model: Callable[[list[bytes], int], list[str]]) -> Column:
+    """What a recogniser hears in 16-bit samples at ``rate``; null, empty and odd ones are not sent and are null."""
+
+    @F.pandas_udf("string")
+    def run(samples: pd.Series) -> pd.Series:
+        sent = samples[samples.map(lambda x: x is not None and len(x) > 0 and len(x) % 2 == 0)]
+        heard = pd.Series(model([bytes(x) for x in sent], rate) if len(sent) else [], index=sent.index, dtype=object)
+        return heard.reindex(samples.index)
+
+    return run(pcm)
+
+
+def solved(question: Column, model: Model) -> Column:
+    """struct(error, body, summary) of a background solver, a model that answers with JSON (status, text, summary_text,
+    error); an answer that is no JSON is its text. Null questions are not sent and are null."""
+
+    def read(answer):
+        r = F.from_json(answer, "status string, text string, summary_text string, error string")
+        plain = F.try_parse_json(answer).isNull()
+        return F.when(answer.isNotNull(), background_result(r["status"], r["error"], F.when(plain, answer).otherwise(r["text"]), r["summary_text"]))
+
+    return read(asked(question, model))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Window
@@ -321,6 +322,42 @@ def rich_contents(spark, d):
     return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", F.col("r.html").isNotNull().alias("has_html"), F.when(F.col("r.html").isNotNull(), F.col("r.html_incomplete")).alias("html_incomplete"), F.array_join("r.chart.labels", ",").alias("labels"))
 
 
+@query(f"WITH {FRAMES}, l AS (SELECT session, t, sum(length(event_type) + 7) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS upto FROM frames) SELECT session, count(*) FILTER (upto <= 600) AS n_read, max(upto)::BIGINT AS n_bytes, max(upto) > 600 AS failed FROM l GROUP BY 1")
+def log_limit(spark, d):
+    """A run's log is read up to a limit, here of 600 bytes; a longer one fails the run."""
+    n = F.sum(F.length("event_type").cast("bigint") + 7).over(T.so_far())
+    f = frames(spark, d).select("session", n.alias("upto"))
+    return f.groupBy("session").agg(F.count_if(F.col("upto") <= 600).alias("n_read"), F.max("upto").alias("n_bytes"), (F.max("upto") > 600).alias("failed"))
+
+
+def _solve(questions: list[str]) -> list[str]:
+    return [json.dumps({"status": "failed"} if q.endswith("7") else {"text": f"<think>hm</think>{q}!<summary>of {q}</summary>"}) if not q.endswith("3") else f"plain {q}" for q in questions]
+
+
+@query("""WITH q AS (SELECT event_id, event_type || ' ' || event_id AS q, event_id % 10 AS k FROM events)
+SELECT event_id, CASE WHEN k = 7 THEN 'Background service returned status=failed' END AS error, CASE k WHEN 7 THEN NULL WHEN 3 THEN 'plain ' || q ELSE q || '!' END AS body, CASE k WHEN 7 THEN NULL WHEN 3 THEN '' ELSE 'of ' || q END AS summary FROM q""")
+def background_solver(spark, d):
+    """Questions through a solver slot, here one that fails on some and answers without JSON to others."""
+    from weftline.operators import slots
+
+    question = F.concat("event_type", F.lit(" "), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", slots.solved(question, _solve).alias("r")).select("event_id", "r.*")
+
+
+def _hear(samples: list[bytes], rate: int) -> list[str]:
+    return [f"{len(x) // 2} samples at {rate}: {x[:2].hex()}" for x in samples]
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 > 0 THEN '4 samples at 16000: ' || substr(lpad(lower(to_hex(event_id)), 16, '0'), 1, 4) END AS heard FROM events")
+def transcriptions(spark, d):
+    """Samples through a recogniser slot; those of odd length are not sent."""
+    from weftline.operators import slots
+
+    pcm = F.unhex(F.lpad(F.hex("event_id"), 16, "0"))
+    pcm = F.when(F.col("event_id") % 5 == 0, F.substring(pcm, 1, 7)).otherwise(pcm)
+    return table(spark, d, "events").select("event_id", slots.transcribed(pcm, 16000, _hear).alias("heard"))
+
+
 @query()
 def html_entities(spark, d):
     """Texts and pages with their character references read. No SQL: the references are a table of two thousand names; tests
