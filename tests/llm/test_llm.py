@@ -172,6 +172,21 @@ def test_bpe_merges_overlapping_pairs_like_the_ranks():
     assert got == [enc.encode_ordinary(t) for t in made]
 
 
+def test_bpe_offsets_against_bytes():
+    P = pytest.importorskip("public_tokenizers")
+    codec = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    r = np.random.default_rng(9)
+    for text in ["", "a", "日本 é²\u2003🙂x", *("".join(r.choice(list("aé日🙂 \n'sS1²—"), 60)) for _ in range(40))]:
+        ids = np.frombuffer(codec.encode_batch([text])[0], np.int32).tolist()
+        of_byte = [i for i, c in enumerate(text) for _ in c.encode()]  # the character of each byte
+        want, at = [], 0
+        for i in ids:
+            end = at + len(codec.table[i])
+            want.append([of_byte[at], of_byte[end - 1] + 1])
+            at = end
+        assert codec.offsets(text, ids) == want and at == len(of_byte)
+
+
 def test_bpe_table_is_bounded(monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(bpe.Codec, "KEPT", 3000)
