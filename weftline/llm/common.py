@@ -49,15 +49,15 @@ def doc_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def in_share(lot: str, n: int, total: int) -> Column:
-    """Whether a hash is among about the 2 n smallest of ``total`` even 64-bit ones."""
-    return F.col(lot) <= min(2**63 - 1, int(min(1.0, (2 * n + 100) / max(total, 1)) * 2**64) - 2**63)
+def in_share(lot: str, n: float, total: int) -> Column:
+    """Whether a hash is among about the ``n`` smallest of ``total`` even 64-bit ones; all of them are if n is total."""
+    return F.col(lot) <= min(2**63 - 1, int(min(1.0, n / max(total, 1)) * 2**64) - 2**63)
 
 
 def smallest(df: DataFrame, lot: str, n: int, total: int) -> DataFrame:
     """The ``n`` rows of ``df`` with the smallest ``lot``, a column of even 64-bit hashes, out of about ``total``. Only rows
     below about twice the share wanted are ranked, so that no task or driver gets more than about 2 n rows."""
-    return df.where(in_share(lot, n, total)).orderBy(lot).limit(n)
+    return df.where(in_share(lot, 2 * n + 100, total)).orderBy(lot).limit(n)
 
 
 def bounded_sample(df: DataFrame, n: int, seed: int = 17, key: str = "doc_id") -> DataFrame:

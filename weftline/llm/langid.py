@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import doc_crc, in_share, one_row_each, small_batches
@@ -91,19 +91,15 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def by_language(labelled: DataFrame, n: int, seed: int) -> DataFrame:
     """About ``n`` rows of ``labelled`` (doc_id, text, lang) with a text and an id, dealt to languages by their shares but
-    ``LEAST`` to each that has them, so that a rare one is learnt too: those with the smallest hashes of their ids. Of more
-    than ``LANGUAGES`` languages the most frequent are learnt."""
+    about ``LEAST`` to each that has them, so that a rare one is learnt too: those whose ids have hashes in the language's
+    share of all hashes, so nothing is ranked or gathered. Of more than ``LANGUAGES`` languages the most frequent are
+    learnt."""
     rows = labelled.where("length(text) > 0 AND doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang").withColumn("lot", F.xxhash64("doc_id", F.lit(seed)))
-    counts = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    total, picked = sum(c for _, c in counts), F.lit(False)
-    quota = {lang: max(LEAST, round(n * c / total)) for lang, c in counts}
-    for lang, c in counts:
-        picked = picked | ((F.col("lang") == lang) & in_share("lot", quota[lang], c))
-    near = rows.where(picked).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id")))
-    keep = F.lit(False)
-    for lang in quota:
-        keep = keep | ((F.col("lang") == lang) & (F.col("nth") <= quota[lang]))
-    return near.where(keep).select("doc_id", "text", "lang")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    total, picked = sum(r["count"] for r in counts), F.lit(False)
+    for r in counts:
+        picked = picked | ((F.col("lang") == r.lang) & in_share("lot", max(LEAST, n * r["count"] / total), r["count"]))
+    return rows.where(picked).select("doc_id", "text", "lang")
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 3, seed: int = 9) -> dict:

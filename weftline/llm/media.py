@@ -92,7 +92,7 @@ def dictionary(docs: DataFrame) -> bytes:
     with the smallest hashes; empty where they are fewer than 100 or hold less than 16 times its size."""
     texts = docs.select("text").where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).withColumn("lot", F.xxhash64("text"))
     total = texts.select("lot").distinct().count()
-    once = texts.where(in_share("lot", SAMPLES, total)).groupBy("lot").agg(F.first("text").alias("text"))  # copies count once
+    once = texts.where(in_share("lot", 2 * SAMPLES + 100, total)).groupBy("lot").agg(F.first("text").alias("text"))  # copies count once
     sample = [r.text.encode() for r in smallest(once, "lot", SAMPLES, total).select("text").collect()]
     return zstandard.train_dictionary(DICTIONARY, sample).as_bytes() if len(sample) >= 100 and sum(map(len, sample)) >= 16 * DICTIONARY else b""
 
