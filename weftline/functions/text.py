@@ -23,6 +23,11 @@ def let(x: Column, body) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
+def present(x: Column) -> Column:
+    """A row for ``x`` unless it is null. As a filter on a computed column would be pushed below and compute it twice."""
+    return F.explode(F.filter(F.array(x), lambda v: v.isNotNull()))
+
+
 def collapse(x: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -108,8 +113,9 @@ def strip_reasoning(x: Column, reach: int = 4000) -> Column:
 
 def clean_question(x: Column) -> Column:
     """A delegated question as shown: no routing marks, no preamble, runs of blanks and empty lines squeezed."""
-    x = F.regexp_replace(F.regexp_replace(strip(x), ROUTING, " "), PREAMBLE, "")
-    x = F.regexp_replace(F.regexp_replace(x, "[ \t]{2,}", " "), f"([:：]){WS}+", "$1")
+    x = let(strip(x), lambda v: F.when(F.contains(v, F.lit("[")), F.regexp_replace(v, ROUTING, " ")).otherwise(v))
+    x = F.regexp_replace(F.regexp_replace(x, PREAMBLE, ""), "[ \t]{2,}", " ")
+    x = let(x, lambda v: F.when(F.contains(v, F.lit(":")) | F.contains(v, F.lit("：")), F.regexp_replace(v, f"([:：]){WS}+", "$1")).otherwise(v))
     return strip(F.regexp_replace(F.regexp_replace(x, f"{WS}+\n", "\n"), "\n{3,}", "\n\n"))
 
 
@@ -222,7 +228,7 @@ def delegation(raw: Column) -> Column:
     at = F.when(inner > 0, inner).otherwise(outer)
 
     def made(q):
-        marks_only = (q != "") & (strip(F.regexp_replace(q, ROUTING, " ")) == "")
+        marks_only = F.when(F.startswith(q, F.lit("[")), strip(F.regexp_replace(q, ROUTING, " ")) == "").otherwise(False)
         found = lambda clean: F.when((clean != "") | marks_only, F.struct(user_terms(strip(F.substr(raw, F.lit(1), at - 1))).alias("foreground"), clean.alias("question"), q.alias("raw_question")))
         return let(clean_question(q), found)
 

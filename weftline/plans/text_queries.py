@@ -75,14 +75,14 @@ def _delegating(spark, d):
 @query(f"WITH {ASKED} SELECT id, foreground, question, raw_question FROM delegated")
 def delegation_parse(spark, d):
     """Delegations: what is said meanwhile, the question as shown and as it came."""
-    return _delegating(spark, d).select("id", X.delegation(F.col("raw")).alias("r")).where("r IS NOT NULL").select("id", "r.*")
+    return _delegating(spark, d).select("id", X.present(X.delegation(F.col("raw"))).alias("r")).select("id", "r.*")
 
 
 @query(f"WITH {ASKED} SELECT id, CASE WHEN id % 3 = 0 THEN 'asked ' || id ELSE question END AS question, id % 3 = 0 OR question <> '' AS started FROM delegated")
 def delegation_question(spark, d):
     """The user's own prompt comes before the delegated question; with neither no task starts."""
     prompt = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" [Important User Request] asked "), F.col("id").cast("string"))).when(F.col("id") % 3 == 1, " [IMPORTANT] ")
-    q = _delegating(spark, d).select("id", X.delegation(F.col("raw")).alias("r"), prompt.alias("prompt")).where("r IS NOT NULL").select("id", X.asked_question(F.col("prompt"), F.col("r.question")).alias("question"))
+    q = _delegating(spark, d).select("id", X.present(X.delegation(F.col("raw"))).alias("r"), prompt.alias("prompt")).select("id", X.asked_question(F.col("prompt"), F.col("r.question")).alias("question"))
     return q.withColumn("started", F.col("question") != "")
 
 
@@ -223,14 +223,14 @@ s AS (SELECT page_id, doc, complete, length(doc)::BIGINT AS n_chars, len(regexp_
 @query(f"WITH {PAGES} SELECT page_id, complete, n_chars, n_tags, score FROM s")
 def html_score(spark, d):
     doc = html.document(F.coalesce("html", F.lit("")))
-    return table(spark, d, "pages").select("page_id", doc.alias("r")).where("r IS NOT NULL").select("page_id", F.col("r.complete").alias("complete"), F.length("r.doc").cast("bigint").alias("n_chars"), html.tags(F.col("r.doc")).alias("n_tags"), html.score(F.col("r.doc"), F.col("r.complete")).alias("score"))
+    return table(spark, d, "pages").select("page_id", X.present(doc).alias("r")).select("page_id", F.col("r.complete").alias("complete"), F.length("r.doc").cast("bigint").alias("n_chars"), html.tags(F.col("r.doc")).alias("n_tags"), html.score(F.col("r.doc"), F.col("r.complete")).alias("score"))
 
 
 @query(f"WITH {PAGES} SELECT page_id, -((page_id % 2 = 1)::BIGINT) AS place, doc, complete, score FROM s")
 def html_extract(spark, d):
     """The best document of an answer: a page after prose, in a fence, or after a fenced scrap that scores below it."""
     page = F.coalesce("html", F.lit(""))
-    return table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("See\n```html\n<p>...</p>\n```\n```html\n"), page, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("```html\n"), page, F.lit("\n```"))).alias("answer")).select("page_id", html.best(F.col("answer")).alias("b")).select("page_id", F.col("b.place").cast("bigint").alias("place"), F.col("b.doc").alias("doc"), "b.complete", "b.score").where("score IS NOT NULL")
+    return table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("See\n```html\n<p>...</p>\n```\n```html\n"), page, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("```html\n"), page, F.lit("\n```"))).alias("answer")).select("page_id", X.present(html.best(F.col("answer"))).alias("b")).select("page_id", F.col("b.place").cast("bigint").alias("place"), F.col("b.doc").alias("doc"), "b.complete", "b.score")
 
 
 @query("""SELECT doc_id AS id, nullif(regexp_replace(split_part(text || chr(10) || '```', '```', 1), '\\n$', ''), '') AS block FROM documents""")
