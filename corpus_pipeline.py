@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 from weftline.llm import bpe, langid, mixing, secrets, simhash
 from weftline.llm.common import doc_crc, written
 
+#: Rows of whole texts that Spark hands to Python at a time, where the session leaves Spark's own number.
+BATCH, PLAIN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: A text is kept if it has a letter and its language is predicted at least so surely.
 LEAST_SURE = 0.5
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Ten thousand whole texts fill tens of megabytes in each task and its Python worker, a thousand do as well. A session
+    that names a number of its own keeps it."""
+    if spark.conf.get(BATCH, PLAIN) == PLAIN:
+        spark.conf.set(BATCH, "1000")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letter, or no language predicted at ``LEAST_SURE``."""
+    """Drops documents without a language: no letter, or no language predicted at ``LEAST_SURE``. Repeated rows stay;
+    without labelled documents no language is known and all go."""
+    small_batches(spark)
     model = langid.fit(docs.where((doc_crc(F.col("doc_id")) % 5 != 0) & F.col("lang").isNotNull()))
     return langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select(docs.columns)
 
@@ -27,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Groups are settled on ids and hashes of rows alone; whole rows are shuffled once, to meet the hashes kept.
     """
+    small_batches(spark)
     own = "weftline_row"
     hashed = docs.withColumn(own, F.xxhash64(*docs.columns))
     rows = written(simhash.near_duplicates(hashed, (own,)).select("doc_id", own, "root"), "near-groups")
@@ -41,7 +53,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by ``[SECRET]``; keeps all documents."""
+    """Replaces every secret by ``[SECRET]``; keeps all documents, null texts as they are."""
+    small_batches(spark)
     clean = secrets.redact(docs, secrets.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
@@ -49,13 +62,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does, up to three times; one row for each time. Rows that
     share an id are taken as often as the one of them that is taken most."""
+    small_batches(spark)
     sized = written(mixing.word_sizes(docs), "word-sizes")
     times = mixing.mix(sized.withColumn("sources", F.array("source"))).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
     return docs.join(times.hint("shuffle_hash"), docs.doc_id.eqNullSafe(times.doc_id)).select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1L, times)")).alias("nth")).select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the token ids of each text."""
+    """doc_id, source and the token ids of each text, none for a null or empty one; a row for every row."""
+    small_batches(spark)
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
