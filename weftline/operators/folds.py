@@ -1,6 +1,7 @@
-"""Order-dependent rules over a session: one pass over sorted rows with a small state, in any number of sessions.
+"""Order-dependent rules over a session: throttling, skipping while busy, dropping late frames, batches by count.
 
-Rows are dealt by session and sorted within the task, so a session of any length needs no more memory than a batch.
+The rules run over pieces of sessions. ``ordered_fold`` is the plain form for any rule, one pass over sorted rows with a small
+state: a session of any length needs no more memory than a batch, but is one task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators import pieces
+
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], reads: list[str], start: Callable, step: Callable, to: str = "kept") -> DataFrame:
     """Adds boolean ``to``: ``step(state, *reads)`` returns the next state and the value, ``start()`` the first state
@@ -64,18 +67,20 @@ def late_step(most_us: int, resets_after: int) -> Callable:
 
 def throttle(df: DataFrame, interval_us: int) -> DataFrame:
     """kept: the first frame of a session, then each that comes ``interval_us`` or more after the last one kept."""
-    return ordered_fold(df, "session", ["us", "event_id"], ["us"], lambda: None, throttle_step(interval_us))
+    return pieces.fold(df, "session", ["us", "event_id"], pieces.Busy(None, interval_us))
 
 
 def busy_skip(df: DataFrame, service: str) -> DataFrame:
     """kept: a frame is dropped while the last one kept is being served for column ``service`` microseconds."""
-    return ordered_fold(df, "session", ["us", "event_id"], ["us", service], lambda: None, busy_step)
+    return pieces.fold(df, "session", ["us", "event_id"], pieces.Busy(service))
 
 
 def late_drop(df: DataFrame, wall: str, most_us: int, resets_after: int = 100) -> DataFrame:
     """kept: frames no older than ``most_us`` against the session's clock, which the first frame starts and which
     starts anew with the frame after more than ``resets_after`` drops in a row. 0 keeps all."""
-    return ordered_fold(df, "session", ["us", "event_id"], ["us", wall], lambda: None, late_step(most_us, resets_after))
+    if most_us <= 0:
+        return df.withColumn("kept", F.lit(True))
+    return pieces.fold(df, "session", ["us", "event_id"], pieces.Late(wall, most_us, resets_after))
 
 
 def count_batches(kept: DataFrame, size: int) -> DataFrame:
