@@ -124,7 +124,7 @@ def test_background_results(spark):
 
 def test_times(spark):
     rows = [None, "", "0", "5,6,7", "7.9", "-3.9", " 4 ,5", "abc", "1,,2", "1e1"]
-    assert column(spark, rows, X.parse_times) == [[], [], [0], [5, 6, 7], [7], [-3], [4, 5], None, None, [10]]
+    assert column(spark, rows, X.parse_times) == [[], [], [0], [5, 6, 7], [7], [-3], [4, 5], None, [1, 2], [10]]
 
 
 def test_converter_rules(spark):

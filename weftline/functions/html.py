@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.text import let, strip
+from weftline.functions.text import bare, let, number, strip
 
 
 # The tags that make a fragment a page, that show something, and that count.
@@ -97,15 +97,22 @@ def score(doc: Column, complete: Column) -> Column:
     return (total + F.least(120 * tags(doc), F.lit(3000)) - dots).cast("bigint")
 
 
+def fences(x: Column, language: str = "", unclosed: bool = False) -> Column:
+    """array<struct(text, incomplete)> of an answer's fenced blocks of a language, or of all, in order: from each fence that
+    names it to the next fence, white space off the ends. A closing fence that names a language opens a block as well.
+    With ``unclosed`` a last block without a fence behind it counts and is incomplete."""
+    mark = r"```[ \t]*([a-zA-Z0-9_-]*)[ \t]*\r?\n?"
+    part = lambda g: F.regexp_extract_all(x, F.lit(rf"(?s){mark}(?=(.*?)(```|\z))"), F.lit(g))
+    found = F.filter(F.arrays_zip(part(1).alias("language"), part(2).alias("text"), part(3).alias("close")), lambda b: (F.lower(b["language"]) == language if language else F.lit(True)) & ((b["close"] != "") | F.lit(unclosed)))
+    return F.transform(found, lambda b: F.struct(bare(b["text"]).alias("text"), (b["close"] == "").alias("incomplete")))
+
+
 def candidates(x: Column) -> Column:
     """Documents an answer holds, in order: its fenced html blocks, an open last one cut, and JSON blocks of type html;
     or else the whole answer."""
-    closed = F.transform(F.regexp_extract_all(x, F.lit(r"(?is)```[ \t]*html[ \t]*\r?\n?(.*?)```"), F.lit(1)), lambda b: document(strip(b)))
-    tail = F.regexp_replace(x, r"(?is)```[ \t]*html[ \t]*\r?\n?.*?```", "")
-    rest = F.regexp_extract(tail, r"(?is)```[ \t]*html[ \t]*\r?\n?(.*)$", 1)
-    blocks = F.regexp_extract_all(x, F.lit(r"(?is)```[ \t]*json[ \t]*\r?\n?(.*?)```"), F.lit(1))
-    in_json = F.transform(blocks, lambda b: F.when(F.get_json_object(b, "$.type") == "html", document(F.get_json_object(b, "$.html"))))
-    found = F.filter(F.concat(closed, F.array(document(strip(rest), True)), in_json), lambda d: d.isNotNull())
+    page = F.transform(fences(x, "html", True), lambda b: F.when(b["incomplete"], document(b["text"], True)).otherwise(document(b["text"])))
+    in_json = F.transform(fences(x, "json"), lambda b: F.when(F.get_json_object(b["text"], "$.type") == "html", document(F.get_json_object(b["text"], "$.html"))))
+    found = F.filter(F.concat(page, in_json), lambda d: d.isNotNull())
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(F.array(document(x)), lambda d: d.isNotNull())))
 
 
@@ -117,21 +124,40 @@ def best(x: Column) -> Column:
 
 
 def rich(x: Column) -> Column:
-    """struct(html, html_incomplete, chart): the best page of an answer and its first valid chart, of its JSON blocks or
-    of itself; null parts where it has none."""
-    blocks = F.regexp_extract_all(x, F.lit(r"(?is)```[ \t]*json[ \t]*\r?\n?(.*?)```"), F.lit(1))
-    charts = F.filter(F.transform(F.concat(blocks, F.array(x)), lambda b: chart(strip(b))), lambda c: c.isNotNull())
+    """struct(html, html_incomplete, chart): the best page of an answer and its first valid chart; null parts where it has
+    none. A whole answer that is JSON comes before its JSON blocks."""
+    whole = F.filter(F.array(bare(x)), lambda b: F.startswith(b, F.lit("{")) & F.endswith(b, F.lit("}")))
+    blocks = F.concat(whole, F.transform(fences(x, "json"), lambda b: b["text"]))
+    charts = F.filter(F.transform(blocks, chart), lambda c: c.isNotNull())
     return let(best(x), lambda b: F.struct(b["doc"].alias("html"), (~b["complete"]).alias("html_incomplete"), F.get(charts, F.lit(0)).alias("chart")))
 
 
 def fenced(x: Column, language: str) -> Column:
-    """The first fenced block of a language, to its closing fence or else the end; null if there is none."""
-    return F.nullif(F.regexp_extract(x, rf"(?is)```{language}[ \t]*\n(.*?)(?:\n?```|$)", 1), F.lit(""))
+    """The first closed block of a language; null if there is none or it is empty."""
+    return F.nullif(F.get(fences(x, language), F.lit(0))["text"], F.lit(""))
+
+
+def _kind(v: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]*", 0)
+
+
+def _shown(v: Column) -> Column:
+    """A JSON value as text: strings as they are, true as True, null as None, fractions with a point."""
+    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
+    fraction = F.try_variant_get(v, "$", "double").cast("string")
+    return F.when(kind == "BOOLEAN", F.initcap(text)).when(kind == "VOID", "None").when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), fraction).otherwise(text)
 
 
 def chart(text: Column) -> Column:
-    """struct(labels, values) of a valid bar chart: lists of one length whose values are numbers; else null."""
-    raw = F.from_json(text, "type string, labels array<string>, values array<string>")
-    values = F.transform(raw["values"], lambda v: v.try_cast("double"))
-    ok = (raw["type"] == "bar_chart") & (F.size(raw["labels"]) == F.size(values)) & F.forall(values, lambda v: v.isNotNull())
-    return F.when(ok, F.struct(raw["labels"].alias("labels"), values.alias("values")))
+    """struct(title, labels, values) of a valid bar chart: lists of one length whose values are numbers, or text that names
+    one, or true and false; else null. Labels and a title that is not empty, zero or false are shown as text."""
+    whole = F.try_parse_json(text)
+    each = lambda name: F.try_variant_get(whole, f"$.{name}", "array<variant>")
+    value = lambda v: F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(_kind(v) == "STRING", number(F.try_variant_get(v, "$", "string"))).when(_kind(v).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double"))
+    values, labels = F.transform(each("values"), value), F.transform(each("labels"), _shown)
+    title = F.try_variant_get(whole, "$.title", "variant")
+    told = F.when(title.isNull() | _kind(title).isin("VOID") | _shown(title).isin("", "False", "0", "0.0", "-0.0", "[]", "{}"), "").otherwise(_shown(title))
+    told = F.when((_kind(title) == "STRING"), F.try_variant_get(title, "$", "string")).otherwise(told)
+    ok = (_kind(F.try_variant_get(whole, "$.type", "variant")) == "STRING") & (F.try_variant_get(whole, "$.type", "string") == "bar_chart")
+    ok = ok & (F.size(labels) == F.size(values)) & labels.isNotNull() & values.isNotNull() & F.forall(values, lambda v: v.isNotNull())
+    return F.when(ok, F.struct(told.alias("title"), labels.alias("labels"), values.alias("values")))

@@ -53,7 +53,7 @@ def ref_fault(ref: Column) -> Column:
 
 def prompt_labels(language: Column) -> Column:
     """struct(query, response): the labels of archived questions; any language but English takes the Chinese ones."""
-    return F.when(language == "en", F.struct(F.lit("Query").alias("query"), F.lit("Response").alias("response"))).otherwise(F.struct(F.lit("问题").alias("query"), F.lit("回复").alias("response")))
+    return F.when(language == "en", F.struct(F.lit("Query").alias("query"), F.lit("Response").alias("response"))).otherwise(F.struct(F.lit("提问").alias("query"), F.lit("回复").alias("response")))
 
 
 def model_input(skipped: Column, reason: Column, model: Column, messages: Column, settings: Column) -> Column:

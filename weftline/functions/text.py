@@ -18,6 +18,28 @@ def strip(x: Column) -> Column:
     return F.trim(x, F.lit(" \t\r\n\x0b\x0c"))
 
 
+def bare(x: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(x, rf"^{WS}+|{WS}+\z", "")
+
+
+# A number as written in plain text: digits in groups, a fraction, an exponent.
+DIGITS = "[0-9]+(?:_[0-9]+)*"
+NUMBER = rf"[+-]?(?:{DIGITS}(?:\.(?:{DIGITS})?)?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?"
+
+
+def number(x: Column) -> Column:
+    """The double that a text names, by itself but for white space: digits, or an infinity or NaN by name. Null for other text,
+    such as Java's ``1d``."""
+    text = bare(x)
+    named = F.rlike(text, F.lit(r"(?i)^[+-]?(?:inf|infinity|nan)\z"))
+    return F.when(F.rlike(text, F.lit(rf"^{NUMBER}\z")), F.replace(text, F.lit("_"), F.lit("")).try_cast("double")).when(named, F.regexp_replace(text, "^[+-](?=[nN])", "").try_cast("double"))
+
+
+# The characters that end a line.
+LINE_END = r"[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+
+
 def let(x: Column, body) -> Column:
     """``body`` of ``x`` evaluated once, however often the body names it."""
     return F.get(F.transform(F.array(x), body), F.lit(0))
@@ -35,13 +57,16 @@ def collapse(x: Column) -> Column:
 
 def normalise_output(raw: Column) -> Column:
     """The canonical output: the earliest of the two markers decides; a response keeps its first line; text without
-    a marker is a response; nothing is silence."""
-    text = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), "\r\n?", "\n"))
-    silent, said = F.locate(SILENCE, text), F.locate(RESPONSE, text)
-    body = F.when(said > 0, F.substr(text, said + len(RESPONSE))).otherwise(text)
-    line = collapse(F.split_part(F.regexp_replace(body, r"^[ \n\t]+", ""), F.lit("\n"), F.lit(1)))
-    quiet = (text == "") | ((silent > 0) & ((said == 0) | (silent < said)))
-    return F.when(quiet, F.lit(SILENCE)).when(line == "", F.lit(RESPONSE)).otherwise(F.concat(F.lit(RESPONSE + " "), line))
+    a marker is a response; nothing, or white space alone, is silence."""
+
+    def decided(text):
+        silent, said = F.locate(SILENCE, text), F.locate(RESPONSE, text)
+        body = bare(F.when(said > 0, F.substr(text, said + len(RESPONSE))).otherwise(text))
+        line = F.trim(F.regexp_replace(F.regexp_extract(body, rf"^{LINE_END.replace('[', '[^', 1)}*", 0), f"{WS}+", " "))
+        quiet = (text == "") | ((silent > 0) & ((said == 0) | (silent < said)))
+        return let(line, lambda x: F.when(quiet, F.lit(SILENCE)).when(x == "", F.lit(RESPONSE)).otherwise(F.concat(F.lit(RESPONSE + " "), x)))
+
+    return let(bare(F.regexp_replace(F.coalesce(raw, F.lit("")), "\r\n?", "\n")), decided)
 
 
 def response_payload(output: Column) -> Column:
@@ -55,8 +80,11 @@ def seconds_label(seconds: Column) -> Column:
 
 
 def start_second(text: Column) -> Column:
-    """The first second of a range such as ``5.0 seconds`` or ``0s-10s``; -1 where there is none."""
-    return F.coalesce(F.regexp_extract(text, r"^\s*<?\s*([0-9]+(?:\.[0-9]+)?)\s*(?:seconds?|s)?\s*(?:[-~].*)?>?\s*$", 1).try_cast("double"), F.lit(-1.0))
+    """The number before the first ``-`` or ``~`` of a range such as ``5.0 seconds`` or ``0s-10s``, its unit taken off; -1 where
+    there is none."""
+    first = bare(F.regexp_extract(text, r"^[^~-]*", 0))
+    plain = F.regexp_replace(bare(F.regexp_replace(first, rf"{WS}*seconds?\z", "")), r"s\z", "")
+    return F.coalesce(number(plain), F.lit(-1.0))
 
 
 def compact_seconds(seconds: Column) -> Column:
@@ -65,10 +93,12 @@ def compact_seconds(seconds: Column) -> Column:
 
 
 def parse_times(text: Column) -> Column:
-    """Whole seconds of a list such as ``5,6.7``, cut toward zero; null or empty gives none, a bad part fails all
-    (null)."""
-    parts = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("double").cast("bigint"))
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<bigint>")).when(F.exists(parts, lambda p: p.isNull()), F.lit(None)).otherwise(parts)
+    """Whole seconds of a list such as ``5,6.7``, cut toward zero; null or nothing between commas gives none, a part that is no
+    finite number fails all (null). Seconds beyond a long count as the greatest one."""
+    most = 9.2e18
+    parts = F.filter(F.split(text, ","), lambda p: bare(p) != "")
+    seconds = F.transform(parts, lambda p: let(number(p), lambda d: F.when(~F.isnan(d) & (F.abs(d) < float("inf")), F.greatest(F.lit(-most), F.least(F.lit(most), d)).cast("bigint"))))
+    return let(seconds, lambda v: F.when(text.isNull(), F.array().cast("array<bigint>")).when(F.exists(v, lambda x: x.isNull()), F.lit(None)).otherwise(v))
 
 
 def safe_name(x: Column, default: str = "default", most: int = 120) -> Column:
@@ -177,7 +207,7 @@ def time_range(x: Column) -> Column:
 
 def without_time_lines(x: Column) -> Column:
     """The lines that are more than a time marker."""
-    lines = F.split(x, r"\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]")
+    lines = F.split(x, rf"\r\n|{LINE_END}")
     return strip(F.array_join(F.filter(lines, lambda line: ~F.rlike(strip(line), F.lit(rf"^<{TIME}(?:\s*[~-]\s*{TIME})?>$"))), "\n"))
 
 

@@ -185,7 +185,7 @@ def record_images(spark, d):
     return g.select("session", F.array_join(pairs, "|").alias("record"), F.size(F.filter("s", lambda x: x.image.isNotNull())).cast("bigint").alias("n_images"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Query: ' ELSE '问题: ' END || event_type AS asked, CASE WHEN event_id % 3 = 0 THEN 'Response: ' ELSE '回复: ' END || user_id AS said FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Query: ' ELSE '提问: ' END || event_type AS asked, CASE WHEN event_id % 3 = 0 THEN 'Response: ' ELSE '回复: ' END || user_id AS said FROM events")
 def prompt_labels(spark, d):
     """Archived questions and answers under the labels of a session's language."""
     language = F.element_at(F.array(F.lit("en"), F.lit("zh"), F.lit("de")), (F.col("event_id") % 3 + 1).cast("int"))

@@ -28,9 +28,12 @@ def squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '[\\s\\x0B\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 
 
+# White space of any kind.
+WHITE = r"[\s\x0B\x{1C}-\x{1F}\x{85}\p{Z}]"
+
 NORMAL = f"""norm AS (SELECT id, raw, CASE WHEN txt = '' OR (silent > 0 AND (said = 0 OR silent < said)) THEN '</silence>' WHEN line = '' THEN '</response>' ELSE '</response> ' || line END AS output
- FROM (SELECT *, {squeeze("split_part(regexp_replace(CASE WHEN said > 0 THEN substr(txt, said + 11) ELSE txt END, '^[ \\n\\t]+', ''), chr(10), 1)")} AS line
- FROM (SELECT *, instr(txt, '</silence>') AS silent, instr(txt, '</response>') AS said FROM (SELECT id, raw, trim(regexp_replace(coalesce(raw, ''), '\\r\\n?', chr(10), 'g')) AS txt FROM outputs))))"""
+ FROM (SELECT *, trim(regexp_replace(regexp_extract(regexp_replace(CASE WHEN said > 0 THEN substr(txt, said + 11) ELSE txt END, '^{WHITE}+|{WHITE}+$', '', 'g'), '^[^\\n\\r\\x0B\\x0C\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]*'), '{WHITE}+', ' ', 'g')) AS line
+ FROM (SELECT *, instr(txt, '</silence>') AS silent, instr(txt, '</response>') AS said FROM (SELECT id, raw, regexp_replace(regexp_replace(coalesce(raw, ''), '\\r\\n?', chr(10), 'g'), '^{WHITE}+|{WHITE}+$', '', 'g') AS txt FROM outputs))))"""
 
 
 @query(f"WITH {OUTPUTS}, {NORMAL} SELECT id, output FROM norm")
@@ -233,7 +236,7 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("See\n```html\n<p>...</p>\n```\n```html\n"), page, F.lit("\n```\nDone"))).otherwise(F.concat(F.lit("```html\n"), page, F.lit("\n```"))).alias("answer")).select("page_id", X.present(html.best(F.col("answer"))).alias("b")).select("page_id", F.col("b.place").cast("bigint").alias("place"), F.col("b.doc").alias("doc"), "b.complete", "b.score")
 
 
-@query("""SELECT doc_id AS id, nullif(regexp_replace(split_part(text || chr(10) || '```', '```', 1), '\\n$', ''), '') AS block FROM documents""")
+@query("""SELECT doc_id AS id, nullif(regexp_replace(split_part(text || chr(10) || '```', '```', 1), '^[\\s\\x0B\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+|[\\s\\x0B\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+$', '', 'g'), '') AS block FROM documents""")
 def fenced_blocks(spark, d):
     """The first fenced html block of an answer, to the next fence, wherever that is."""
     made = F.concat(F.lit("\n```html\n"), "text", F.lit("\n``` tail"))
