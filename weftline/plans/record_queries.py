@@ -11,7 +11,7 @@ from weftline.plans.session_queries import SQL as SESSION_SQL
 from weftline.plans.text_queries import SAMPLES
 from weftline.sinks import files
 from weftline.sources.views import FRAMES, TURNS, frames, table, turns
-from weftline.streaming import folds
+from weftline.streaming import folds, timers
 
 QUERIES, SQL = {}, {}
 HOUR = 3_600_000_000
@@ -182,3 +182,54 @@ def stream_busy_skip(spark, d):
 @query(SESSION_SQL["late_drop"])
 def stream_late_drop(spark, d):
     return _streamed(spark, d, lambda f: folds.late_drop(f.withColumn("wall", F.col("us") + (F.col("event_id") * 7919 % 20) * 1_000_000), "wall", 4_000_000, 5), "stream-late").select("session", "event_id", "kept")
+
+
+def _replayed(spark, d, rule, name):
+    """What ``rule`` gives of the events table as a stream of files in any order: rows wait for ten years, and when all have
+    come, a row of no session moves the clock past them."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    batch = spark.read.parquet(f"{d}/events.parquet")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = lambda e: e.select(F.col("user_id").alias("session"), "event_id", us.alias("us"), F.col("event_type").alias("kind"))
+    schema = StructType([StructField(n, StringType() if n == "kind" else LongType()) for n in ("session", "event_id", "us", "kind")])
+    clock, out, state = (files.shared(spark, f"{name}-{part}") for part in ("clock", "out", "state"))
+    spark.createDataFrame([], schema).write.parquet(clock)
+
+    def run():
+        e = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 16).parquet(f"{d}/events.parque[t]")
+        s = timers.ended(rows(e).unionByName(spark.readStream.schema(schema).parquet(clock)), rule, "3650 days")
+        with timers.timer_store(spark):
+            files.write_stream(s, out, state)
+        return s.schema
+
+    run()
+    last = rows(batch).agg(F.max("us")).first()[0]
+    if last is not None:
+        spark.createDataFrame([(None, -1, last + 4000 * 24 * HOUR, "clock")], schema).write.mode("append").parquet(clock)
+    return spark.read.schema(run()).parquet(out).where("session IS NOT NULL")
+
+
+@query(f"""WITH {FRAMES}, p AS (SELECT *, lead(us) OVER w AS nx, lead(event_type) OVER w AS nt, last_value(CASE WHEN event_type IN ('view', 'purchase') THEN event_id END IGNORE NULLS) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS heard FROM frames WINDOW w AS (PARTITION BY session ORDER BY t))
+SELECT session, event_id, coalesce('text ' || heard, '') AS text, CASE WHEN nx IS NULL OR nx - us > {12 * HOUR} THEN us + {12 * HOUR} ELSE nx END AS at_us, CASE WHEN nx IS NULL OR nx - us > {12 * HOUR} THEN 'grace' ELSE 'superseded' END AS ended_by
+FROM p WHERE event_type = 'click' AND (nx IS NULL OR nx - us > {12 * HOUR} OR nt = 'signup')""")
+def stream_pauses(spark, d):
+    """Final results of pauses on a stream: a timer tells of a grace time that nothing came in."""
+    return _replayed(spark, d, timers.Pauses(12 * HOUR), "stream-pauses")
+
+
+@query(f"""WITH {FRAMES}, g AS (SELECT session, us, lead(us) OVER (PARTITION BY session ORDER BY t) AS nx FROM frames),
+e AS (SELECT session, min(us) + {500 * HOUR} AS total_end, min(us + {30 * HOUR}) FILTER (nx IS NULL OR nx - us > {30 * HOUR}) AS idle_end FROM g GROUP BY 1)
+SELECT session, CASE WHEN idle_end <= total_end THEN 'idle' ELSE 'total' END AS why, least(idle_end, total_end) AS at_us, count(*) FILTER (us <= least(idle_end, total_end)) AS n_turns FROM e JOIN g USING (session) GROUP BY session, idle_end, total_end""")
+def stream_ends(spark, d):
+    """Ends of streams by idle and total time, told by timers when nothing more comes."""
+    return _replayed(spark, d, timers.Ends(30 * HOUR, 500 * HOUR), "stream-ends")
+
+
+@query(f"""WITH {FRAMES}, g AS (SELECT *, lag(us) OVER w AS pu, lag(event_type) OVER w AS pt FROM frames WINDOW w AS (PARTITION BY session ORDER BY t)),
+l AS (SELECT *, sum((pu IS NULL OR pt = 'error' OR ((pu + {24 * HOUR}) // 300000000 + 1) * 300000000 < us)::INT) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS life FROM g)
+SELECT session, min(us) AS first_us, max(us) AS last_us, count(*) FILTER (event_type <> 'error') AS n_turns, CASE WHEN bool_or(event_type = 'error') THEN 'reset' ELSE 'expired' END AS ended_by,
+CASE WHEN bool_or(event_type = 'error') THEN max(us) ELSE ((max(us) + {24 * HOUR}) // 300000000 + 1) * 300000000 END AS at_us FROM l GROUP BY session, life""")
+def stream_lives(spark, d):
+    """What sessions remember, until a reset or the sweep, every 300 seconds, that finds them idle for over a day."""
+    return _replayed(spark, d, timers.Lives(24 * HOUR, 300_000_000), "stream-lives")
