@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from weftline.functions import audio
 from weftline.sinks import files
 from weftline.streaming import timers
 
@@ -47,3 +48,37 @@ def test_edges_of_time():
     assert timers.drained(lives, None, [(0, 1, "a")], 14) == ((0, 0, 1), []) and timers.drained(lives, None, [], None) == (None, [])
     pauses = timers.Pauses(5)
     assert timers.drained(pauses, None, [(0, 1, "click"), (5, 2, "signup"), (6, 3, "view"), (7, 4, "click")], None)[1] == [(1, "", 5, "superseded"), (4, "text 3", 12, "grace")]
+
+
+PACKETS = "session bigint, event_id bigint, us bigint, audio binary, final boolean, t bigint"
+
+
+@pytest.mark.parametrize("cut", [7, 200])
+def test_slices_of_any_cut(spark, tmp_path, cut):
+    r = random.Random(cut)
+    rows = []
+    for i in range(120):
+        rows.append((r.randrange(4), i, i * 1_000_000, None if i % 17 == 0 else r.randbytes(r.choice([0, 1, 5, 40])), i in (60, 77), i))
+    rows.append((9, 500, 10_000_000_000, b"x", True, 500))
+    src = tmp_path / "in"
+    for n, at in enumerate(range(0, len(rows), cut)):
+        spark.createDataFrame(rows[at : at + cut], PACKETS).coalesce(1).write.parquet(f"{src}/{n}")
+        for f in (src / str(n)).iterdir():
+            os.utime(f, (1_000_000 + 10 * n,) * 2)
+    stream = spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
+    out = timers.ended(stream, timers.Slices(16, 5_000_000_000), "1 second")
+    with timers.timer_store(spark):
+        files.write_stream(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted((x.session, x.slice, bytes(x.audio)) for x in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").where("session < 9").collect())
+    want = []
+    for s in range(4):
+        said = b""
+        for session, _, _, packet, final, _ in rows:
+            if session == s:
+                said += packet or b""
+                if final:
+                    break
+        want += [(s, n, said[at : at + 16]) for n, at in enumerate(range(0, len(said), 16))]
+    assert got == want
+    batch = audio.slices(audio.until_final(spark.createDataFrame(rows[:-1], PACKETS)), 16).collect()
+    assert sorted((x.session, x.slice, bytes(x.audio)) for x in batch) == want

@@ -38,6 +38,19 @@ def rechunk(df: DataFrame, size: int) -> DataFrame:
     return x.groupBy("session", "slice").agg(F.sum(F.least("b", (F.col("slice") + 1) * size) - F.greatest("a", F.col("slice") * size)).alias("n_bytes"), F.count("*").alias("n_packets"))
 
 
+def slices(df: DataFrame, size: int) -> DataFrame:
+    """(session, slice, audio): the bytes of ``audio`` in order of t, cut into slices of ``size``; the last has the rest. A packet
+    meets only the slices it reaches into, so what is gathered is a slice."""
+    n = F.coalesce(F.length("audio"), F.lit(0)).cast("bigint")
+    upto = F.sum(n).over(Window.partitionBy("session").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    x = df.select("session", "t", "audio", upto.alias("b"), n.alias("n")).withColumn("a", F.col("b") - F.col("n")).where("n > 0")
+    x = x.withColumn("slice", F.explode(F.sequence(F.floor(F.col("a") / size).cast("bigint"), F.floor((F.col("b") - 1) / size).cast("bigint"))))
+    first = F.greatest(F.col("slice") * size - F.col("a"), F.lit(0))
+    part = F.substr("audio", (first + 1).cast("int"), (F.least("b", (F.col("slice") + 1) * size) - F.col("a") - first).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("t", part.alias("part"))))
+    return x.groupBy("session", "slice").agg(F.aggregate(parts, F.lit(b""), lambda made, p: F.concat(made, p["part"])).alias("audio"))
+
+
 def _little(x: Column, at: int, n: int) -> Column:
     return F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring(x, at, n)), F.lit(".."), F.lit(0))), ""), 16, 10).cast("bigint")
 

@@ -184,15 +184,20 @@ def stream_late_drop(spark, d):
     return _streamed(spark, d, lambda f: folds.late_drop(f.withColumn("wall", F.col("us") + (F.col("event_id") * 7919 % 20) * 1_000_000), "wall", 4_000_000, 5), "stream-late").select("session", "event_id", "kept")
 
 
+def _said():
+    """An event's bytes as a packet of speech."""
+    return F.repeat(F.concat(F.col("event_type"), F.col("event_id").cast("string")), (F.col("event_id") % 9).cast("int")).cast("binary")
+
+
 def _replayed(spark, d, rule, name):
     """What ``rule`` gives of the events table as a stream of files in any order: rows wait for ten years, and when all have
     come, a row of no session moves the clock past them."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
-
     batch = spark.read.parquet(f"{d}/events.parquet")
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    rows = lambda e: e.select(F.col("user_id").alias("session"), "event_id", us.alias("us"), F.col("event_type").alias("kind"))
-    schema = StructType([StructField(n, StringType() if n == "kind" else LongType()) for n in ("session", "event_id", "us", "kind")])
+    read = {"kind": F.col("event_type"), "audio": _said(), "final": F.col("event_type") == "error"}
+    fields = ["session bigint", "event_id bigint", "us bigint", *rule.reads.split(", ")]
+    rows = lambda e: e.select(F.col("user_id").alias("session"), "event_id", us.alias("us"), *(read[f.split()[0]].alias(f.split()[0]) for f in fields[3:]))
+    schema = ", ".join(fields)
     clock, out, state = (files.shared(spark, f"{name}-{part}") for part in ("clock", "out", "state"))
     spark.createDataFrame([], schema).write.parquet(clock)
 
@@ -206,7 +211,7 @@ def _replayed(spark, d, rule, name):
     run()
     last = rows(batch).agg(F.max("us")).first()[0]
     if last is not None:
-        spark.createDataFrame([(None, -1, last + 4000 * 24 * HOUR, "clock")], schema).write.mode("append").parquet(clock)
+        spark.createDataFrame([(None, -1, last + 4000 * 24 * HOUR, *[None] * len(fields[3:]))], schema).write.mode("append").parquet(clock)
     return spark.read.schema(run()).parquet(out).where("session IS NOT NULL")
 
 
@@ -233,3 +238,21 @@ CASE WHEN bool_or(event_type = 'error') THEN max(us) ELSE ((max(us) + {24 * HOUR
 def stream_lives(spark, d):
     """What sessions remember, until a reset or the sweep, every 300 seconds, that finds them idle for over a day."""
     return _replayed(spark, d, timers.Lives(24 * HOUR, 300_000_000), "stream-lives")
+
+
+SLICES = f"""WITH {FRAMES}, p AS (SELECT session, t, repeat(event_type || event_id, (event_id % 9)::INT) AS said, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY session ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM frames),
+w AS (SELECT session, string_agg(said, '' ORDER BY t) AS said FROM p WHERE over = 0 GROUP BY 1),
+s AS (SELECT session, said, unnest(range((length(said) + 63) // 64)) AS slice FROM w) SELECT session, slice, substr(said, slice * 64 + 1, 64) AS said FROM s"""
+
+
+@query(SLICES)
+def pcm_slices(spark, d):
+    """The bytes of packets up to the final one (error) in slices of 64."""
+    f = frames(spark, d).withColumns({"audio": _said(), "final": F.col("event_type") == "error"})
+    return audio.slices(audio.until_final(f), 64).select("session", "slice", F.col("audio").cast("string").alias("said"))
+
+
+@query(SLICES)
+def stream_slices(spark, d):
+    """The same on a stream: what a packet leaves over waits in the state for the next one."""
+    return _replayed(spark, d, timers.Slices(64, 3000 * 24 * HOUR), "stream-slices").select("session", "slice", F.col("audio").cast("string").alias("said"))

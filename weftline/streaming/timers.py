@@ -24,7 +24,7 @@ class Pauses:
     """A pause (click) that nothing follows within ``grace``, or that a new utterance (signup) follows, makes a final result
     of the last text heard (view, purchase)."""
 
-    state = "heard bigint, pause bigint, since bigint"
+    reads, state = "kind string", "heard bigint, pause bigint, since bigint"
     gives = "event_id bigint, text string, at_us bigint, ended_by string"
 
     def __init__(self, grace: int):
@@ -50,7 +50,7 @@ class Ends:
     """A stream ends after ``idle`` without a message or ``total`` after its first one, whichever comes first; a message
     at that very time is still in time. What comes after the end is not part of it."""
 
-    state = "first bigint, last bigint, n bigint, over boolean"
+    reads, state = "kind string", "first bigint, last bigint, n bigint, over boolean"
     gives = "why string, at_us bigint, n_turns bigint"
 
     def __init__(self, idle: int, total: int):
@@ -73,7 +73,7 @@ class Lives:
     """What a session remembers lasts until a reset (error), or until the first of the sweeps, ``every`` apart, at which it
     has been idle for more than ``timeout``; a row before that sweep keeps it alive. The state is gone with it."""
 
-    state = "first bigint, last bigint, n bigint"
+    reads, state = "kind string", "first bigint, last bigint, n bigint"
     gives = "first_us bigint, last_us bigint, n_turns bigint, ended_by string, at_us bigint"
 
     def __init__(self, timeout: int, every: int):
@@ -90,14 +90,44 @@ class Lives:
         return (None, [(first, us, n, "reset", us)]) if kind == "error" else ((first, us, n + 1), [])
 
 
+class Slices:
+    """Packets of bytes in slices of ``size``, up to the final packet; what is left over from one packet waits for the next.
+    The last slice has the rest, at the final packet or ``idle`` after the last one; what comes then is dropped."""
+
+    reads, state = "audio binary, final boolean", "upto bigint, rest binary, last bigint, over boolean"
+    gives = "slice bigint, audio binary"
+
+    def __init__(self, size: int, idle: int):
+        self.size, self.idle = size, idle
+
+    def due(self, state):
+        return None if state is None or state[3] else state[2] + self.idle
+
+    def fire(self, state):
+        return (state[0], b"", state[2], True), [(state[0], bytes(state[1]))] if state[1] else []
+
+    def step(self, state, us, event_id, audio, final):
+        upto, rest, _, over = state or (0, b"", us, False)
+        if over:
+            return state, []
+        whole = bytes(rest) + bytes(audio or b"")
+        cut = len(whole) - len(whole) % self.size
+        out = [(upto + n, whole[at : at + self.size]) for n, at in enumerate(range(0, cut, self.size))]
+        state = upto + len(out), whole[cut:], us, False
+        if final:
+            state, last = self.fire(state)
+            out += last
+        return state, out
+
+
 def drained(rule, state, rows, seen: int | None):
-    """The state and the rule's rows after ``rows`` (us, event_id, kind) in order and all that is due before ``seen``."""
+    """The state and the rule's rows after ``rows`` (us, event_id and what it reads) in order and all that is due before ``seen``."""
     out = []
-    for us, event_id, kind in rows:
+    for us, event_id, *values in rows:
         while (due := rule.due(state)) is not None and due < us:
             state, made = rule.fire(state)
             out += made
-        state, made = rule.step(state, us, event_id, kind)
+        state, made = rule.step(state, us, event_id, *values)
         out += made
     while (due := rule.due(state)) is not None and (seen is None or due < seen):
         state, made = rule.fire(state)
@@ -113,18 +143,19 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, event_id bigint, kind string")
+        self.waiting = handle.getListState("waiting", f"us bigint, event_id bigint, {self.rule.reads}")
         self.held = handle.getValueState("held", self.rule.state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(u), int(i), k) for part in rows for u, i, k in zip(part["us"], part["event_id"], part["kind"], strict=True)]
+        names = [f.split()[0] for f in self.rule.reads.split(", ")]
+        new = [(int(u), int(i), *v) for part in rows for u, i, *v in zip(*(part[c].tolist() for c in ["us", "event_id", *names]), strict=True)]
         self.waiting.appendList(new)
         self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seen = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2]) if self.waiting.exists() else []
         rest = [r for r in rows if r[0] >= seen]
         state, out = drained(self.rule, self.held.get() if self.held.exists() else None, rows[: len(rows) - len(rest)], seen)
         if len(rest) < len(rows):
@@ -143,7 +174,7 @@ class InOrder(StatefulProcessor):
 
 
 def ended(df: DataFrame, rule, late: str) -> DataFrame:
-    """What ``rule`` gives for each session of a stream (session, event_id, us, kind), ``late`` behind its newest row of all. Rows
+    """What ``rule`` gives for each session of a stream (session, event_id, us and what it reads), ``late`` behind its newest row of all. Rows
     without a time are left out, and so are those that come later than that. Start it within ``timer_store``."""
     timed = df.where("us IS NOT NULL AND event_id IS NOT NULL").withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", late)
     return timed.groupBy("session").transformWithStateInPandas(InOrder(rule), f"session {df.schema['session'].dataType.simpleString()}, {rule.gives}", "append", "eventTime")
