@@ -82,3 +82,36 @@ def test_slices_of_any_cut(spark, tmp_path, cut):
     assert got == want
     batch = audio.slices(audio.until_final(spark.createDataFrame(rows[:-1], PACKETS)), 16).collect()
     assert sorted((x.session, x.slice, bytes(x.audio)) for x in batch) == want
+
+
+def put(spark, rows, schema, place, at):
+    """``rows`` as a file of the folder, later than those before."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{place}/{at}")
+    for f in (place / str(at)).iterdir():
+        os.utime(f, (1_000_000 + 10 * at,) * 2)
+
+
+def test_two_streams_at_their_own_pace(spark, tmp_path):
+    r = random.Random(8)
+    schema = f"session bigint, event_id bigint, us bigint, {timers.Fill.reads}"
+    rows = [(r.randrange(3), i, r.randrange(300) * 1_000_000, "view", None) for i in range(120)]
+    prompts = [(r.randrange(3), 1000 + i, r.randrange(300) * 1_000_000, "signup", f"ask {r.randrange(2)}") for i in range(40)]
+    end = lambda i: (None, i, 10_000_000_000, "clock", None)
+    sources = [(tmp_path / "rows", sorted(rows, key=lambda x: x[2]) + [end(-1)], 30), (tmp_path / "prompts", sorted(prompts, key=lambda x: x[2]) + [end(-2)], 5)]
+    for place, own, cut in sources:
+        for n, at in enumerate(range(0, len(own), cut)):
+            put(spark, own[at : at + cut], schema, place, n)
+    streams = [spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(place)) for place, _, _ in sources]
+    fill, slot, rides = timers.ended(streams, timers.Fill(), "1 second"), timers.ended([s.drop("prompt") for s in streams], timers.Slot(), "1 second"), timers.first_within(streams[1], streams[0], "20 SECONDS", "1 second")
+    with timers.timer_store(spark):
+        for name, s in (("fill", fill), ("slot", slot), ("rides", rides)):
+            files.write_stream(s, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state")
+    read = lambda name, s: sorted(tuple(x) for x in spark.read.schema(s.schema).parquet(f"{tmp_path}/{name}").where("session IS NOT NULL").collect())
+    for name, s, rule in (("fill", fill, timers.Fill()), ("slot", slot, timers.Slot())):
+        want = []
+        for k in range(3):
+            own = sorted((x[2], x[1], *x[3 : 5 if name == "fill" else 4]) for x in [*rows, *prompts] if x[0] == k)
+            want += [(k, *x) for x in timers.drained(rule, None, own, None)[1]]
+        assert read(name, s) == sorted(want)
+    met = [(k, i, us, min((x[2] for x in rows if x[0] == k and us < x[2] <= us + 20_000_000), default=None)) for k, i, us, *_ in prompts]
+    assert read("rides", rides) == sorted(x for x in met if x[3] is not None)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import audio, jsontext
 from weftline.operators import convert, links
+from weftline.plans.service_queries import SQL as SERVICE_SQL
+from weftline.plans.session_queries import FF
 from weftline.plans.session_queries import SQL as SESSION_SQL
 from weftline.plans.text_queries import SAMPLES
 from weftline.sinks import files
@@ -189,13 +191,13 @@ def _said():
     return F.repeat(F.concat(F.col("event_type"), F.col("event_id").cast("string")), (F.col("event_id") % 9).cast("int")).cast("binary")
 
 
-def _replayed(spark, d, rule, name):
-    """What ``rule`` gives of the events table as a stream of files in any order: rows wait for ten years, and when all have
-    come, a row of no session moves the clock past them."""
+def _replayed(spark, d, made, fields, name, streams=None):
+    """What ``made`` gives of the events table as streams of files in any order, one for each condition: rows wait for ten
+    years, and when all have come, a row of no session moves each stream's clock past them."""
     batch = spark.read.parquet(f"{d}/events.parquet")
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    read = {"kind": F.col("event_type"), "audio": _said(), "final": F.col("event_type") == "error"}
-    fields = ["session bigint", "event_id bigint", "us bigint", *rule.reads.split(", ")]
+    read = {"kind": F.col("event_type"), "audio": _said(), "final": F.col("event_type") == "error", "prompt": F.when(F.col("event_type") == "signup", F.concat(F.lit("ask "), (F.col("event_id") % 3).cast("string")))}
+    fields = ["session bigint", "event_id bigint", "us bigint", *fields.split(", ")]
     rows = lambda e: e.select(F.col("user_id").alias("session"), "event_id", us.alias("us"), *(read[f.split()[0]].alias(f.split()[0]) for f in fields[3:]))
     schema = ", ".join(fields)
     clock, out, state = (files.shared(spark, f"{name}-{part}") for part in ("clock", "out", "state"))
@@ -203,7 +205,7 @@ def _replayed(spark, d, rule, name):
 
     def run():
         e = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 16).parquet(f"{d}/events.parque[t]")
-        s = timers.ended(rows(e).unionByName(spark.readStream.schema(schema).parquet(clock)), rule, "3650 days")
+        s = made([rows(e.where(c)).unionByName(spark.readStream.schema(schema).parquet(clock)) for c in streams or [F.lit(True)]])
         with timers.timer_store(spark):
             files.write_stream(s, out, state)
         return s.schema
@@ -215,12 +217,16 @@ def _replayed(spark, d, rule, name):
     return spark.read.schema(run()).parquet(out).where("session IS NOT NULL")
 
 
+def _ruled(spark, d, rule, name, streams=None):
+    return _replayed(spark, d, lambda s: timers.ended(s, rule, "3650 days"), rule.reads, name, streams)
+
+
 @query(f"""WITH {FRAMES}, p AS (SELECT *, lead(us) OVER w AS nx, lead(event_type) OVER w AS nt, last_value(CASE WHEN event_type IN ('view', 'purchase') THEN event_id END IGNORE NULLS) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS heard FROM frames WINDOW w AS (PARTITION BY session ORDER BY t))
 SELECT session, event_id, coalesce('text ' || heard, '') AS text, CASE WHEN nx IS NULL OR nx - us > {12 * HOUR} THEN us + {12 * HOUR} ELSE nx END AS at_us, CASE WHEN nx IS NULL OR nx - us > {12 * HOUR} THEN 'grace' ELSE 'superseded' END AS ended_by
 FROM p WHERE event_type = 'click' AND (nx IS NULL OR nx - us > {12 * HOUR} OR nt = 'signup')""")
 def stream_pauses(spark, d):
     """Final results of pauses on a stream: a timer tells of a grace time that nothing came in."""
-    return _replayed(spark, d, timers.Pauses(12 * HOUR), "stream-pauses")
+    return _ruled(spark, d, timers.Pauses(12 * HOUR), "stream-pauses")
 
 
 @query(f"""WITH {FRAMES}, g AS (SELECT session, us, lead(us) OVER (PARTITION BY session ORDER BY t) AS nx FROM frames),
@@ -228,7 +234,7 @@ e AS (SELECT session, min(us) + {500 * HOUR} AS total_end, min(us + {30 * HOUR})
 SELECT session, CASE WHEN idle_end <= total_end THEN 'idle' ELSE 'total' END AS why, least(idle_end, total_end) AS at_us, count(*) FILTER (us <= least(idle_end, total_end)) AS n_turns FROM e JOIN g USING (session) GROUP BY session, idle_end, total_end""")
 def stream_ends(spark, d):
     """Ends of streams by idle and total time, told by timers when nothing more comes."""
-    return _replayed(spark, d, timers.Ends(30 * HOUR, 500 * HOUR), "stream-ends")
+    return _ruled(spark, d, timers.Ends(30 * HOUR, 500 * HOUR), "stream-ends")
 
 
 @query(f"""WITH {FRAMES}, g AS (SELECT *, lag(us) OVER w AS pu, lag(event_type) OVER w AS pt FROM frames WINDOW w AS (PARTITION BY session ORDER BY t)),
@@ -237,7 +243,7 @@ SELECT session, min(us) AS first_us, max(us) AS last_us, count(*) FILTER (event_
 CASE WHEN bool_or(event_type = 'error') THEN max(us) ELSE ((max(us) + {24 * HOUR}) // 300000000 + 1) * 300000000 END AS at_us FROM l GROUP BY session, life""")
 def stream_lives(spark, d):
     """What sessions remember, until a reset or the sweep, every 300 seconds, that finds them idle for over a day."""
-    return _replayed(spark, d, timers.Lives(24 * HOUR, 300_000_000), "stream-lives")
+    return _ruled(spark, d, timers.Lives(24 * HOUR, 300_000_000), "stream-lives")
 
 
 SLICES = f"""WITH {FRAMES}, p AS (SELECT session, t, repeat(event_type || event_id, (event_id % 9)::INT) AS said, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY session ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM frames),
@@ -255,4 +261,28 @@ def pcm_slices(spark, d):
 @query(SLICES)
 def stream_slices(spark, d):
     """The same on a stream: what a packet leaves over waits in the state for the next one."""
-    return _replayed(spark, d, timers.Slices(64, 3000 * 24 * HOUR), "stream-slices").select("session", "slice", F.col("audio").cast("string").alias("said"))
+    return _ruled(spark, d, timers.Slices(64, 3000 * 24 * HOUR), "stream-slices").select("session", "slice", F.col("audio").cast("string").alias("said"))
+
+
+def _two():
+    """Results and prompts (signup) are one stream, all else another."""
+    return [F.col("event_type") == "signup", F.col("event_type") != "signup"]
+
+
+@query(f"WITH {FRAMES}, {FF} SELECT session, t, query, epoch::BIGINT AS epoch, query_start FROM filled")
+def stream_query_fill(spark, d):
+    """The query in force at each row, of prompts that come on a stream of their own."""
+    return _ruled(spark, d, timers.Fill(), "stream-fill", _two())
+
+
+@query(SERVICE_SQL["handoff_slot"])
+def stream_handoff(spark, d):
+    """Results of one stream ride on the responses of another."""
+    return _ruled(spark, d, timers.Slot(), "stream-handoff", _two())
+
+
+@query(f"WITH {FRAMES} SELECT r.session, r.event_id AS task, r.us, min(f.us) AS emitted_us FROM frames r JOIN frames f ON r.session = f.session WHERE r.event_type = 'signup' AND f.answered AND f.us > r.us AND f.us <= r.us + {48 * HOUR} GROUP BY ALL")
+def stream_rides(spark, d):
+    """Each result with the first response within two days, by an interval join of two streams."""
+    made = lambda s: timers.first_within(s[0], s[1].where("kind IN ('view', 'purchase') OR kind IS NULL"), "48 HOURS", "3650 days")
+    return _replayed(spark, d, made, "kind string", "stream-rides", _two()).select("session", F.col("event_id").alias("task"), "us", F.col("first_us").alias("emitted_us"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +121,42 @@ class Slices:
         return state, out
 
 
+class Fill:
+    """The query in force at each row: the last prompt so far, from another stream than the rows it holds for. A prompt that
+    repeats the one in force opens no epoch."""
+
+    reads, state = "kind string, prompt string", "query string, epoch bigint, start bigint, n bigint"
+    gives = "t bigint, query string, epoch bigint, query_start bigint"
+
+    def due(self, state):
+        return None
+
+    def step(self, state, us, event_id, kind, prompt):
+        query, epoch, start, n = state or (None, 0, None, 0)
+        if prompt is not None and prompt != query:
+            query, epoch, start = prompt, epoch + 1, n + 1
+        return (query, epoch, start, n + 1), [(n + 1, query, epoch, start)]
+
+
+class Slot:
+    """Results (signup) of one stream wait in one place for the next response (view, purchase) of another: the last one rides
+    on it, those before it are lost."""
+
+    reads, state = "kind string", "n bigint, task bigint, queued bigint"
+    gives = "emitted_at bigint, task bigint, n_queued bigint"
+
+    def due(self, state):
+        return None
+
+    def step(self, state, us, event_id, kind):
+        n, task, queued = state or (0, None, 0)
+        if kind == "signup":
+            return (n + 1, event_id, queued + 1), []
+        if kind not in ("view", "purchase"):
+            return (n + 1, task, queued), []
+        return (n + 1, None, 0), [] if task is None else [(n + 1, task, queued)]
+
+
 def drained(rule, state, rows, seen: int | None):
     """The state and the rule's rows after ``rows`` (us, event_id and what it reads) in order and all that is due before ``seen``."""
     out = []
@@ -173,11 +210,25 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def ended(df: DataFrame, rule, late: str) -> DataFrame:
-    """What ``rule`` gives for each session of a stream (session, event_id, us and what it reads), ``late`` behind its newest row of all. Rows
-    without a time are left out, and so are those that come later than that. Start it within ``timer_store``."""
-    timed = df.where("us IS NOT NULL AND event_id IS NOT NULL").withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", late)
-    return timed.groupBy("session").transformWithStateInPandas(InOrder(rule), f"session {df.schema['session'].dataType.simpleString()}, {rule.gives}", "append", "eventTime")
+def ended(df: DataFrame | list[DataFrame], rule, late: str) -> DataFrame:
+    """What ``rule`` gives for each session of a stream (session, event_id, us and what it reads), ``late`` behind its newest
+    row of all; of several streams the one that is furthest behind counts, so none runs ahead of another. Rows without a
+    time are left out, and so are those that come later than that. Start it within ``timer_store``."""
+    every = df if isinstance(df, list) else [df]
+    timed = [x.where("us IS NOT NULL AND event_id IS NOT NULL").withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", late) for x in every]
+    one = reduce(DataFrame.unionByName, timed)
+    return one.groupBy("session").transformWithStateInPandas(InOrder(rule), f"session {every[0].schema['session'].dataType.simpleString()}, {rule.gives}", "append", "eventTime")
+
+
+def first_within(left: DataFrame, right: DataFrame, within: str, late: str) -> DataFrame:
+    """(session, event_id, us, first_us): of each row of the stream ``left`` (session, event_id, us) the first row of the stream
+    ``right`` (session, us) after it, at most ``within`` later; left rows without one give none; rows of a null session are one session. An interval join behind both
+    watermarks keeps a row no longer than that."""
+    a = left.select("session", "event_id", "us", F.timestamp_micros("us").alias("ts")).withWatermark("ts", late).alias("a")
+    b = right.select("session", F.col("us").alias("first_us"), F.timestamp_micros("us").alias("ts")).withWatermark("ts", late).alias("b")
+    met = a.join(b, F.expr(f"a.session <=> b.session AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL {within}"))
+    first = met.groupBy(F.col("a.session").alias("session"), "event_id", "us", F.window("a.ts", "1 second")).agg(F.min("first_us").alias("first_us"))
+    return first.select("session", "event_id", "us", "first_us")
 
 
 @contextmanager
