@@ -11,7 +11,8 @@ from weftline.plans.service_queries import SQL as SERVICE_SQL
 from weftline.plans.session_queries import FF
 from weftline.plans.session_queries import SQL as SESSION_SQL
 from weftline.plans.text_queries import SAMPLES
-from weftline.sinks import files
+from weftline.sinks import documents, files
+from weftline.sources import readers
 from weftline.sources.views import FRAMES, TURNS, frames, table, turns
 from weftline.streaming import folds, timers
 
@@ -286,3 +287,30 @@ def stream_rides(spark, d):
     """Each result with the first response within two days, by an interval join of two streams."""
     made = lambda s: timers.first_within(s[0], s[1].where("kind IN ('view', 'purchase') OR kind IS NULL"), "48 HOURS", "3650 days")
     return _replayed(spark, d, made, "kind string", "stream-rides", _two()).select("session", F.col("event_id").alias("task"), "us", F.col("first_us").alias("emitted_us"))
+
+
+@query(f"WITH {SAMPLES}, g AS (SELECT session, count(*) AS n, count(*) FILTER (r IS NOT NULL) AS answers FROM grid LEFT JOIN lasts USING (session, sec) GROUP BY 1) SELECT 'qa/' || session % 3 || '/' || session % 5 || '.json' AS rel_path, session, n, answers FROM g")
+def converted_documents(spark, d):
+    """Accepted samples as one JSON array at each input file's relative path; a second run leaves the files that are there."""
+    samples, events = convert.role_samples(frames(spark, d))
+    g = convert.grid(samples, events).withColumn("pair", F.struct("sec", "question", "answer"))
+    g = g.groupBy("session").agg(F.array_sort(F.collect_list("pair")).alias("messages"))
+    place = F.format_string("qa/%d/%d.json", F.col("session") % 3, F.col("session") % 5)
+    made = documents.json_arrays(g.withColumns({"rel_path": place, "ord": F.col("session")}))
+    out = files.shared(spark, "documents")
+    documents.write_documents(made, out)
+    documents.write_documents(made.withColumn("content", F.lit("[]")), out)
+    samples = F.from_json(F.col("content").cast("string"), "array<struct<session: bigint, messages: array<struct<sec: bigint, question: string, answer: string>>>>")
+    back = documents.stored(spark, out, "*.json").select("rel_path", F.inline(samples))
+    return back.select("rel_path", "session", F.size("messages").cast("bigint").alias("n"), F.size(F.filter("messages", lambda m: F.startswith(m.answer, F.lit("</response>")))).cast("bigint").alias("answers"))
+
+
+@query(SLICES[: SLICES.index(",\ns AS")] + " SELECT 's' || session || '.wav' AS name, 16000::BIGINT AS rate, length(said) AS n_bytes, md5(said) AS digest FROM w")
+def written_wavs(spark, d):
+    """Each session's packets up to the final one as a WAV file, read back."""
+    f = audio.until_final(frames(spark, d).withColumns({"audio": _said(), "final": F.col("event_type") == "error"}))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("t", "audio"))), F.lit(b""), lambda made, p: F.concat(made, p["audio"]))
+    g = f.groupBy("session").agg(whole.alias("pcm"))
+    out = files.shared(spark, "wavs")
+    documents.write_documents(documents.wavs(g, F.concat(F.lit("s"), F.col("session").cast("string"), F.lit(".wav")), F.col("pcm"), 16000), out)
+    return readers.wav(spark, out).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "rate", F.length("pcm").cast("bigint").alias("n_bytes"), F.md5("pcm").alias("digest"))
