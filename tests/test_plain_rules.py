@@ -124,3 +124,38 @@ def test_whole_answers_come_first(spark):
 def test_labels_by_language(spark):
     got = column(spark, ["en", "zh", "de", None], messages.prompt_labels)
     assert [tuple(g) for g in got] == [("Query", "Response"), *[("提问", "回复")] * 3]
+
+
+def test_types_by_the_standard_table(spark):
+    from mimetypes import MimeTypes
+
+    from weftline.functions import paths
+
+    ends = sorted(MimeTypes().types_map[True])
+    rows = [f"/w/a{e}" for e in ends] + [f"/w.d/b{e.upper()}" for e in ends] + ["/a/.gz", "/a/x.tar.gz", "/a/x.txt.gz", "/a/x.tgz", "/a/X.TGZ", "/a/x.svgz", "/a/x.Z", "/a/x.html.z", "/a/..txt", "/a/.a.txt", "/a/x", "/a/x.", "/a.txt/x", "x.py", "x.unknown", "/a/.tar.bz2", "/a/y.c.xz"]
+    want = [MimeTypes().guess_type(p)[0] or "application/octet-stream" for p in rows]
+    got = column(spark, rows, paths.content_type)
+    assert [(p, g) for p, g in zip(rows, got, strict=True)] == list(zip(rows, want, strict=True))
+
+
+def test_result_records(spark):
+    from weftline.functions import results
+
+    rows = [None, "", "plain <summary>s</summary> text", '"quoted"', "[]", '{"text": ""}', '{"text": 0, "answer": "a"}', '{"text": "t", "summary_text": ["x", {"text": "总结：y"}], "rich": [1]}', '{"status": "bad", "error": 7}', '{"text": "t", "metrics": {"usage": null, "own": [1]}, "usage": 3, "rich": {"k": 1}}', '{"text": {"value": "<think>x</think>v"}, "summary_text": "", "background_summary": "b"}']
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, raw string")
+    got = [tuple(x.r) for x in results.result_records(df, "raw", "r").orderBy("i").collect()]
+    run = lambda **more: {"thread_id": "null", "usage": "null", "duration_ms": "null", "events_digest": "null"} | more
+    empty = "Background service returned empty text"
+    assert got == [
+        (None, "", "", None, {}),
+        (None, "", "", None, {}),
+        (None, "plain  text", "s", None, {}),
+        (None, "quoted", "", None, {}),
+        (None, "", "", None, {}),
+        (empty, None, None, None, None),
+        (None, "a", "", None, run()),
+        (None, "t", "y", None, run()),
+        ("7", None, None, None, None),
+        (None, "t", "", '{"k":1}', run(usage="null", own="[1]")),
+        (None, "v", "b", None, run()),
+    ]

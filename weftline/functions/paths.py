@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from mimetypes import MimeTypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +15,6 @@ from weftline.functions.values import percent_encoded
 IMAGES = ("jpg", "jpeg", "png", "webp", "bmp")
 ATTACHED = ("7z", "bin", "bz2", "dmg", "exe", "gz", "iso", "lz", "lzma", "rar", "tar", "tgz", "xz", "zip", "zst")
 INLINE = ("application/json", "application/pdf", "application/xml", "application/xhtml+xml", "image/svg+xml")
-TYPES = {"html": "text/html", "htm": "text/html", "css": "text/css", "csv": "text/csv", "txt": "text/plain", "md": "text/markdown", "js": "text/javascript", "json": "application/json", "pdf": "application/pdf", "xml": "text/xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "mp4": "video/mp4", "wav": "audio/x-wav", "mp3": "audio/mpeg"}
 
 
 def normal(path: Column) -> Column:
@@ -46,9 +48,23 @@ def image_fault(path: Column, exists: Column, within: Column) -> Column:
     return F.when(F.size(within) == 0, "disabled").when(~exists, "missing").when(~suffix(path).isin(*IMAGES), "suffix").when(~F.exists(within, lambda r: under(path, r)), "outside")
 
 
+def _extension(path: Column) -> Column:
+    """The last dot of a name and what follows it; empty where only dots stand before it."""
+    return F.regexp_extract(path, r"(?:^|/)\.*[^./][^/]*?(\.[^./]*)$", 1)
+
+
 def content_type(path: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, suffix(path)), F.lit("application/octet-stream"))
+    """The type of a file by the standard library's table of suffixes; a suffix of packing such as ``.gz`` is passed over to the
+    one before it. Bytes of no kind where the table has none."""
+    table = MimeTypes()
+    table_of = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    types, short = table_of(table.types_map[True]), table_of(table.suffix_map)
+    packing = "|".join(re.escape(e) for e in sorted(table.encodings_map))
+    last = _extension(path)
+    long = F.coalesce(F.concat(F.substr(path, F.lit(1), F.length(path) - F.length(last)), F.try_element_at(short, F.lower(last))), path)
+    plain = F.when(_extension(long).isin(*table.encodings_map), F.regexp_replace(long, rf"(?:{packing})$", "")).otherwise(long)
+    end = _extension(plain)
+    return F.coalesce(F.try_element_at(types, end), F.try_element_at(types, F.lower(end)), F.lit("application/octet-stream"))
 
 
 def shown_inline(path: Column) -> Column:

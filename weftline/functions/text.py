@@ -149,14 +149,19 @@ def clean_question(x: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(x, f"{WS}+\n", "\n"), "\n{3,}", "\n\n"))
 
 
+def clean_summary(x: Column) -> Column:
+    """A summary as shown: no reasoning, no label before it, at most one empty line in a row."""
+    said = F.regexp_replace(strip_reasoning(strip(x)), SUMMARY_LABEL, "")
+    return strip(F.regexp_replace(said, "\n{3,}", "\n\n"))
+
+
 def split_summary(x: Column) -> Column:
     """struct(summary, body): the first summary tag's cleaned text and all around the tag; without one the summary is
     empty."""
     x = strip(x)
     at, tag = F.regexp_instr(x, F.lit(SUMMARY)), F.regexp_extract(x, SUMMARY, 0)
-    said = F.regexp_replace(strip_reasoning(strip(F.regexp_extract(x, SUMMARY, 1))), SUMMARY_LABEL, "")
     body = strip(F.concat(F.substr(x, F.lit(1), at - 1), F.substr(x, at + F.length(tag))))
-    return F.when(at > 0, F.struct(strip(F.regexp_replace(said, "\n{3,}", "\n\n")).alias("summary"), body.alias("body"))).otherwise(F.struct(F.lit("").alias("summary"), x.alias("body")))
+    return F.when(at > 0, F.struct(clean_summary(F.regexp_extract(x, SUMMARY, 1)).alias("summary"), body.alias("body"))).otherwise(F.struct(F.lit("").alias("summary"), x.alias("body")))
 
 
 def without_sentences(x: Column, pattern: str) -> Column:
@@ -276,7 +281,7 @@ def background_result(status: Column, error: Column, text: Column, given: Column
     parts = split_summary(strip_reasoning(strip(F.coalesce(text, F.lit("")))))
     state = F.coalesce(F.nullif(status, F.lit("")), F.lit("completed"))
     fault = F.when(state != "completed", F.coalesce(F.nullif(error, F.lit("")), F.concat(F.lit("Background service returned status="), state))).when(parts["body"] == "", "Background service returned empty text")
-    told = F.coalesce(F.nullif(strip(given), F.lit("")), parts["summary"])
+    told = F.coalesce(F.nullif(clean_summary(given), F.lit("")), parts["summary"])
     return F.struct(fault.alias("error"), F.when(fault.isNull(), parts["body"]).alias("body"), F.when(fault.isNull(), told).alias("summary"))
 
 

@@ -101,7 +101,7 @@ def path_roots(spark, d):
     return f.select("page_id", F.array_join("roots", ",").alias("roots"), P.allowed(P.normal(F.col("raw")), F.col("roots")).alias("allowed"))
 
 
-@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/octet-stream' WHEN 3 THEN 'application/pdf' WHEN 4 THEN 'video/mp4' WHEN 5 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS kind, page_id % 7 IN (0, 1, 3, 5) AS inline FROM pages""")
+@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/x-tar' WHEN 3 THEN 'application/pdf' WHEN 4 THEN 'video/mp4' WHEN 5 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS kind, page_id % 7 IN (0, 1, 3, 5) AS inline FROM pages""")
 def inline_display(spark, d):
     """Which files a browser shows and which it saves."""
     ends = [".html", ".PNG", ".tar", ".pdf", ".mp4", ".x.svg", ""]

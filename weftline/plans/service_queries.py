@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import html, jsontext, values
+from weftline.functions import results as R
 from weftline.functions import text as X
 from weftline.operators import folds
 from weftline.operators import turns as T
@@ -312,6 +313,22 @@ def background_results(spark, d):
     return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.error", "r.body", "r.summary")
 
 
+@query(f"""WITH {TURNS}, r AS (SELECT session, t, t % 5 AS k, role, trim(regexp_replace(coalesce(text, ''), '[<>]', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS said FROM turns)
+SELECT session, t, CASE WHEN k = 3 THEN 'Background service returned status=failed' WHEN k IN (1, 2) AND said = '' THEN 'Background service returned empty text' END AS error,
+CASE WHEN k = 3 OR (k IN (1, 2) AND said = '') THEN NULL WHEN k = 4 THEN '' ELSE said END AS body, CASE WHEN k = 3 OR (k IN (1, 2) AND said = '') THEN NULL WHEN k = 2 THEN role ELSE '' END AS summary,
+CASE WHEN k = 1 AND said <> '' THEN '{{"n":' || t || '}}' END AS rich, CASE WHEN k = 1 AND said <> '' THEN '"th"|' || t WHEN k = 2 AND said <> '' THEN 'null|null' END AS told FROM r""")
+def result_records(spark, d):
+    """Background answers of all shapes: plain text, text or answer of a record, a record that failed, and nothing."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), "[<>]", "")
+    k, t = F.col("t") % 5, F.col("t")
+    record = lambda **fields: F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
+    raw = F.when(k == 0, said).when(k == 1, record(text=said, thread_id=F.lit("th"), usage=F.lit(0), rich=F.struct(t.alias("n")), metrics=F.struct(t.alias("usage"))))
+    raw = raw.when(k == 2, record(answer=F.array(F.struct(said.alias("content"))), background_summary=F.concat(F.lit("摘要: "), "role"))).when(k == 3, record(text=said, status=F.lit("failed")))
+    r = R.result_records(turns(spark, d).select("session", "t", raw.alias("raw")), "raw", "r")
+    told = F.concat_ws("|", F.expr("r.metrics['thread_id']"), F.expr("r.metrics['usage']"))
+    return r.select("session", "t", "r.error", "r.body", "r.summary", "r.rich", F.when(F.size("r.metrics") > 0, told).alias("told"))
+
+
 @query("""SELECT page_id, page_id % 3 = 0 AS has_html, CASE WHEN page_id % 3 = 0 THEN page_id % 2 = 1 END AS html_incomplete, CASE WHEN page_id % 3 > 0 THEN 'a,b' END AS labels FROM pages""")
 def rich_contents(spark, d):
     """What an answer shows besides text: a page, whether it is whole, and a chart."""

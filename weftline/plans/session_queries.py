@@ -170,12 +170,15 @@ def memory_change(spark, d):
     return frames(spark, d).withColumn("p", before).where("NOT (p <=> event_type)").select("session", "t", "event_type")
 
 
-@query(f"""WITH {FRAMES}, r AS (SELECT *, sum(answered::INT) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM frames)
-SELECT session, t, n::BIGINT AS n FROM (SELECT *, lag(n) OVER (PARTITION BY session ORDER BY t) AS pn FROM r) WHERE n > 0 AND n > coalesce(pn, 0)""")
+@query(f"""WITH {FRAMES}, r AS (SELECT *, sum(answered::INT) OVER w AS n, coalesce(last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER w, '') AS said FROM frames WINDOW w AS (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING))
+SELECT session, t, n::BIGINT AS n, said FROM (SELECT *, lag(n) OVER (PARTITION BY session ORDER BY t) AS pn, lag(said) OVER (PARTITION BY session ORDER BY t) AS ps FROM r) WHERE n > 0 AND (n > coalesce(pn, 0) OR said <> ps)""")
 def fresh_callback(spark, d):
-    r = frames(spark, d).withColumn("n", F.sum(F.col("answered").cast("bigint")).over(T.so_far()))
-    before = F.coalesce(F.lag("n").over(Window.partitionBy("session").orderBy("t")), F.lit(0))
-    return r.withColumn("pn", before).where("n > 0 AND n > pn").select("session", "t", "n")
+    """A response is told when there was a further inference or its text is another than the last one told."""
+    said = F.coalesce(F.last(F.when(F.col("event_id") % 3 == 0, F.col("event_type")), True).over(T.so_far()), F.lit(""))
+    r = frames(spark, d).withColumns({"n": F.sum(F.col("answered").cast("bigint")).over(T.so_far()), "said": said})
+    w = Window.partitionBy("session").orderBy("t")
+    r = r.withColumns({"pn": F.coalesce(F.lag("n").over(w), F.lit(0)), "ps": F.lag("said").over(w)})
+    return r.where("n > 0 AND (n > pn OR said <> ps)").select("session", "t", "n", "said")
 
 
 def _greedy(gap: str, rest: str) -> str:
