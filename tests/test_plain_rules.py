@@ -159,3 +159,34 @@ def test_result_records(spark):
         (None, "t", "", '{"k":1}', run(usage="null", own="[1]")),
         (None, "v", "b", None, run()),
     ]
+
+
+def walked(node, images):
+    if isinstance(node, str) and node.startswith("data:image/") and len(node) > 200:
+        images.append(node)
+        return f"__image_{len(images) - 1}__"
+    if isinstance(node, list):
+        return [walked(x, images) for x in node]
+    return {k: walked(v, images) for k, v in node.items()} if isinstance(node, dict) else node
+
+
+def test_images_at_any_depth(spark):
+    r = random.Random(9)
+    image = lambda n: "data:image/png;base64," + "Ab+/="[r.randrange(5)] * (n - 22)
+
+    def node(depth):
+        kind = r.randrange(6 if depth else 4)
+        if kind < 4:
+            return [image(200), image(201), image(300), 'say "data:image/" \\ \\/ é\n'][kind]
+        inside = [node(depth - 1) for _ in range(r.randrange(4))]
+        return inside if kind == 4 else {image(300) if i == 2 else f"k{9 - i}": x for i, x in enumerate(inside)}
+
+    made = [node(4) for _ in range(200)] + [{"a": image(3_000_000)}, "x", 1, None]
+    rows = [json.dumps(m, ensure_ascii=i % 2 == 0) for i, m in enumerate(made)]
+    rows = [t.replace("/", "\\/") if i % 7 == 0 and "\\" not in t else t for i, t in enumerate(rows)]
+    got = column(spark, [*rows, None, "{", ""], messages.without_images)
+    for m, g in zip(made, got, strict=False):
+        images = []
+        want = walked(m, images)
+        assert json.loads(g.record) == want and [x.image for x in g.images] == images and [x.key for x in g.images] == [f"__image_{i}__" for i in range(len(images))]
+    assert got[-3:] == [None, None, None]

@@ -60,7 +60,7 @@ def test_prompts_and_images(spark):
 
 def test_images_split_at_any_depth(spark):
     big = "data:image/png;base64," + "A" * 200
-    got = column(spark, [[], ["a", big, "data:image/x", big, None]], messages.split_images, "array<string>")
+    got = column(spark, [[], ["a", big, "data:image/x", big, None]], messages.marked, "array<string>")
     assert [[p.text for p in g] for g in got] == [[], ["a", "__image_0__", "data:image/x", "__image_1__", None]]
 
 

@@ -68,12 +68,35 @@ def light_prediction(prediction: Column) -> Column:
     return F.map_filter(prediction, lambda k, _: k.isin(*LIGHT))
 
 
-def split_images(parts: Column, least: int = 200) -> Column:
-    """struct(text, image) of parts in order: an inline image of more than ``least`` characters leaves its place to a
-    numbered mark."""
-    big = lambda p: F.startswith(p, F.lit("data:image/")) & (F.length(p) > least)
-    nth = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), big))
-    return F.transform(parts, lambda p, i: F.struct(F.when(big(p), F.concat(F.lit("__image_"), F.coalesce(nth(i), F.lit(0)).cast("string"), F.lit("__"))).otherwise(p).alias("text"), F.when(big(p), p).alias("image")))
+# A JSON string that is an inline image and no key.
+INLINE = r'"data:image\\?/[^"\\]*+(?:\\.[^"\\]*+)*+"(?!\s*:)'
+
+
+def marked(parts: Column, least: int = 200) -> Column:
+    """array<struct(text, image)> of texts in order: an inline image of more than ``least`` characters leaves its place to a mark,
+    numbered from 0. Images are numbered among themselves and sorted back, so no part is compared with those before."""
+    big = lambda s: F.coalesce(F.startswith(s["p"], F.lit("data:image/")) & (F.length(s["p"]) > least), F.lit(False))
+    indexed = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+    images = F.transform(F.filter(indexed, big), lambda s, n: F.struct(s["i"].alias("i"), F.concat(F.lit("__image_"), n.cast("string"), F.lit("__")).alias("text"), s["p"].alias("image")))
+    others = F.transform(F.filter(indexed, lambda s: ~big(s)), lambda s: F.struct(s["i"].alias("i"), s["p"].alias("text"), F.lit(None).cast("string").alias("image")))
+    return F.transform(F.array_sort(F.concat(images, others)), lambda x: F.struct(x["text"].alias("text"), x["image"].alias("image")))
+
+
+def without_images(record: Column, least: int = 200) -> Column:
+    """struct(record, images) of a JSON text: inline images of more than ``least`` characters at any depth leave their places to
+    marks numbered from 0 in the order of the text, which is depth-first; images is array<struct<key, image>>. Images are
+    told by their first letters as they stand, of which only the slash may be escaped. Null for text that is no JSON."""
+    found = F.regexp_extract_all(record, F.lit(INLINE), F.lit(0))
+    read = F.transform(found, lambda f: F.get_json_object(F.concat(F.lit("["), f, F.lit("]")), "$[0]"))
+
+    def made(parts):
+        gaps = F.split(record, INLINE)
+        place = lambda i: F.when(F.get(parts, i)["image"].isNotNull(), F.concat(F.lit('"'), F.get(parts, i)["text"], F.lit('"'))).otherwise(F.get(found, i))
+        joined = F.array_join(F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(place(i - 1), g))), "")
+        images = F.transform(F.filter(parts, lambda p: p["image"].isNotNull()), lambda p: F.struct(p["text"].alias("key"), p["image"].alias("image")))
+        return F.struct(joined.alias("record"), images.alias("images"))
+
+    return F.when(F.try_parse_json(record).isNotNull(), let(marked(read, least), made))
 
 
 def attached(answer: Column, result: Column) -> Column:

@@ -144,3 +144,11 @@ def wrapped(x: Column, width: int = 60) -> Column:
         return texts.map(lines, na_action="ignore")
 
     return run(x)
+
+
+def background_config(enabled: Column, fps: Column, multiplier: Column, frames: Column, cached: Column, most: int = 100, default: int = 100) -> Column:
+    """struct of what a background service tells of its sampling: a rate of 0.1 to 60 a second, the interval that it makes, and
+    how many frames of those cached it takes, 1 to ``most``; none asked for counts as ``default``."""
+    rate = F.least(F.greatest(F.lit(0.1), fps * multiplier.cast("double")), F.lit(60.0))
+    wanted = F.least(F.greatest(F.lit(1), F.coalesce(F.nullif(frames, F.lit(0)), F.lit(default))), F.lit(most)).cast("bigint")
+    return F.struct(enabled.alias("enabled"), rate.alias("background_fps"), (F.lit(1.0) / rate).alias("sample_interval_seconds"), wanted.alias("target_frame_count"), F.least(cached, wanted).alias("cached_frame_count"))

@@ -91,3 +91,17 @@ def within_budget(inputs: DataFrame, file: str, order: str, most: int) -> DataFr
 
     room = files.mapInArrow(run, f"`{file}` {inputs.schema[file].dataType.simpleString()}, __room bigint")
     return ranked.join(room, file).where("__n <= __room AND ok").select(*inputs.columns)
+
+
+def frame_paths(samples: DataFrame, listed: DataFrame, rewrite: bool = False) -> DataFrame:
+    """(dir, paths, reused) of ``samples`` (dir, duration): the frames that ``listed`` (dir, names) has of a folder, in order of
+    their names, unless ``rewrite``; else the names that extraction gives, one for each frame of the whole video and one at
+    least. A duration of 0 or less has none (null). Folders that samples share are one row."""
+    from weftline.sources.readers import frame_names
+
+    one = samples.groupBy("dir").agg(F.max("duration").alias("duration"))
+    have = listed.select("dir", F.array_sort(F.filter("names", lambda n: F.endswith(n, F.lit(".jpg")))).alias("names"))
+    n = F.greatest(F.floor(F.col("duration") * fps(F.col("duration"))).cast("bigint"), F.lit(1))
+    reused = (F.coalesce(F.size("names"), F.lit(0)) > 0) & F.lit(not rewrite)
+    old = F.transform("names", lambda x: F.concat(F.col("dir"), F.lit("/"), x))
+    return one.join(have, "dir", "left").select("dir", F.when(F.col("duration") > 0, F.when(reused, old).otherwise(frame_names(F.col("dir"), n))).alias("paths"), (reused & (F.col("duration") > 0)).alias("reused"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftline.functions import messages as M
 from weftline.functions import paths as P
 from weftline.functions import text as X
+from weftline.functions import values as V
+from weftline.operators import convert
 from weftline.sources.views import FRAMES, TURNS, frames, table, turns
 
 QUERIES, SQL = {}, {}
@@ -179,7 +181,7 @@ def record_images(spark, d):
     image = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("data:image/png;base64,"), "text"))
     rows = F.array_sort(F.collect_list(F.struct("t", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(image, F.lit("-")).alias("image"))))
     g = turns(spark, d).groupBy("session").agg(rows.alias("rows"))
-    split = M.split_images(F.flatten(F.transform("rows", lambda r: F.array(r.text, r.image))))
+    split = M.marked(F.flatten(F.transform("rows", lambda r: F.array(r.text, r.image))))
     g = g.select("session", split.alias("s"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(2)), lambda i: F.concat(F.get("s", i)["text"], F.lit(">"), F.get("s", i + 1)["text"]))
     return g.select("session", F.array_join(pairs, "|").alias("record"), F.size(F.filter("s", lambda x: x.image.isNotNull())).cast("bigint").alias("n_images"))
@@ -200,3 +202,39 @@ def response_records(spark, d):
 
     o = outputs(spark, d).where("id % 5 IN (1, 2)").withColumn("payload", X.response_payload(X.normalise_output(F.col("raw")))).withColumn("asked", F.col("id") % 2 == 0)
     return o.where("payload IS NOT NULL AND asked").select("id", F.col("payload").isNotNull().alias("has_payload"), "asked")
+
+
+@query(f"""WITH {TURNS}, i AS (SELECT session, t, 'data:image/png;base64,' || repeat(md5(coalesce(text, '')), CASE WHEN t % 2 = 1 THEN 7 ELSE 3 END) AS image, 'data:image/jpeg;base64,' || repeat(md5(role), 9) AS other FROM turns)
+SELECT session, t, CASE WHEN t % 2 = 1 THEN '__image_0__' ELSE image END AS first, CASE WHEN t % 2 = 1 THEN '__image_1__' ELSE '__image_0__' END AS second, CASE WHEN t % 2 = 1 THEN image || ' ' || other ELSE other END AS images FROM i""")
+def nested_images(spark, d):
+    """Records with images at several depths: long ones leave numbered marks, depth-first."""
+    image = F.concat(F.lit("data:image/png;base64,"), F.repeat(F.md5(F.coalesce("text", F.lit(""))), F.when(F.col("t") % 2 == 1, 7).otherwise(3)))
+    other = F.concat(F.lit("data:image/jpeg;base64,"), F.repeat(F.md5("role"), 9))
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), F.struct(url.alias("url")).alias("image_url"))
+    none = F.lit(None).cast("string")
+    deep = F.struct(F.array(part("text", F.col("text"), none), part("image_url", none, image)).alias("content"))
+    record = F.to_json(F.struct(F.array(deep).alias("messages"), F.create_map(F.lit("last"), other).alias("extra")))
+    r = turns(spark, d).select("session", "t", M.without_images(record).alias("r"))
+    at = lambda path: F.get_json_object("r.record", path)
+    return r.select("session", "t", at("$.messages[0].content[1].image_url.url").alias("first"), at("$.extra.last").alias("second"), F.array_join("r.images.image", " ").alias("images"))
+
+
+@query(f"""WITH {FRAMES}, s AS (SELECT session, 20 + session * 37 % 400 AS dur FROM frames GROUP BY 1), n AS (SELECT *, CASE WHEN session % 3 = 0 THEN session % 5 ELSE 0 END AS have, dur * CASE WHEN dur >= 160 THEN 1 WHEN dur >= 64 THEN 2 ELSE 4 END AS made FROM s)
+SELECT 'v/' || session AS dir, have > 0 AS reused, CASE WHEN have > 0 THEN have ELSE made END AS n, 'v/' || session || '/' || CASE WHEN have > 0 THEN 'old_0.jpg' ELSE 'frame_000000.jpg' END AS first FROM n""")
+def frame_reuse(spark, d):
+    """Frames that a folder has are used again; others are named as extraction does."""
+    f = frames(spark, d).select("session").distinct()
+    place = F.concat(F.lit("v/"), F.col("session").cast("string"))
+    listed = f.where("session % 3 = 0 AND session % 5 > 0").select(place.alias("dir"), F.transform(F.sequence(F.lit(0), (F.col("session") % 5).cast("int")), lambda i: F.when(i < F.col("session") % 5, F.concat(F.lit("old_"), i.cast("string"), F.lit(".jpg"))).otherwise("note.txt")).alias("names"))
+    r = convert.frame_paths(f.select(place.alias("dir"), (F.col("session") * 37 % 400 + 20).alias("duration")), listed)
+    return r.select("dir", "reused", F.size("paths").cast("bigint").alias("n"), F.get("paths", F.lit(0)).alias("first"))
+
+
+@query(f"""WITH {FRAMES}, s AS (SELECT session, count(*) AS cached FROM frames GROUP BY 1), r AS (SELECT *, least(greatest(0.1, (session % 9)::DOUBLE * (session % 5)::DOUBLE * 4), 60.0)::DOUBLE AS rate, least(greatest(1, CASE WHEN session % 150 = 0 THEN 100 ELSE session % 150 END), 100) AS wanted FROM s)
+SELECT session, rate, round(1.0 / rate, 9)::DOUBLE AS interval_s, wanted::BIGINT AS wanted, least(cached, wanted)::BIGINT AS taken FROM r""")
+def sampling_records(spark, d):
+    """What the background service tells of its sampling."""
+    s = frames(spark, d).groupBy("session").agg(F.count("*").alias("cached"))
+    k = F.col("session")
+    r = s.select("session", V.background_config(F.lit(True), (k % 9).cast("double"), k % 5 * 4, k % 150, F.col("cached")).alias("r"))
+    return r.select("session", F.col("r.background_fps").alias("rate"), F.round("r.sample_interval_seconds", 9).alias("interval_s"), F.col("r.target_frame_count").alias("wanted"), F.col("r.cached_frame_count").alias("taken"))
