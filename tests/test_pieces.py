@@ -77,3 +77,23 @@ def test_no_times():
     assert busy.kept(None, *columns).tolist() == [False, True, True, True]
     nothing = pa.array([None, None], pa.int64()), pa.array([1, 1], pa.int64())
     assert busy.summary(*nothing) == [] and busy.leave([4], []) == [4] and busy.leave(None, []) is None
+
+
+def test_budget_over_many_files(spark, monkeypatch):
+    from weftline.operators import convert
+
+    r = np.random.default_rng(11)
+    files = [(f"f{i:06d}", r.integers(0, 9)) for i in range(100_000)]
+    ok = [r.random(n) < 0.001 for _, n in files]
+    for most in (0, 7, 300):
+        left, want = most, []
+        for (name, _), flags in zip(files, ok, strict=True):
+            taken = [(name, i) for i, x in enumerate(flags[:left]) if x]
+            left -= len(taken)
+            want += taken
+        if most == 7:  # small inputs, small pieces
+            monkeypatch.setattr(pieces, "PIECE", 10)
+        rows = [(name, i, bool(x)) for (name, _), flags in zip(files, ok, strict=True) for i, x in enumerate(flags)]
+        df = spark.createDataFrame(pa.table({"file": [x[0] for x in rows], "n": [x[1] for x in rows], "ok": [x[2] for x in rows]}))
+        assert sorted((x.file, x.n) for x in convert.within_budget(df, "file", "n", most).collect()) == want
+        assert len(want) == min(most, sum(int(x.sum()) for x in ok)) or left > 0

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import parse_times
+from weftline.operators import pieces
 
 MAX_DURATION = 320
 
@@ -72,25 +72,15 @@ def within_budget(inputs: DataFrame, file: str, order: str, most: int) -> DataFr
     """Rows with ``ok`` that a budget of ``most`` successes admits, files in order: each offers its first rows, as many
     as the budget has left, and its successes use it up.
 
-    How much is left for a file depends on all files before it, so one task walks over the files, a row of at most
-    ``most`` flags each; the rows themselves are numbered and taken in parallel.
+    How much is left for a file depends on all files before it. What a run of files leaves of any amount is a small table, so
+    runs are summed up apart and one light pass over the tables tells what enters each; no task walks over all files.
     """
     rank = F.row_number().over(Window.partitionBy(file).orderBy(order))
     ranked = inputs.withColumn("__n", rank).where(F.col("__n") <= most)
-    flags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.col("ok").cast("int").alias("ok")))), lambda r: r.ok), "")
-    files = ranked.groupBy(file).agg(flags.alias("__flags")).orderBy(file).coalesce(1)
-
-    def run(batches):
-        left = most
-        for batch in batches:
-            rooms = []
-            for offered in batch.column("__flags").to_pylist():
-                rooms.append(left)
-                left -= offered[:left].count("1")
-            yield pa.RecordBatch.from_arrays([batch.column(file), pa.array(rooms, pa.int64())], [file, "__room"])
-
-    room = files.mapInArrow(run, f"`{file}` {inputs.schema[file].dataType.simpleString()}, __room bigint")
-    return ranked.join(room, file).where("__n <= __room AND ok").select(*inputs.columns)
+    flags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.coalesce(F.col("ok").cast("int"), F.lit(0)).alias("ok")))), lambda r: r.ok), "")
+    files = ranked.groupBy(file).agg(flags.alias("__flags")).withColumn("__all", F.lit(0))
+    room = pieces.fold(files, "__all", [file], pieces.Budget("__flags", most), "__room")
+    return ranked.join(room.select(F.col(file).alias("__file"), "__room"), F.col(file).eqNullSafe(F.col("__file"))).where("__n <= __room AND ok").select(*inputs.columns)
 
 
 def frame_paths(samples: DataFrame, listed: DataFrame, rewrite: bool = False) -> DataFrame:

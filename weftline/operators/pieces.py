@@ -64,6 +64,41 @@ class Busy:
         return out
 
 
+class Budget:
+    """How much of a budget is left for each file: a file offers its first rows, as many as are left, and those that succeed use
+    it up. ``flags`` of a file are its first rows as text, 1 for a success.
+
+    The state is what is left. Of a piece, what leaves is known for each amount that may enter: a table of ``most`` + 1
+    numbers, which all files of the piece are taken through at once.
+    """
+
+    kind, made = "bigint", pa.int64()
+
+    def __init__(self, flags: str, most: int):
+        self.reads, self.most = [flags], most
+
+    def used(self, offered: str | None) -> np.ndarray:
+        """Successes among the first 0, 1, ... rows."""
+        return np.concatenate([[0], np.cumsum(np.frombuffer((offered or "").encode(), np.uint8) == ord("1"))])
+
+    def summary(self, flags: pa.Array) -> list[int]:
+        left = np.arange(self.most + 1)
+        for offered in flags.to_pylist():
+            used = self.used(offered)
+            left = left - used[np.minimum(left, len(used) - 1)]
+        return left.tolist()
+
+    def leave(self, state: list[int] | None, summary: list[int]) -> list[int]:
+        return [summary[self.most if state is None else state[0]]]
+
+    def kept(self, state: list[int] | None, flags: pa.Array) -> np.ndarray:
+        left, out = self.most if state is None else state[0], []
+        for offered in flags.to_pylist():
+            out.append(left)
+            left -= (offered or "")[:left].count("1")
+        return np.array(out, np.int64)
+
+
 class Late:
     """A frame is kept if it is at most ``most`` later than the clock, which the first frame starts; the frame after more
     than ``after`` late ones in a row starts it anew and is kept. A frame without a time or an arrival has no delay.
@@ -194,7 +229,7 @@ def entered(pieces: DataFrame, rule) -> DataFrame:
 
 
 def fold(df: DataFrame, key: str, order: list[str], rule, to: str = "kept") -> DataFrame:
-    """Adds boolean ``to``, the rule's choice; an existing column of that name is replaced. ``order`` has to settle the order
+    """Adds ``to``, the rule's choice (boolean unless the rule says otherwise); an existing column of that name is replaced. ``order`` has to settle the order
     within a session, as equal rows may be dealt to either side of a boundary. Rows with a null key are one session.
     An empty table gives no rows. The pieces are written once to the shared folder."""
     spark, kept = df.sparkSession, df.select(*(c for c in df.columns if c != to))
@@ -210,6 +245,6 @@ def fold(df: DataFrame, key: str, order: list[str], rule, to: str = "kept") -> D
                 columns = rows.flatten()
                 names = [f.name for f in rows.type]
                 found = rule.kept(batch.column("state")[i].as_py(), *(columns[names.index(c)] for c in rule.reads))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.bool_())], [*names, to])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, getattr(rule, "made", pa.bool_()))], [*names, to])
 
-    return pieces.select("piece", "rows").join(entered(pieces, rule), "piece").select("rows", "state").mapInArrow(run, f"{own}, `{to}` boolean")
+    return pieces.select("piece", "rows").join(entered(pieces, rule), "piece").select("rows", "state").mapInArrow(run, f"{own}, `{to}` {getattr(rule, 'kind', 'boolean')}")
