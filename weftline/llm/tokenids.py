@@ -62,9 +62,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class Words(dict):
     """The tokenizer of a file, once in each Python worker: the ids of chunks between ASCII white space, which no token spans.
 
-    It holds what it has met, up to ``KEPT`` bytes; when full it keeps what it met first, as frequent chunks come early. New chunks of ASCII and Latin-1 letters, for
-    which the file's normaliser only lower-cases, are cut by its own pattern and merged by its own model; all others, and
-    all chunks of files with another normaliser or pattern, go through the library's whole pipeline.
+    It holds what it has met, up to ``KEPT`` bytes; when full it keeps what it met first, as frequent chunks come early. New
+    chunks of ASCII and Latin-1 letters, for which the file's normaliser only lower-cases, are cut by its own pattern and
+    merged by its own model; all others, and all chunks of files with another normaliser or pattern, go through the
+    library's whole pipeline.
     """
 
     KEPT, SHORT, ENTRY = 240_000_000, 40, 150
