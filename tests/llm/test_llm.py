@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -458,6 +459,61 @@ def test_kneser_ney_against_recursion():
     assert toxicity.Model([], np.zeros((0, 2))).spelled([b"x"]).tolist() == [0.0] and model.spelled([]).tolist() == []
 
 
+def test_toxicity_counts_and_word_models_against_dictionaries(spark):
+    """Counts by fold and class, words stood behind, and ratios by recursion over plain dictionaries."""
+    r = np.random.default_rng(9)
+    rows = [(i, " ".join(r.choice(WORDS[:40], int(r.integers(0, 30)))), int(i % 3 == 0), int(r.integers(0, 3))) for i in range(90)]
+    rows += [(90, "", 1, 0), (91, "One, one; ONE", 0, 2), (91, "One, one; ONE", 0, 2)]
+    words, times, before = toxicity.counted(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, fold int"))
+    split = [(toxicity.tokens(t), c, f) for _, t, c, f in rows]
+    want = Counter((w, f, c) for t, c, f in split for w in t)
+    assert words == sorted({w for t, _, _ in split for w in t})
+    assert all(times[i, f, c] == want[w, f, c] for i, w in enumerate(words) for f in range(3) for c in (0, 1))
+    for k in range(4):
+        pairs = {(b, w) for t, _, f in split if f != k for b, w in zip([b"", *t], t, strict=False)}
+        assert before[:, k].tolist() == [sum(w == x for _, x in pairs) for w in words]
+
+    table, total = times.sum(1), before[:, 3].sum()
+    model, spelt = toxicity.Words(words, table, before[:, 3]), toxicity.Model(words, table)
+    logs = {}
+    for c in (0, 1):
+        own = [int(x) for x in table[:, c]]
+        one, two = own.count(1), own.count(2)
+        off = one / (one + 2 * two) if one and two else 0.75
+        for w, n, b in zip(words, own, before[:, 3], strict=True):
+            tilt = math.exp((c - 0.5) * toxicity.TEMPER * spelt.spelled([w])[0])
+            logs[w, c] = math.log((max(n - off, 0) + off * sum(x > 0 for x in own) * b / total * tilt) / sum(own))
+    ratio = {w: logs[w, 1] - logs[w, 0] for w in words}
+    assert model.ratio == pytest.approx(ratio)
+    ratio[b"w7x"] = toxicity.TEMPER * spelt.spelled([b"w7x"])[0]
+    for text in ("", "w3", "w7x", "w1 w2 w7x", " ".join([*WORDS[:20], "w7x", "w3"])):
+        v = [ratio[w] for w in toxicity.tokens(text)]
+        known, new = [[ratio[w] for w in toxicity.tokens(text) if (w == b"w7x") == x] for x in (False, True)]
+        passages = [v[i : i + toxicity.PASSAGE] for i in range(max(1, len(v) - toxicity.PASSAGE + 1))]
+        worst = sorted(v)[-toxicity.WORST :]
+        features = [sum(v) / len(v), max(sum(q) / len(q) for q in passages), max(known, default=0), max(new, default=0), sum(worst) / len(worst)] if v else [0] * 5
+        assert model.describe(text).tolist() == pytest.approx([1, *features])
+    nothing = toxicity.Words([], np.zeros((0, 2)), np.zeros(0))
+    assert nothing.describe("any word").tolist() == [1, 0, 0, 0, 0, 0]
+
+
+def test_toxicity_catches_known_words_and_new_forms_of_known_stems(spark):
+    """Common insults among long ordinary texts, and forms of a stem of which each is rare."""
+    r = np.random.default_rng(14)
+    ends = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    rows, marks = [], []
+    for i in range(1200):
+        w = list(r.choice(WORDS, 120))
+        if i % 8 == 0:
+            w[int(r.integers(120))] = "insult" if i % 16 else "vequ" + str(r.choice(ends))
+            w[int(r.integers(120))] = "moronic" if i % 16 else "vequ" + str(r.choice(ends))
+        rows.append((i, " ".join(w), None, None, None, None))
+        marks.append((i, int(i % 8 == 0)))
+    got = toxicity.score_documents(docs(spark, rows), spark.createDataFrame(marks, "doc_id bigint, toxic int")).where("held_out").collect()
+    caught = [x.predicted for x in got if x.doc_id % 8 == 0]
+    assert np.mean(caught) >= 0.9 and np.mean([x.predicted for x in got if x.doc_id % 8]) < 0.03
+
+
 def test_toxicity_word_table_is_bounded(monkeypatch):
     monkeypatch.setattr(toxicity, "KEPT", 3)
     monkeypatch.setattr(toxicity, "SHORT", 4)

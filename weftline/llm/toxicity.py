@@ -1,27 +1,32 @@
-"""Toxicity by class-conditional Kneser-Ney models of spelling.
-
-An expression is a word, spelled with marks at its ends. Two models, of toxic and of ordinary text, count its n-grams of
-``ORDER`` bytes by token, each in its own class, and discount them absolutely; what they take off backs off to counts
-that both classes share, the Kneser-Ney continuation counts of all shorter n-grams. So a rare form of a known stem is
-read by its stem, and one that neither class knows says nothing. Texts are compared by the length-normalised difference
-of their two log-likelihoods: a word over its whole text, over its most toxic passage and in its most toxic word. These
-three are calibrated to a probability on sampled rows that the models have not seen.
+"""Toxicity by class-conditional Kneser-Ney models of words, with spelling behind them.
+
+Two models, of toxic and of ordinary text, count words by token, each in its own class, and discount the counts
+absolutely. What they take off backs off to counts that both classes share: Kneser-Ney continuation counts, before how
+many different words a word stands behind. A rare word is tilted there by its spelling, and a word that neither class knows
+is read by its spelling alone: a second pair of models over n-grams of ``ORDER`` bytes, with marks at the ends of words and
+shared continuation counts of all shorter n-grams below, so that a new form of a known stem is read by its stem, and one
+of no known stem says nothing. Texts are compared by the length-normalised difference of their two log-likelihoods: over
+the whole text, over its most toxic passage and its three most toxic words, in its most toxic known and new word. These are
+calibrated to a probability on sampled rows that the models have not seen.
 """
 
 from __future__ import annotations
 
 import string
 from collections import Counter
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, doc_crc, one_row_each, small_batches
+from weftline.llm.common import bounded_sample, doc_crc, one_row_each, small_batches, written
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 4000
-ORDER, FOLDS, PASSAGE = 6, 3, 8
+ORDER, FOLDS, PASSAGE, WORST = 6, 3, 8, 3
+TEMPER = 0.5  # how much of a spelling's log ratio counts: n-grams of one word repeat each other
 KEPT, SHORT = 200_000, 64  # words whose ratio a worker remembers, and the bytes of one at most
 BLANK = bytes(32 if i < 32 or chr(i) in string.punctuation else i for i in range(256))
 START, END = 1, 2  # no word holds these bytes
@@ -116,15 +121,41 @@ class Model:
         known = self.known if all(len(w) <= SHORT for w in found) else self.known | found
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
+
+class Words:
+    """Log-likelihood ratios of words: class counts first, shared continuation counts tilted by spelling next, spelling
+    alone for a word of neither class."""
+
+    def __init__(self, words: list[bytes], times: np.ndarray, before: np.ndarray):
+        """``times``: for each word a row of its counts in ordinary and in toxic texts; ``before``: behind how many
+        different words (a text's start is one) it stands."""
+        self.spelling = Model(words, times)
+        tilt = TEMPER * self.spelling.spelled(words)
+        share = np.log(before / max(before.sum(), 1)) if len(words) else np.zeros(0)
+        logs = []
+        for label in (0, 1):
+            n = times[:, label]
+            off, total = discount(n), max(n.sum(), 1)
+            left = off * np.count_nonzero(n) / total if n.any() else 1.0
+            with np.errstate(divide="ignore"):
+                logs.append(np.logaddexp(np.log(np.maximum(n - off, 0) / total), np.log(left) + share + (label - 0.5) * tilt))
+        self.ratio = dict(zip(words, (logs[1] - logs[0]).tolist(), strict=True))
+
     def describe(self, text: str) -> np.ndarray:
-        """1, then the length-normalised ratio: of the whole text, of its most toxic passage of ``PASSAGE`` words and of
-        its most toxic word; a shorter text is its own passage, one without words is all 0."""
-        r = self.ratios(tokens(text))
-        if not len(r):
-            return np.array([1.0, 0.0, 0.0, 0.0])
+        """1, then the length-normalised ratio: of the whole text, of its most toxic passage of ``PASSAGE`` words, of its most
+        toxic word of those known and of those new, and of its ``WORST`` most toxic words. A text of fewer words is its
+        own passage, a kind of word that it lacks counts 0, and one without words is all 0."""
+        words = tokens(text)
+        if not words:
+            return np.array([1.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+        r = np.fromiter((self.ratio.get(w, np.nan) for w in words), np.float64, len(words))
+        new = np.isnan(r)
+        at = np.flatnonzero(new)
+        r[at] = TEMPER * self.spelling.ratios([words[i] for i in at])
         sums = np.concatenate([[0.0], np.cumsum(r)])
-        worst = (sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE if len(r) > PASSAGE else r.mean()
-        return np.array([1.0, r.mean(), worst, r.max()])
+        passage = (sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE if len(r) > PASSAGE else r.mean()
+        worst = np.partition(r, len(r) - WORST)[-WORST:] if len(r) > WORST else r
+        return np.array([1.0, r.mean(), passage, r[~new].max() if not new.all() else 0.0, r[at].max() if len(at) else 0.0, worst.mean()])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -139,41 +170,72 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def counted(texts: list[str], toxic: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The words of ``texts`` and for each a row of its token counts in ordinary and in toxic ones."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label in zip(texts, toxic, strict=True):
-        counts[int(label)].update(tokens(text))
-    words = sorted(counts[0].keys() | counts[1].keys())
-    return words, np.array([[c[w] for c in counts] for w in words], float).reshape(-1, 2)
+def counted(sample: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of ``sample`` (text, toxic, fold) in order, and for each its counts (fold, class) and behind how many
+    different words it stands: in all folds but each, then in all. Texts are cut in tasks and counted on Spark; the driver
+    gets a row a word."""
+    cells = [(f, c) for f in range(FOLDS) for c in (0, 1)]
 
+    def run(batches):
+        for batch in small_batches(batches, 256):
+            n: Counter = Counter()
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                words = tokens(text)
+                n.update(zip([b"", *words], words, [fold * 2 + int(toxic)] * len(words), strict=False))
+            before, word, cell = zip(*n, strict=True) if n else ((), (), ())
+            columns = pa.array(before, pa.binary()), pa.array(word, pa.binary()), pa.array(cell, pa.int32()), pa.array(n.values(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns], ["before", "word", "cell", "n"])
+
+    pairs = sample.select("text", "toxic", "fold").mapInArrow(run, "before binary, word binary, cell int, n bigint")
+    pairs = pairs.groupBy("before", "word").agg(*(F.sum(F.when(F.col("cell") == f * 2 + c, F.col("n")).otherwise(0)).alias(f"n{f}{c}") for f, c in cells))
+    others = [[f for f in range(FOLDS) if f != k] for k in range(FOLDS)] + [list(range(FOLDS))]
+    behind = [F.count_if(reduce(add, (F.col(f"n{f}{c}") for f in folds for c in (0, 1))) > 0).alias(f"b{k}") for k, folds in enumerate(others)]
+    rows = pairs.groupBy("word").agg(*(F.sum(f"n{f}{c}").alias(f"n{f}{c}") for f, c in cells), *behind).toArrow().sort_by("word")
+    times = np.stack([rows.column(f"n{f}{c}").to_numpy() for f, c in cells], 1).astype(float).reshape(-1, FOLDS, 2)
+    before = np.stack([rows.column(f"b{k}").to_numpy() for k in range(FOLDS + 1)], 1).astype(float)
+    return rows.column("word").to_pylist(), times, before
+
+
+def described(sample: DataFrame, models: list[Words]) -> list[tuple[str, int, list[float]]]:
+    """(id as text, label, description) of each row of ``sample`` by the model that has not seen its fold, in order."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for batch in small_batches(batches, 256):
+            x = [shared.value[f].describe(t).tolist() for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["id", "toxic", "x"])
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> tuple[Model, np.ndarray] | None:
+    rows = sample.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("toxic"), "text", "fold")
+    found = sorted((r.id, r.toxic, list(r.x)) for r in rows.mapInArrow(run, "id string, toxic int, x array<double>").collect())
+    shared.unpersist()
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> tuple[Words, np.ndarray] | None:
     """Learns from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) marks: at most
     ``TOXIC_SAMPLE`` toxic and ``ORDINARY_SAMPLE`` other ids, weighted to the shares of all labels, one row an id however
-    often it is repeated. The calibration sees each row by a model of the other folds. None without labels of either
-    kind."""
+    often it is repeated. The calibration sees each row by a model of the other folds; equal texts share a fold. The driver
+    gets counts of words and descriptions, no text. None without labelled rows of either kind."""
     labels = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(share) < 2:
         return None
     picked = bounded_sample(labels.where("toxic = 1"), TOXIC_SAMPLE, seed).unionByName(bounded_sample(labels.where("toxic = 0"), ORDINARY_SAMPLE, seed))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = sorted((str(r.doc_id), r.text, r.toxic) for r in one_row_each(rows).collect())
-    if len({r[2] for r in rows}) < 2:
-        return None
-    texts, y = [r[1] for r in rows], np.array([r[2] for r in rows], float)
-    del rows
-    fold = np.random.default_rng(seed).permutation(len(texts)) % FOLDS
+    sample = written(one_row_each(rows).withColumn("fold", F.expr(f"int(pmod(xxhash64(text, {seed}), {FOLDS}))")), "toxic-sample")
+    words, times, before = counted(sample)
+
+    def model(folds: list[int], column: int) -> Words:
+        kept = np.flatnonzero(before[:, column] > 0)
+        return Words([words[i] for i in kept], times[kept][:, folds].sum(1), before[kept, column])
+
+    found = described(sample, [model([f for f in range(FOLDS) if f != k], k) for k in range(FOLDS)])
+    y = np.array([r[1] for r in found], float)
     n = np.bincount(y.astype(int), minlength=2)
+    if not n.all():
+        return None
     weight = np.where(y == 1, share[1] / n[1], share[0] / n[0]) * len(y) / (share[0] + share[1])
-    x = np.zeros((len(texts), 4))
-    for k in range(FOLDS):
-        seen = np.flatnonzero(fold != k)
-        model = Model(*counted([texts[i] for i in seen], y[seen]))
-        for i in np.flatnonzero(fold == k):
-            x[i] = model.describe(texts[i])
-    return Model(*counted(texts, y)), logistic(x, y, weight)
+    return model(list(range(FOLDS)), FOLDS), logistic(np.array([r[2] for r in found]), y, weight)
 
 
 def score(docs: DataFrame, fitted) -> DataFrame:
