@@ -856,3 +856,35 @@ def test_pipeline_stages_take_nulls_repeats_and_other_columns(spark):
             assert out.columns == df.columns
         if name in ("secret_scan", "byte_bpe"):
             assert len(rows_out) == len(rows)
+
+
+@pytest.mark.parametrize("blocks", [4, 0])
+def test_embeddings_lose_no_links_in_a_crowd(spark, monkeypatch, blocks):
+    """Vectors around one direction at cosine 0.88 to each other, some with a partner at 0.952, beside lone ones, against all
+    pairs: blocks of a crowd give every link, passes less the centre at least 0.95 of them."""
+    monkeypatch.setattr(embeddings, "CROWD_BLOCK", 900)
+    monkeypatch.setattr(embeddings, "CROWD_BLOCKS", blocks)
+    r = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    off = lambda x, to: unit(x - (x * to).sum(-1, keepdims=True) * to)
+    middle = unit(r.standard_normal(64))
+    v = math.sqrt(0.88) * middle + math.sqrt(0.12) * off(r.standard_normal((2500, 64)), middle)
+    v = np.vstack([v, 0.952 * v[:500] + math.sqrt(1 - 0.952**2) * off(r.standard_normal((500, 64)), v[:500]), unit(r.standard_normal((200, 64)))])
+    near = unit(v) @ unit(v).T >= 0.95
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(5000, v[0, :32].tolist()), (5001, None), (5002, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {x.vec_id: x for x in embeddings.near_duplicates(df, width=16, passes=4).collect()}
+    assert len(got) == len(rows) and all(got[i].n_links == 0 for i in (5000, 5001, 5002))
+    label = embeddings.united(len(v), *np.nonzero(near))
+    assert (embeddings.joined_by_all(unit(v), 0.95) == label).all()
+    right = np.mean([got[i].component_id == label[i] and got[i].n_links == near[i].sum() - 1 for i in range(len(v)) if label[i] != i])
+    assert right == 1 if blocks else right >= 0.95
+    assert all(got[i].n_links < near[i].sum() for i in range(len(v)))
+
+
+def test_crowds_of_nothing_and_of_lone_vectors(spark):
+    v = np.random.default_rng(2).standard_normal((300, 64))
+    nodes = spark.createDataFrame([(bytes([i % 256, i // 256]), i, x.tobytes()) for i, x in enumerate(v)], "digest binary, node bigint, raw binary")
+    assert embeddings.crowds(nodes, np.float64, 300, 1) == []
+    assert embeddings.crowds(nodes.limit(0), np.float64, 0, 1) == []
+    assert embeddings.crowded_pairs(nodes, np.float64, 0.95, 300, 16, 1) is None
