@@ -184,6 +184,15 @@ def test_speech(spark):
     assert [tuple(c) for c in config] == [("", "alto", "output format"), ("glad", "alto", "output format")]
 
 
+def test_speech_reads_a_text_once(spark):
+    text = "".join(f"w{i}  \t" for i in range(900)) + "😀é\n" * 99
+    said = " ".join(text.split())[:2000]
+    assert column(spark, [text, "", None, "😀" * 13], X.speech_parts) == [[said[i : i + 12] for i in range(0, len(said), 12)], [], None, ["😀" * 12, "😀"]]
+    for made in (X.speech_parts, audio.speech_messages):  # not once for each part
+        plan = spark.createDataFrame([("a",)], "x string").select(made(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(") == 1
+
+
 def test_settings(spark):
     assert column(spark, [None, "x", "-5", "100", "900", "9999"], lambda x: values.long_edge(x, 640)) == [640, 640, 0, 256, 900, 2048]
     assert column(spark, [None, "x", "0", "7", "900"], lambda x: values.frame_limit(x, 30)) == [None, None, 30, 7, 100]

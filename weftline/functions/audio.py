@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import speech_parts
+from weftline.functions.text import let, speech_parts
 
 
 def _int32(x: Column) -> Column:
@@ -91,6 +91,9 @@ def read_asr(message: Column) -> Column:
 
 def speech_messages(text: Column) -> Column:
     """struct(kind, text) in order: the parts of a text to append, then the commit; an error where nothing is said."""
-    parts = speech_parts(text)
-    end = F.struct(F.when(F.size(parts) == 0, "error").otherwise("commit").alias("kind"), F.lit(None).cast("string").alias("text"))
-    return F.concat(F.transform(parts, lambda p: F.struct(F.lit("append").alias("kind"), p.alias("text"))), F.array(end))
+
+    def made(parts):
+        end = F.struct(F.when(F.size(parts) == 0, "error").otherwise("commit").alias("kind"), F.lit(None).cast("string").alias("text"))
+        return F.concat(F.transform(parts, lambda p: F.struct(F.lit("append").alias("kind"), p.alias("text"))), F.array(end))
+
+    return let(speech_parts(text), made)
