@@ -175,6 +175,12 @@ def test_solver_and_recogniser_slots(spark):
     assert column(spark, rows, lambda x: slots.transcribed(x, 8000, lambda xs, rate: [f"{len(x)}@{rate}" for x in xs]), "binary") == ["2@8000", None, None, None]
 
 
+def test_solver_reads_an_answer_once(spark):
+    made = spark.createDataFrame([("a",)], "x string").select(slots.solved(F.col("x"), lambda qs: qs).alias("y"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert [plan.count(x) for x in ("from_json", "regexp_instr(", "<summary")] == [1, 4, 3]  # not once for each field and step
+
+
 def test_speech(spark):
     got = column(spark, [None, "  ", "hello  world, hello"], audio.speech_messages)
     assert [[tuple(m) for m in g or ()] for g in got] == [[], [("error", None)], [("append", "hello world,"), ("append", " hello"), ("commit", None)]]

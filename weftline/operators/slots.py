@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import background_result
+from weftline.functions.text import background_result, let
 
 Model = Callable[[list[str]], list[str]]
 
@@ -76,8 +76,8 @@ def solved(question: Column, model: Model) -> Column:
     error); an answer that is no JSON is its text. Null questions are not sent and are null."""
 
     def read(answer):
-        r = F.from_json(answer, "status string, text string, summary_text string, error string")
-        plain = F.try_parse_json(answer).isNull()
-        return F.when(answer.isNotNull(), background_result(r["status"], r["error"], F.when(plain, answer).otherwise(r["text"]), r["summary_text"]))
+        said = lambda r: F.when(F.try_parse_json(answer).isNull(), answer).otherwise(r["text"])
+        result = lambda r: background_result(r["status"], r["error"], said(r), r["summary_text"])
+        return F.when(answer.isNotNull(), let(F.from_json(answer, "status string, text string, summary_text string, error string"), result))
 
-    return read(asked(question, model))
+    return let(asked(question, model), read)
