@@ -181,6 +181,16 @@ def test_solver_reads_an_answer_once(spark):
     assert [plan.count(x) for x in ("from_json", "regexp_instr(", "<summary")] == [1, 4, 3]  # not once for each field and step
 
 
+def test_payload_reads_an_output_once(spark):
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10FFFF)]))
+    assert column(spark, [every], lambda x: F.regexp_replace(x, f"(?:(?!{X.WS})[\\s\\S])+", "")) == ["".join(sorted(X.BLANKS))]
+    texts = ["\u3000a b\x85", "\r\r\n \x1c", "", None, "x" + " " * 200_000 + "y"]  # a long run of blanks within took minutes
+    assert column(spark, texts, X.bare) == ["a b", "", "", None, texts[-1]]
+    assert column(spark, [f"{X.RESPONSE}\r {t}" for t in ("a\rb", " ", texts[-1])], lambda x: X.response_payload(X.normalise_output(x))) == ["a", None, "x y"]
+    plan = spark.createDataFrame([("a",)], "x string").select(X.response_payload(X.normalise_output(F.col("x"))).alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 1
+
+
 def test_speech(spark):
     got = column(spark, [None, "  ", "hello  world, hello"], audio.speech_messages)
     assert [[tuple(m) for m in g or ()] for g in got] == [[], [("error", None)], [("append", "hello world,"), ("append", " hello"), ("commit", None)]]
