@@ -2,8 +2,10 @@
 
 import os
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 
 from weftline.functions import audio
 from weftline.sinks import files
@@ -39,6 +41,43 @@ def test_streams_equal_sorted_rows(spark, tmp_path, rule):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 5
 
 
+class Held:
+    """A state without Spark that counts what it is given."""
+
+    def __init__(self):
+        self.values, self.calls = [], 0
+
+    def exists(self):
+        return bool(self.values)
+
+    def get(self):
+        return iter(self.values)
+
+    def appendValue(self, v):
+        self.values, self.calls = [*self.values, v], self.calls + 1
+
+    def put(self, v):
+        self.values = list(v)
+
+    def clear(self):
+        self.values = []
+
+
+def test_rows_wait_as_one_value_a_batch():
+    rule = timers.Ends(5_000, 1_000_000)
+    own = timers.InOrder(rule)
+    own.waiting, one = Held(), Held()
+    own.handle = SimpleNamespace(registerTimer=lambda at: None)
+    own.held = SimpleNamespace(exists=one.exists, get=lambda: one.values[0], update=lambda v: one.put([v]), clear=one.clear)
+    rows = [(us, i, "view") for i, us in enumerate(range(0, 400_000, 4_000))]
+    for part in (rows[1::2], rows[::2]):
+        assert list(own.handleInputRows((7,), iter([Row(us=u, event_id=i, kind=k) for u, i, k in part]), None)) == []
+    assert own.waiting.calls == 2  # was a value a row
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert list(own.handleExpiredTimer((7,), clock(200), None)) == [] and len(own.waiting.values) == 1
+    assert [tuple(r) for r in own.handleExpiredTimer((7,), clock(10_000), None)] == [(7, *x) for x in timers.drained(rule, None, rows, None)[1]]
+
+
 def test_edges_of_time():
     ends = timers.Ends(10, 25)
     assert timers.drained(ends, None, [(0, 1, "a"), (10, 2, "a"), (21, 3, "a")], None)[1] == [("idle", 20, 2)]
