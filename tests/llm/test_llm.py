@@ -882,6 +882,31 @@ def test_embeddings_lose_no_links_in_a_crowd(spark, monkeypatch, blocks):
     assert all(got[i].n_links < near[i].sum() for i in range(len(v)))
 
 
+def test_a_crowd_of_any_size_has_all_pairs_compared(spark, monkeypatch):
+    """Two tight groups within one crowd, whose mean cosine says nothing of either: the same links, and all, at each size of
+    blocks, as no passes are made in a crowd however many blocks it has."""
+    r = np.random.default_rng(31)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    off = lambda x, to: unit(x - (x * to).sum(-1, keepdims=True) * to)
+    one = unit(r.standard_normal(64))
+    two = 0.75 * one + math.sqrt(1 - 0.75**2) * off(r.standard_normal(64), one)
+    v = np.vstack([math.sqrt(0.9) * c + math.sqrt(0.1) * off(r.standard_normal((500, 64)), c) for c in (one, two)])
+    v = np.vstack([v, 0.952 * v[:300] + math.sqrt(1 - 0.952**2) * off(r.standard_normal((300, 64)), v[:300])])
+    nodes = spark.createDataFrame([(bytes([i % 256, i // 256]), i, x.tobytes()) for i, x in enumerate(v)], "digest binary, node bigint, raw binary")
+    known = embeddings.crowds(nodes, np.float64, len(v), 1)
+    crowd = {x.node: x.crowd for x in embeddings.crowd_of(nodes, np.float64, known).collect()}
+    i, j = np.nonzero(unit(v) @ unit(v).T >= 0.95)
+    same = np.array([crowd.get(a, -1) == crowd.get(b, -2) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    want = embeddings.united(len(v), i[same], j[same])
+    monkeypatch.setattr(embeddings, "linked_pairs", None)  # larger crowds rested on passes, which may miss a link
+    for rows, blocks, wide in ((100, 2, 1), (100, 2, 4), (100, 50, 4)):
+        monkeypatch.setattr(embeddings, "CROWD_BLOCK", rows)
+        monkeypatch.setattr(embeddings, "CROWD_BLOCKS", blocks)
+        monkeypatch.setattr(embeddings, "WIDE", wide)
+        pairs = np.array(embeddings.crowded_pairs(nodes, np.float64, 0.95, len(v), 2, 1).collect(), np.int64)
+        assert (embeddings.united(len(v), *pairs.T) == want).all() and (want != np.arange(len(v))).sum() > 250
+
+
 def test_crowds_of_nothing_and_of_lone_vectors(spark):
     v = np.random.default_rng(2).standard_normal((300, 64))
     nodes = spark.createDataFrame([(bytes([i % 256, i // 256]), i, x.tobytes()) for i, x in enumerate(v)], "digest binary, node bigint, raw binary")
