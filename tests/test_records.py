@@ -98,6 +98,23 @@ def test_converted_files_are_left_alone(spark, tmp_path):
     assert read() == [("a", 1), ("b", 4)]
 
 
+def test_large_arrays_are_written_in_pieces(spark, tmp_path):
+    samples = spark.createDataFrame([(f"{i % 2}.json", 500 - i, i, "x" * 300) for i in range(200)], "rel_path string, ord int, n int, text string")
+    few, many = tmp_path / "few", tmp_path / "many"
+    files.write_arrays(samples, str(few))
+    files.write_arrays(samples, str(many), 5000)
+    for k in (0, 1):
+        want = [{"n": i, "text": "x" * 300} for i in reversed(range(200)) if i % 2 == k]
+        (whole,) = (few / f"rel_path={k}.json" / "piece=0").glob("*.txt")
+        assert json.loads(whole.read_text()) == want
+        assert whole.read_text().strip() == samples.where(f"n % 2 = {k}").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("n", "text").alias("r")))), lambda x: x.r), {"pretty": "true"})).first()[0]
+        pieces = sorted((many / f"rel_path={k}.json").glob("piece=*"), key=lambda p: int(p.name[6:]))
+        parts = [f.read_text() for p in pieces for f in p.glob("*.txt")]
+        assert len(parts) == len(pieces) > 5 and max(map(len, parts)) < 6000  # an input file was one value and one file, whatever its size
+        assert [x for part in parts for x in json.loads(part)] == want
+    assert spark.read.schema("n int").option("multiLine", True).json(str(many)).count() == 200
+
+
 def test_budget_against_a_loop(spark):
     rows = [(i % 3, i, i * 7 % 5 != 0) for i in range(40)]
     df = spark.createDataFrame(rows, "file bigint, n bigint, ok boolean")

@@ -6,9 +6,11 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+PIECE = 1 << 24  # characters of one JSON array
+
 
 @functools.cache
 def _own_folder(application: str) -> str:
@@ -45,13 +47,22 @@ def write_converted(samples: DataFrame, out: str, rewrite: bool = False) -> None
     writer.option("partitionOverwriteMode", "dynamic").json(out)
 
 
-def write_arrays(samples: DataFrame, out: str) -> None:
-    """One file for each input file (column ``rel_path``): its samples as one JSON array in the order of column ``ord``. An
-    input file's samples are one value, as its output is one document; a file without samples is not written."""
-    columns = [c for c in samples.columns if c not in ("rel_path", "ord")]
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*columns).alias("r"))), lambda a, b: F.when(a.ord < b.ord, -1).when(a.ord > b.ord, 1).otherwise(0)), lambda x: x.r)
-    text = samples.groupBy("rel_path").agg(F.to_json(rows, {"pretty": "true"}).alias("value"))
-    text.repartition("rel_path").write.partitionBy("rel_path").text(out)
+def write_arrays(samples: DataFrame, out: str, most: int = PIECE) -> None:
+    """A folder for each input file (column ``rel_path``) with its samples in the order of column ``ord`` as JSON arrays of about
+    ``most`` characters, in folders ``piece=0`` on: one array for an input file of up to that, more for a larger one, so that
+    no task writes or reads a large file alone. An input file without samples is not written. Only the lengths of an input file's samples are
+    summed up in one task; samples are written aside first, as they are read twice."""
+    spark, columns = samples.sparkSession, [c for c in samples.columns if c not in ("rel_path", "ord")]
+    aside = shared(spark, "samples")
+    text = F.to_json(F.struct(*columns), {"pretty": "true"})
+    samples.select("rel_path", "ord", text.alias("text"), F.monotonically_increasing_id().alias("row")).write.parquet(aside)
+    made = spark.read.parquet(aside)
+    w = Window.partitionBy("rel_path").orderBy("ord", "row").rowsBetween(Window.unboundedPreceding, 0)
+    lengths = made.select("rel_path", "ord", "row", F.length("text").cast("bigint").alias("n"))
+    piece = lengths.withColumn("upto", F.sum("n").over(w)).select("row", F.floor((F.col("upto") - F.col("n")) / most).alias("piece"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", "row", "text"))), lambda x: x.text)
+    arrays = made.join(piece, "row").groupBy("rel_path", "piece").agg(F.concat(F.lit("[ "), F.array_join(rows, ", "), F.lit(" ]")).alias("value"))
+    arrays.write.partitionBy("rel_path", "piece").option("maxRecordsPerFile", 1).text(out)
 
 
 def session_records(turns: DataFrame, light: bool = False) -> DataFrame:
