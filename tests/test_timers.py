@@ -1,6 +1,7 @@
 """Rules with clocks: streams in any cut and with mixed rows give what the rule gives on sorted rows."""
 
 import os
+import pickle
 import random
 from types import SimpleNamespace
 
@@ -78,6 +79,28 @@ def test_rows_wait_as_one_value_a_batch():
     assert [tuple(r) for r in own.handleExpiredTimer((7,), clock(10_000), None)] == [(7, *x) for x in timers.drained(rule, None, rows, None)[1]]
 
 
+def test_rows_come_packed_one_value_a_session(spark):
+    rows = [(None if i % 5 == 0 else i % 5, i, 7_000_000 - i, None if i % 7 == 0 else "view") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = timers.packed(df, "kind string").collect()
+    assert sorted(r.session or 0 for r in got) == [0, 1, 2, 3, 4]  # was a row of the stateful step for each of 2,000
+    for r in got:
+        want = sorted((us, i, kind) for session, i, us, kind in rows if session == r.session)
+        assert sorted(pickle.loads(bytes(r.packed)), key=lambda x: x[:2]) == want and r.ts.microsecond == want[-1][0] % 1_000_000
+    assert sum(len(pickle.loads(bytes(r.packed))) for r in timers.packed(df, "kind string", 100).collect()) == 2000
+    assert timers.packed(df.limit(0), "kind string").count() == 0
+
+
+def test_packed_rows_that_the_watermark_has_passed_are_lost():
+    own = timers.InOrderPacked(timers.Ends(5_000, 1_000_000))
+    own.waiting, own.handle = Held(), SimpleNamespace(registerTimer=lambda at: None)
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 3)
+    come = [[(2_999, 1, "view"), (3_000, 2, "view")], [(4_000, 3, "view")], [(10, 4, "view")]]
+    for part in (come[:2], come[2:]):
+        assert list(own.handleInputRows((7,), iter([Row(packed=pickle.dumps(x)) for x in part]), clock)) == []
+    assert [pickle.loads(v[0]) for v in own.waiting.values] == [[(3_000, 2, "view"), (4_000, 3, "view")]]
+
+
 def test_edges_of_time():
     ends = timers.Ends(10, 25)
     assert timers.drained(ends, None, [(0, 1, "a"), (10, 2, "a"), (21, 3, "a")], None)[1] == [("idle", 20, 2)]
