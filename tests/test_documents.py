@@ -62,3 +62,16 @@ def test_arrays_images_and_sounds(spark, tmp_path):
     said = spark.createDataFrame([("a.wav", b"\1\2\3\4"), ("b.wav", b"")], "name string, pcm binary")
     documents.write_documents(documents.wavs(said, F.col("name"), F.col("pcm"), 16000), str(tmp_path / "wav"))
     assert {(r.path.rsplit("/")[-1], r.rate, bytes(r.pcm), r.reason) for r in readers.wav(spark, str(tmp_path / "wav")).collect()} == {("a.wav", 16000, b"\1\2\3\4", None), ("b.wav", 16000, b"", None)}
+
+
+def test_large_arrays_are_never_one_value(spark, tmp_path):
+    samples = spark.createDataFrame([(f"d/{i % 3}.json", 900 - i, i, "é" * (i % 40)) for i in range(600)], "rel_path string, ord int, n int, text string")
+    documents.write_documents(documents.json_arrays(samples), str(tmp_path / "whole"))
+    before = spark.conf.get(documents.BATCH)
+    documents.write_json_arrays(samples, str(tmp_path / "parts"))
+    assert files(tmp_path / "parts") == files(tmp_path / "whole") and len(files(tmp_path / "parts")) == 3
+    documents.write_json_arrays(samples.withColumn("text", F.lit("new")), str(tmp_path / "parts"))
+    assert files(tmp_path / "parts") == files(tmp_path / "whole") and spark.conf.get(documents.BATCH) == before
+    writer = documents.DocumentWriter({"path": str(tmp_path / "own"), "opening": "[", "between": ",", "closing": "]"}, False)
+    writer.commit([writer.write(iter([{"rel_path": "x", "content": str(i).encode()} for i in range(5)]))])
+    assert files(tmp_path / "own") == {"x": b"[0,1,2,3,4]"}  # rows of a file were an error

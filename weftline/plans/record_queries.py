@@ -298,10 +298,10 @@ def converted_documents(spark, d):
     g = convert.grid(samples, events).withColumn("pair", F.struct("sec", "question", "answer"))
     g = g.groupBy("session").agg(F.array_sort(F.collect_list("pair")).alias("messages"))
     place = F.format_string("qa/%d/%d.json", F.col("session") % 3, F.col("session") % 5)
-    made = documents.json_arrays(g.withColumns({"rel_path": place, "ord": F.col("session")}))
+    made = g.withColumns({"rel_path": place, "ord": F.col("session")})
     out = files.shared(spark, "documents")
-    documents.write_documents(made, out)
-    documents.write_documents(made.withColumn("content", F.lit("[]")), out)
+    documents.write_json_arrays(made, out)
+    documents.write_json_arrays(made.withColumn("messages", F.array()), out)
     samples = F.from_json(F.col("content").cast("string"), "array<struct<session: bigint, messages: array<struct<sec: bigint, question: string, answer: string>>>>")
     back = documents.stored(spark, out, "*.json").select("rel_path", F.inline(samples))
     return back.select("rel_path", "session", F.size("messages").cast("bigint").alias("n"), F.size(F.filter("messages", lambda m: F.startswith(m.answer, F.lit("</response>")))).cast("bigint").alias("answers"))
