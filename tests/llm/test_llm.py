@@ -1,5 +1,6 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeats and clashing names, by brute force."""
 
+import copy
 import hashlib
 import itertools
 import math
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -760,6 +762,78 @@ def test_secret_labels_are_bounded_and_apart(spark, monkeypatch):
     assert text[:a] == "left " and text[b:] == " right" and b - a == 6 and text[a] == text[a + 3] != text[a + 1]
 
 
+def test_network_learns_from_every_candidate(spark, monkeypatch):
+    """All distinct candidates with their surroundings are taught or calibrated on, also beyond 1,000 findings and 4,000
+    others and beyond 512 characters; each epoch meets each of those taught once."""
+    r = np.random.default_rng(28)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    lines = [" ".join(["secret = " + "".join(r.choice(letters, 14)), *("".join(r.choice(letters, 13)) for _ in range(4))]) for _ in range(1200)]
+    texts = [*lines, *lines[:50], "w " + "x" * 700, None, "short words only"]
+    want = set()
+    for t in filter(None, texts):
+        spans = base_brute(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", t):
+            hit = any(s < m.end() and m.start() < e for _, s, e in spans)
+            want.add((t[max(0, m.start() - 24) : m.end() + 24], hit))
+    taught, unseen = [], []
+    monkeypatch.setattr(secrets, "SHARD", 500)
+    monkeypatch.setattr(secrets, "taught", lambda net, rows, shards, *_: taught.append(secrets.dealt(rows, shards).collect()))
+    monkeypatch.setattr(secrets, "calibrated", lambda net, rows, shards, *_: unseen.extend(secrets.dealt(rows, shards).collect()))
+    secrets.fit(docs(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)]))
+    epochs = len(taught) // secrets.PARTS
+    once = [x for part in taught[: secrets.PARTS] for x in part]
+    assert epochs >= 2 and taught[: secrets.PARTS] * epochs == taught and len({x.shard for x in once}) > 1
+    assert len(once) + len(unseen) == len(want) > 5000 and {(x.w, bool(x.said)) for x in once + unseen} == want
+    assert 0.1 < len(unseen) / len(want) < 0.3 and not {x.said for x in once if x.said} & {x.said for x in unseen}
+
+
+def test_network_does_not_depend_on_partitions(spark, monkeypatch):
+    rows, _ = planted(np.random.default_rng(29))
+    monkeypatch.setattr(secrets, "SHARD", 60)
+    one, other = (secrets.fit(docs(spark, rows).repartition(n)) for n in (1, 5))
+    assert (one.vector() == other.vector()).all() and one.threshold == pytest.approx(other.threshold, rel=1e-9) and one.threshold < 1
+
+
+def test_threshold_is_that_of_all_unseen_findings(spark):
+    """Calibration on Spark gives what ``calibrate`` gives for the same windows."""
+    rows, _ = planted(np.random.default_rng(30))
+    net, every = secrets.Network(), secrets.examples(docs(spark, rows), 1)
+    dealt = secrets.dealt(every.withColumn("row", F.xxhash64("w")).withColumn("shard", F.lit(0)), 1)
+    held = [pa.RecordBatch.from_pylist([x.asDict() for x in dealt.collect()])]
+    shown = list(secrets.shown(held, 2, 3))
+    windows, labels = [w for _, ws, _ in shown for w in ws], np.concatenate([y for *_, y in shown])
+    assert len(windows) == every.count() + 2 * every.where("said != ''").count() and labels.sum() == 3 * every.where("said != ''").count()
+    net.train(windows, labels, 2)
+    other = copy.deepcopy(net)
+    net.calibrate(windows, labels, 0.9)
+    secrets.calibrated(other, every.withColumn("row", F.xxhash64("w")).withColumn("shard", F.lit(0)), 1, 2, 0.9, 3)
+    assert (other.scale, other.shift, other.threshold) == pytest.approx((net.scale, net.shift, net.threshold), rel=1e-6)
+    assert 0.9 <= (net.probabilities(windows) >= net.threshold)[labels == 1].mean() < 0.93
+
+
+def test_network_gradient(monkeypatch):
+    net, r = secrets.Network(), np.random.default_rng(31)
+    codes = secrets.coded([("".join(r.choice(list("abcXYZ019 é"), n)), 2, n - 2) for n in (12, 40, 80, 15)])
+    y, weights = np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 0.5, 3])
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.forward(codes)[4]))
+        return -(weights * np.log(np.where(y == 1, p, 1 - p))).sum()
+
+    whole = net.gradient(codes, y, weights)
+    for k, x in net.p.items():
+        for i in r.choice(x.size, 10):
+            at = np.unravel_index(i, x.shape)
+            was, ends = x[at], []
+            for x[at] in (was + 1e-5, was - 1e-5):
+                ends.append(loss())
+            x[at] = was
+            assert whole[k][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-4)
+    monkeypatch.setattr(secrets.Network, "PLACES", 16)  # long ones are read in pieces
+    for k, x in net.gradient(codes, y, weights).items():
+        assert np.allclose(x, whole[k])
+
+
 def test_network_tables_give_what_the_convolution_gives():
     net, r = secrets.Network(), np.random.default_rng(24)
     codes = secrets.coded([("".join(r.choice(list("abcXYZ019 é"), n)), 2, n - 2) for n in (12, 40, 80)])
