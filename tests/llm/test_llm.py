@@ -144,6 +144,12 @@ def test_simhash_links_all_distances(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_simhash_index_is_not_broadcast(spark):
+    """64 rows a fingerprint, which Spark's estimate does not see: below the broadcast limit it went to the driver whole."""
+    plan = simhash.links(spark.range(1000).withColumnRenamed("id", "fp"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     r = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 380)] + [(5, 5)]

@@ -74,9 +74,13 @@ def first_variant(x: str) -> str:
 
 
 def links(fps: DataFrame, most: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints at ``most`` or fewer differing bits, each once."""
+    """Pairs (a, b), a < b, of distinct fingerprints at ``most`` or fewer differing bits, each once.
+
+    Spark takes the index, 64 rows a fingerprint, to be as large as the fingerprints; without the hint it would be sent to
+    the driver whole and broadcast.
+    """
     index = variants(fps)
-    pairs = index.alias("l").join(index.alias("r"), F.expr(f"l.variant = r.variant AND l.fp < r.fp AND bit_count(l.fp ^ r.fp) <= {most} AND shiftright(l.variant, 32) = {first_variant('(l.fp ^ r.fp)')}"))
+    pairs = index.alias("l").hint("merge").join(index.alias("r"), F.expr(f"l.variant = r.variant AND l.fp < r.fp AND bit_count(l.fp ^ r.fp) <= {most} AND shiftright(l.variant, 32) = {first_variant('(l.fp ^ r.fp)')}"))
     return pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
