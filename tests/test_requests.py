@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions import audio, html, jsontext, messages, paths, values
 from weftline.functions import text as X
 from weftline.operators import convert, slots
+from weftline.plans import registry
 from weftline.sinks import files
 from weftline.sources import readers
 
@@ -209,6 +210,13 @@ def test_speech_reads_a_text_once(spark):
         assert plan.count("regexp_replace(") == 1
 
 
+def test_response_records_of_all_outputs(spark, tmp_path):
+    texts = {0: "a", 2: "a", 4: "plain\nmore", 8: "a", 14: " \n", 24: "a </silence> b", 34: "</silence>", 44: "</response>\n\n", 54: None, 3: "a"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.id for r in registry.queries()["response_records"](spark, str(tmp_path)).collect()) == [2, 4, 8]
+    assert column(spark, ["</response> a\n b\n\nc", "x\ry", "a </silence>\nb", " "], lambda x: X.normalise_output(x, whole=True)) == ["</response> a b c", "</response> x y", "</silence>", "</silence>"]
+
+
 def test_settings(spark):
     assert column(spark, [None, "x", "-5", "100", "900", "9999"], lambda x: values.long_edge(x, 640)) == [640, 640, 0, 256, 900, 2048]
     assert column(spark, [None, "x", "0", "7", "900"], lambda x: values.frame_limit(x, 30)) == [None, None, 30, 7, 100]
