@@ -210,6 +210,15 @@ def test_speech_reads_a_text_once(spark):
         assert plan.count("regexp_replace(") == 1
 
 
+@pytest.mark.parametrize("name", ["tts_chunks"])
+def test_speech_of_whole_texts(spark, tmp_path, name):
+    text = "".join(f"w{i} 😀 " for i in range(3000)).strip()
+    spark.createDataFrame([(1, text), (2, " a  b ")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()[name](spark, str(tmp_path)).collect()
+    part = {(r.id, r.place if name == "tts_chunks" else r.seq): r.part if name == "tts_chunks" else r.text for r in rows}
+    assert ["".join(part[i, k] or "" for i, k in sorted(part) if i == n) for n in (1, 2)] == [text, "a b"]
+
+
 def test_response_records_of_all_outputs(spark, tmp_path):
     texts = {0: "a", 2: "a", 4: "plain\nmore", 8: "a", 14: " \n", 24: "a </silence> b", 34: "</silence>", 44: "</response>\n\n", 54: None, 3: "a"}
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
