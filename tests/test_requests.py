@@ -210,7 +210,7 @@ def test_speech_reads_a_text_once(spark):
         assert plan.count("regexp_replace(") == 1
 
 
-@pytest.mark.parametrize("name", ["tts_chunks"])
+@pytest.mark.parametrize("name", ["tts_chunks", "tts_messages"])
 def test_speech_of_whole_texts(spark, tmp_path, name):
     text = "".join(f"w{i} 😀 " for i in range(3000)).strip()
     spark.createDataFrame([(1, text), (2, " a  b ")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -89,11 +89,12 @@ def read_asr(message: Column) -> Column:
     return F.struct(response["event_type"].alias("kind"), F.get(response["recognition_result"]["hypothesis"], F.lit(0))["text"].alias("text"), m["msg"].alias("msg"), m["code"].alias("code"))
 
 
-def speech_messages(text: Column) -> Column:
-    """struct(kind, text) in order: the parts of a text to append, then the commit; an error where nothing is said."""
+def speech_messages(text: Column, most: int | None = 2000) -> Column:
+    """struct(kind, text) in order: the parts of a text, ``most`` characters of it or all, to append, then the commit; an
+    error where nothing is said."""
 
     def made(parts):
         end = F.struct(F.when(F.size(parts) == 0, "error").otherwise("commit").alias("kind"), F.lit(None).cast("string").alias("text"))
         return F.concat(F.transform(parts, lambda p: F.struct(F.lit("append").alias("kind"), p.alias("text"))), F.array(end))
 
-    return let(speech_parts(text), made)
+    return let(speech_parts(text, most=most), made)

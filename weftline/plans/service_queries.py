@@ -285,13 +285,13 @@ def asr_messages(spark, d):
     return f.select("session", "t", audio.read_asr(msg).alias("r")).select("session", "t", "r.kind", "r.text", "r.msg", "r.code")
 
 
-@query(f"""WITH s AS (SELECT doc_id AS id, left(trim(regexp_replace(text, '[\\s\\x0B\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', ' ', 'g')), 2000) AS said FROM documents), p AS (SELECT id, said, unnest(range(0, length(said), 12)) AS i FROM s)
+@query(f"""WITH s AS (SELECT doc_id AS id, trim(regexp_replace(text, '[\\s\\x0B\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS said FROM documents), p AS (SELECT id, said, unnest(range(0, length(said), 12)) AS i FROM s)
 SELECT id, i // 12 AS seq, 'append' AS kind, substr(said, i + 1, 12) AS text FROM p UNION ALL SELECT id, (length(said) + 11) // 12, CASE WHEN said = '' THEN 'error' ELSE 'commit' END, NULL FROM s WHERE said IS NOT NULL""")
 def tts_messages(spark, d):
-    """The messages of a speech request: a text in parts of twelve, then a commit; an empty text is an error."""
+    """The messages of a speech request: a whole text in parts of twelve, then a commit; an empty text is an error."""
     from weftline.functions import audio
 
-    m = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.posexplode(audio.speech_messages(F.col("text"))).alias("seq", "m"))
+    m = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.posexplode(audio.speech_messages(F.col("text"), most=None)).alias("seq", "m"))
     return m.select("id", F.col("seq").cast("bigint").alias("seq"), "m.kind", "m.text")
 
 
