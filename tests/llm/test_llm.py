@@ -993,3 +993,33 @@ def test_crowds_of_nothing_and_of_lone_vectors(spark):
     assert embeddings.crowds(nodes, np.float64, 300, 1) == []
     assert embeddings.crowds(nodes.limit(0), np.float64, 0, 1) == []
     assert embeddings.crowded_pairs(nodes, np.float64, 0.95, 300, 16, 1) is None
+
+
+def test_a_crowd_that_a_sample_would_not_show(spark):
+    """300 of 120,000 vectors around one direction: 2,048 sampled ones had five of them, and the crowd was passed over."""
+    middle = np.random.default_rng(3).standard_normal(64)
+
+    def made(batches):
+        for b in batches:
+            i = b.column("id").to_numpy()
+            x = np.random.default_rng(int(i[0])).standard_normal((len(i), 64)) * np.where(i < 300, 0.3, 1)[:, None] + np.where(i < 300, 1, 0)[:, None] * middle
+            yield pa.RecordBatch.from_arrays([pa.array([f"{k}".encode() for k in i]), pa.array(i), pa.array([row.tobytes() for row in x])], ["digest", "node", "raw"])
+
+    nodes = spark.range(0, 120_000, 1, 8).mapInArrow(made, "digest binary, node bigint, raw binary")
+    known = embeddings.crowds(nodes, np.float64, 120_000, 1)
+    assert [x.node for x in embeddings.crowd_of(nodes, np.float64, known).where("node < 300").orderBy("node").collect()] == list(range(300))
+    assert len(known) == 1 and known[0] @ middle > 0.8 * np.linalg.norm(middle)
+
+
+def test_pairs_of_two_crowds(spark):
+    """Crowds side by side all around: pairs whose ends are in two of them are found like others, against all pairs."""
+    v = np.random.default_rng(4).standard_normal((3000, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(bytes([i % 256, i // 256]), i, x.tobytes()) for i, x in enumerate(v)], "digest binary, node bigint, raw binary")
+    known = embeddings.crowds(nodes, np.float64, len(v), 1)
+    crowd = {x.node: x.crowd for x in embeddings.crowd_of(nodes, np.float64, known).collect()}
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.9975, 1))
+    some, two = (np.array([f(crowd.get(a), crowd.get(b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]) for f in (lambda a, b: (a, b) != (None, None), lambda a, b: None not in (a, b) and a != b))
+    pairs = np.array(embeddings.crowded_pairs(nodes, np.float64, 0.9975, len(v), 2, 1).collect(), np.int64)
+    assert two.sum() > 10
+    assert (embeddings.united(len(v), *pairs.T) == embeddings.united(len(v), i[some], j[some])).all()
